@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cloakframe.llm import bottomk, embedding_dedup, mixing, packing, sentence_spans, simhash
+from cloakframe.llm import bottomk, embedding_dedup, mixing, packing, sentence_spans, simhash, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.fingerprint_documents(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
