@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import bottomk, embedding_dedup, mixing, packing, sentence_spans, simhash, suffix_dedup
+from cloakframe.llm import bottomk, embedding_dedup, mixing, packing, sentence_spans, simhash, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = mixing.label_quality(_read(spark, sf_dir, "labels"))
     return mixing.mix(_read(spark, sf_dir, "documents"), quality)
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op9_source_mixing": op9_source_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
