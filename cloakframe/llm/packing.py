@@ -39,7 +39,9 @@ from cloakframe.llm.streams import texts
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 600_000
+#: Signs that may follow a word of letters and then are a piece of their own.
+_TAIL = b'.,!?;:#$%&*|"()-'
 #: Documents of one length and salt.
 CELL = 50_000
 #: Sweeps of coordinate descent.
@@ -55,26 +57,57 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.letters: dict[str, bytes] = {}
+        # tokens that end a piece
+        self.last = np.zeros(self.inner.get_vocab_size(), bool)
+        for token, number in self.inner.get_vocab().items():
+            self.last[number] = token.endswith("</w>")
         # strings of added tokens may hold or touch anything: such texts are tokenized as a whole
         self.added = [t.content.encode() for t in self.inner.get_added_tokens_decoder().values()]
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Put the ids of ``new`` words into the cache."""
+        # a word of letters is one piece, whatever its case; what follows it is another
+        whole, parts = [], {}
+        for w in new:
+            core = w.rstrip(_TAIL)
+            text = core.decode().replace("Σ", "σ").lower()  # as a single letter
+            if text.isalpha():
+                parts[w] = (text, w[len(core) :])
+            else:
+                whole.append(w)
+        letters = list({c for c, _ in parts.values() if c not in self.letters})
+        if len(self.letters) + len(letters) > CACHE:
+            self.letters = {}
+            letters = list({c for c, _ in parts.values()})
+        for at in range(0, len(letters), 4000):
+            part = letters[at : at + 4000]
+            ids = np.array(self.inner.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                raw, size = ids.tobytes(), self.dtype.itemsize
+                cuts = [0, *(ends * size).tolist()]
+                self.letters.update((w, raw[s:e]) for w, s, e in zip(part, cuts, cuts[1:], strict=False))
+            else:
+                self.letters.update((w, self._pack(self.inner.encode(w, add_special_tokens=False).ids)) for w in part)
+        tails = {t for _, t in parts.values() if t not in self.words}
+        for x in (*whole, *tails):
+            self.words[x] = self._pack(self.inner.encode(x.decode(), add_special_tokens=False).ids)
+        for w, (c, t) in parts.items():
+            self.words[w] = self.letters[c] + self.words[t] if t else self.letters[c]
+
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
         split = [None if any(a in t for a in self.added) else t.split() for t in batch]
         new = {w for words in split if words is not None for w in words if w not in self.words}
-        if new:
-            if len(self.words) + len(new) > CACHE:
-                self.words = {}
-                new = {w for words in split if words is not None for w in words}
-            listed = list(new)
-            for at in range(0, len(listed), 20_000):
-                part = listed[at : at + 20_000]
-                for w, e in zip(part, self.inner.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.words[w] = self._pack(e.ids)
+        if len(self.words) + len(new) > CACHE:
+            self.words = {}
+            new = {w for words in split if words is not None for w in words}
+        self._learn(list(new))
         get = self.words.__getitem__
         return [self._pack(self.inner.encode(t.decode(), add_special_tokens=False).ids) if words is None else b"".join(map(get, words)) for t, words in zip(batch, split, strict=True)]
 
