@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cloakframe.functions.normalize import choose
 
@@ -80,7 +81,7 @@ def restore_text(text: str, targets: Mapping[str, tuple[str, Sequence[str]]]) ->
     return "".join([*pieces, text[done:]])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def restored(text: pd.Series, targets: pd.Series) -> pd.Series:
     """``restore_text`` over a column of arrays of (token, value, aliases)."""
     return pd.Series([None if t is None else restore_text(t, {x["token"]: (x["value"] or "", list(x["aliases"] if x["aliases"] is not None else ())) for x in (ts if ts is not None else ())}) for t, ts in zip(text, targets, strict=True)], dtype=object)
