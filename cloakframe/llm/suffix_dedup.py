@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.scratch import configure, materialize
+from cloakframe.llm.scratch import configure
 from cloakframe.llm.streams import group_starts, texts, whole_groups
 
 LENGTH = 50
@@ -59,7 +59,6 @@ BLOCK = 12 << 20
 #: Blocks that may ask for an anchor before it counts as hot.
 HOT = 20_000
 NO_ID = (1 << 63) - 1
-ANSWER = "block long, d long, t int, data binary"
 #: Bytes of text whose hashes are computed at once (keeps numpy in cache).
 STEP = 1 << 18
 
@@ -218,14 +217,13 @@ def _code(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def answer(parts: int, hot: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Numbers of shared anchors for each document (block -1), those of hot ones as -1 - number.
+    """For each block the numbers of its shared anchors, those of hot ones as -1 - number.
 
-    For blocks that know of sharing themselves: what they know, and which of it is hot.
+    For what blocks know to be shared themselves: that, and which of it is hot.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, block, row, nth, known, d, t, names = [], [], [], [], [], [], [], []
-        rows = 0
+        short, block, row, nth, known, asked = [], [], [], [], [], []
         here = 0
         for b in batches:
             for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -234,16 +232,13 @@ def answer(parts: int, hot: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
                     yield _block_row(int(x["block"][0]), raw)
                     continue
                 here = p
-                names.append(x["block"][0])
                 n = len(x["gap"])
                 short.append(np.cumsum(x["gap"].astype(np.uint64)))
                 block.append(np.full(n, len(block), np.int32))
-                row.append(x["row"].astype(np.int64) + rows)
+                row.append(x["row"])
                 nth.append(x["nth"].astype(np.int32))
                 known.append(np.unpackbits(x["known"], count=n).astype(bool))
-                d.append(x["d"])
-                t.append(x["t"])
-                rows += len(x["d"])
+                asked.append((int(x["block"][0]), x["d"], x["t"]))
         if not short:
             return
         h = np.concatenate(short)
@@ -253,14 +248,16 @@ def answer(parts: int, hot: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
         start = _starts(h)
         size = np.diff(np.append(start, len(h)))
         shared = (np.minimum.reduceat(block, start) != np.maximum.reduceat(block, start)) | np.logical_or.reduceat(known, start)
-        wanted = np.repeat(shared, size) & ~known
         burning = np.repeat(size > hot, size)
-        number = np.where(burning, -1 - nth, nth)[wanted]
-        yield from _numbers(np.concatenate(d), np.concatenate(t), row[wanted], number)
-        told = np.flatnonzero(burning & known)
-        for g in _by_group(block[told]):
-            at = told[g]
-            yield _block_row(int(names[block[at[0]]]), _blob(hot=h[at] << np.uint64(24) | np.uint64(here)))
+        wanted = np.flatnonzero(np.repeat(shared, size) & (~known | burning))
+        for g in _by_group(block[wanted]):
+            at = wanted[g]
+            name, d, t = asked[block[at[0]]]
+            told = at[known[at]]
+            at = at[~known[at]]
+            number = np.where(burning[at], -1 - nth[at], nth[at]).astype(np.int32)
+            docs_in, own = np.unique(row[at], return_inverse=True)
+            yield _block_row(name, _blob(hot=h[told] << np.uint64(24) | np.uint64(here), d=d[docs_in], t=t[docs_in], row=_narrow(own), number=number))
 
     return run
 
@@ -283,26 +280,40 @@ def _edges(key: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def settle() -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Numbers of the anchors that blocks know to be shared, from rows of whole blocks."""
+    """One row for each document with shared anchors, from rows of whole blocks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["block"], 64):
             edges = np.append(group_starts(table, ["block"]), table.num_rows)
-            data = table.column("data").to_pylist()
+            data = table.column("blob").to_pylist()
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 found = [_unblob(x) for x in data[s:e]]
                 burning = np.concatenate([x["hot"] for x in found if "hot" in x] or [np.empty(0, np.uint64)])
+                numbers, rows, d, t, n = [], [], [], [], 0
                 for x in found:
-                    if "hot" not in x:
+                    if "hot" in x:
+                        number = x["number"]
+                    else:
                         nth = x["nth"].astype(np.int32)
                         number = np.where(np.isin(x["code"], burning)[x["group"]], -1 - nth, nth)
-                        yield from _numbers(x["d"], x["t"], x["row"], number)
+                    numbers.append(number)
+                    rows.append(x["row"].astype(np.int64) + n)
+                    d.append(x["d"])
+                    t.append(x["t"])
+                    n += len(x["d"])
+                d, t = np.concatenate(d), np.concatenate(t)
+                # one document came from several partitions
+                order = np.lexsort((t, d))
+                new = np.concatenate(([True], (d[order][1:] != d[order][:-1]) | (t[order][1:] != t[order][:-1])))[:n]
+                first = np.empty(n, np.int64)
+                first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+                yield from _numbers(d, t, first[np.concatenate(rows)], np.concatenate(numbers))
 
     return run
 
 
 def _block_row(block: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["block", "d", "t", "data"])
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([data], pa.binary())], ["block", "blob"])
 
 
 def _numbers(d: np.ndarray, t: np.ndarray, row: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -310,8 +321,7 @@ def _numbers(d: np.ndarray, t: np.ndarray, row: np.ndarray, number: np.ndarray)
     for s in range(0, len(groups), 8192):
         part = groups[s : s + 8192]
         at = np.array([row[g[0]] for g in part], np.int64)
-        rows = _doc_rows(d[at], t[at], [number[g].astype("<i4").tobytes() for g in part])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int64)), *rows.columns], ["block", "d", "t", "data"])
+        yield _doc_rows(d[at], t[at], [number[g].astype("<i4").tobytes() for g in part])
 
 
 # -- 2: contexts of shared anchors --------------------------------------------
@@ -579,9 +589,8 @@ def removals(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataF
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.hash("text").alias("t"), F.col("text"))
     asked = rows.mapInArrow(ask(parts), "p long, blob binary")
-    answered = materialize(asked.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(by_partition(parts, hot), ANSWER), "anchors")
-    known = answered.filter("block >= 0").repartition("block").sortWithinPartitions("block").mapInArrow(settle(), ANSWER)
-    shared = answered.filter("block = -1").union(known)
+    answered = asked.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(by_partition(parts, hot), "block long, blob binary")
+    shared = answered.repartition("block").sortWithinPartitions("block").mapInArrow(settle(), "d long, t int, data binary")
     numbers = shared.groupBy("d", "t").agg(F.collect_list("data").alias("numbers"))
     around = rows.join(numbers, ["d", "t"]).select("d", "t", "text", "numbers").mapInArrow(contexts(parts), "q long, blob binary")
     found = around.repartition(parts, "q").mapInArrow(resolve(), "d long, t int, data binary")
