@@ -18,6 +18,7 @@ not finite or not above zero count as 1.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,6 +120,52 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
     return plain.select(*cols).union(at_edge.select(*cols))
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _first_words(text: bytes, n: int) -> bytes:
+    """The text up to the end of its nth word."""
+    for k, m in enumerate(_WORD.finditer(text), 1):
+        if k == n:
+            return text[: m.end()]
+    return text
+
+
+def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The mix itself: ``docs`` with all their columns, each row as often as the mix takes it.
+
+    A document taken in part comes once more, cut after the words taken; a column
+    n_chars follows the text.  Rows with one doc_id are taken alike.
+    """
+    configure(docs.sparkSession)
+    names = docs.columns
+    at = names.index("text")
+    count = mixed.filter("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size")).withColumnRenamed("doc_id", "_id")
+    joined = docs.join(count, docs["doc_id"].eqNullSafe(count["_id"])).select(*names, "_taken", "_size")
+    text_kind = pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            taken, size = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
+            whole = [t // s for t, s in zip(taken, size, strict=True)]
+            rows = b.select(names)
+            copies = np.repeat(np.arange(b.num_rows), whole)
+            for s in range(0, len(copies), 2048):
+                yield rows.take(pa.array(copies[s : s + 2048]))
+            part = [i for i in range(b.num_rows) if taken[i] % size[i]]
+            if part:
+                cut = rows.take(pa.array(part))
+                text = [_first_words(x, taken[i] % size[i]).decode() for x, i in zip(texts(cut.column(at)), part, strict=True)]
+                columns = list(cut.columns)
+                columns[at] = pa.array(text, text_kind)
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    columns[k] = pa.array([len(x) for x in text]).cast(cut.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def label_quality(labels: DataFrame) -> DataFrame:
     """(doc_id, quality) from a table of labels (doc_id, quality 0 or 1)."""
     q = F.lit(1.0)

@@ -59,6 +59,8 @@ BLOCK = 12 << 20
 #: Blocks that may ask for an anchor before it counts as hot.
 HOT = 20_000
 NO_ID = (1 << 63) - 1
+#: Name of the column of intervals, unlike any of a table of documents.
+COVERS = "_covers"
 #: Bytes of text whose hashes are computed at once (keeps numpy in cache).
 STEP = 1 << 18
 
@@ -583,20 +585,23 @@ def _removed(n: int, covers: list[bytes]) -> np.ndarray:
 
 
 def removals(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataFrame:
-    """(doc_id, text, covers) for each row of ``docs``; covers lists blobs of (start, end) int pairs, null where nothing goes."""
+    """``docs`` with all their columns and ``covers``: lists of blobs of (start, end) int pairs, null where nothing goes.
+
+    Both joins read the same columns, so that Spark shuffles the texts once.
+    """
     spark = docs.sparkSession
     configure(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.hash("text").alias("t"), F.col("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.hash("text").alias("t"), F.col("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("rest"))
     asked = rows.mapInArrow(ask(parts), "p long, blob binary")
     answered = asked.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(by_partition(parts, hot), "block long, blob binary")
     shared = answered.repartition("block").sortWithinPartitions("block").mapInArrow(settle(), "d long, t int, data binary")
     numbers = shared.groupBy("d", "t").agg(F.collect_list("data").alias("numbers"))
-    around = rows.join(numbers, ["d", "t"]).select("d", "t", "text", "numbers").mapInArrow(contexts(parts), "q long, blob binary")
+    around = rows.join(numbers, ["d", "t"]).select("d", "t", "text", "numbers", "rest").mapInArrow(contexts(parts), "q long, blob binary")
     found = around.repartition(parts, "q").mapInArrow(resolve(), "d long, t int, data binary")
     covers = found.groupBy("d", "t").agg(F.collect_list("data").alias("covers"))
     joined = rows.join(covers, ["d", "t"], "left")
-    return joined.select(F.when(F.col("d") != NO_ID, F.col("d")).alias("doc_id"), "text", "covers")
+    return joined.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], F.col("covers").alias(COVERS))
 
 
 def deduplicate(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataFrame:
@@ -615,4 +620,31 @@ def deduplicate(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> Da
             numbers = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array([o[3] for o in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return removals(docs, parts, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts, hot)
+    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def keep_first(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """``docs`` with all their columns, their texts without the bytes that go.
+
+    A character that loses a byte goes as a whole; a column n_chars follows the text.
+    """
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, was = texts(b.column(at)), b.column(at).is_valid().to_pylist()
+            out = []
+            for text, ok, covers in zip(raw, was, b.column(len(names)).to_pylist(), strict=True):
+                kept = np.frombuffer(text, np.uint8)[~_removed(len(text), covers)].tobytes() if covers else text
+                out.append(kept.decode(errors="ignore") if ok else None)
+            columns = [b.column(i) for i in range(len(names))]
+            columns[at] = pa.array(out, pa.string())
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                n = pa.array([None if x is None else len(x) for x in out], pa.int64())
+                columns[k] = n.cast(b.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return removals(docs, parts).mapInArrow(run, docs.schema)

@@ -257,3 +257,16 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>")
+
+
+def reject(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with all their columns, without the documents whose score reaches the threshold."""
+    configure(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = scorer.score(scorer.marginals(texts(b.column(at))))
+            yield b.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
