@@ -22,7 +22,10 @@ def blocks_of_lines(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def _found(text: Column, rules: Sequence[Rule]) -> Column:
-    parts = [F.transform(spans.matches(text, r.pattern), lambda m, k=k: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("rule"), m["value"].alias("value"))) for k, r in enumerate(rules)]
+    def of(k: int, rule: Rule) -> Column:
+        return F.transform(spans.matches(text, rule.pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(k).alias("rule"), m["value"].alias("value")))
+
+    parts = [of(k, r) for k, r in enumerate(rules)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

@@ -133,10 +133,10 @@ def assemble_stream(events: DataFrame) -> DataFrame:
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pages, broken = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, False)
         end = None
-        for f in frames:
-            for r in f.itertuples(index=False):
-                if end is not None:
-                    continue
+        # a batch's rows come in any order; a job's last event ends it after all its pages
+        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.type in TERMINAL)
+        for r in rows:
+            if end is None:
                 if r.type == "page_result":
                     ids = [b["localId"] for b in json.loads(r.page).get("blocks", [])]
                     broken = broken or str(int(r.page_no)) in pages or len(set(ids)) < len(ids)
