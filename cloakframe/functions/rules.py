@@ -19,12 +19,16 @@ STRENGTH = "EXPLICIT"
 
 @dataclass(frozen=True)
 class Rule:
-    """A mention type and the pattern of its mentions."""
+    """A mention type and the pattern of its mentions.
+
+    ``needle`` is a string that every match holds; texts without it are not searched.
+    """
 
     type: str
     pattern: str
     strength: str = STRENGTH
     confidence: float = CONFIDENCE
+    needle: str = ""
 
     def __post_init__(self) -> None:
         if not self.pattern or re.search(self.pattern, "", re.ASCII):
@@ -37,4 +41,4 @@ class Rule:
             raise ValueError("unknown mention strength")
 
 
-STANDARD = (Rule("EMAIL", EMAIL), Rule("ID_CARD", ID_CARD), Rule("PHONE", PHONE))
+STANDARD = (Rule("EMAIL", EMAIL, needle="@"), Rule("ID_CARD", ID_CARD), Rule("PHONE", PHONE))

@@ -6,6 +6,8 @@ UTF-16 units that are stored beside them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,14 @@ def utf16_length(text: Column | str) -> Column:
     return (F.octet_length(F.encode(_text(text), "UTF-16BE")) / 2).cast("int")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def matches(text: Column | str, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches of a pattern that never matches empty text."""
     t = _text(text)
-    gaps, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -31,7 +36,12 @@ def matches(text: Column | str, pattern: str) -> Column:
         e = s + F.length(x["hit"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["hit"].alias("value")))).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def walk(v: Column) -> Column:
+        # the gap behind the last match has no partner
+        pairs = F.filter(F.arrays_zip(v["gap"], v["hit"]), lambda x: x["hit"].isNotNull())
+        return F.aggregate(pairs, start, step, lambda a: a["out"])
+
+    return _once(F.struct(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hit")), walk)
 
 
 def select_greedy(spans: Column) -> Column:
@@ -39,12 +49,15 @@ def select_greedy(spans: Column) -> Column:
 
     ``spans``: array of structs with start, end, rule and any further fields.
     """
-    ordered = F.array_sort(
-        spans,
-        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["rule"] - b["rule"]).cast("int"),
-    )
-    none = F.filter(spans, lambda x: F.lit(False))
-    return F.aggregate(ordered, none, lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(x))).otherwise(acc))
+
+    def pick(v: Column) -> Column:
+        ordered = F.array_sort(
+            v,
+            lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["rule"] - b["rule"]).cast("int"),
+        )
+        return F.aggregate(ordered, F.slice(v, 1, 0), lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(x))).otherwise(acc))
+
+    return _once(spans, pick)
 
 
 def span_text(text: Column | str, start: Column, end: Column) -> Column:

@@ -40,7 +40,7 @@ def detect(blocks: DataFrame, rules: Sequence[Rule] = STANDARD, text: str = "tex
     t = F.col(text)
     likely = F.lit(False)
     for r in rules:
-        likely = likely | t.rlike(r.pattern)
+        likely = likely | (F.contains(t, F.lit(r.needle)) & t.rlike(r.pattern) if r.needle else t.rlike(r.pattern))
     hits = blocks.filter(likely).withColumn("_s", F.explode(spans.select_greedy(_found(t, rules))))
     of_rule = lambda f: F.element_at(F.array(*[F.lit(f(r)) for r in rules]), F.col("_s.rule") + 1)
     return hits.select(
