@@ -101,14 +101,13 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float,
         if size and budget >= size:
             epochs, budget = epochs + 1, 0
         rows.append((r.source, size, float(t), epochs, budget if epochs < cap else 0))
-    sources = spark.createDataFrame(rows, "source string, source_size long, target double, epochs int, budget long")
-    # the list of sources is held on the driver already; Spark decides by its size whether to send it to all
+    sources = spark.createDataFrame(rows, "src string, source_size long, target double, epochs int, budget long")
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     edge = bins.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    edge = edge.join(sources, edge["source"].eqNullSafe(sources["source"])).select(edge["source"].alias("s"), "bin", "before", "words", "budget")
-    edge = edge.filter("before < budget and before + words >= budget").select("s", F.col("bin").alias("edge"), "before")
-    known = sources.join(edge, sources["source"].eqNullSafe(edge["s"]), "left").drop("s").withColumnRenamed("source", "src")
-    known = known.select("src", "source_size", "target", "epochs", "budget", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
+    edge = edge.join(sources, edge["source"].eqNullSafe(sources["src"])).filter("before < budget and before + words >= budget")
+    # again one row a source, so Spark knows the size of this side when it picks the join
+    at = {r.source: (r.bin, r.before) for r in edge.select("source", "bin", "before").collect()}
+    known = spark.createDataFrame([(*r, *at.get(r[0], (-1, 0))) for r in rows], "src string, source_size long, target double, epochs int, budget long, edge long, before long")
     joined = sized.join(known, sized["source"].eqNullSafe(known["src"])).drop("src")
     base = F.col("epochs") * F.col("size")
     plain = joined.filter("bin <> edge").withColumn("taken", base + F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(0))
