@@ -39,7 +39,7 @@ from cloakframe.llm.streams import texts
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker keeps.
-CACHE = 600_000
+CACHE = 300_000
 #: Signs that may follow a word of letters and then are a piece of their own.
 _TAIL = b'.,!?;:#$%&*|"()-'
 #: Documents of one length and salt.

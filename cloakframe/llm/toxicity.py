@@ -46,7 +46,7 @@ FEATURES = 100_000
 #: Tokens of a training sequence.
 PIECE = 32
 THRESHOLD = 0.3
-CACHE = 400_000
+CACHE = 200_000
 _EDGE = re.compile(r"^\W+|\W+$")
 _TOKEN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
