@@ -33,11 +33,11 @@ from __future__ import annotations
 
 import itertools
 import pickle
-import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +59,8 @@ BLOCK = 12 << 20
 #: Blocks that may ask for an anchor before it counts as hot.
 HOT = 20_000
 NO_ID = (1 << 63) - 1
-#: Name of the column of intervals, unlike any of a table of documents.
-COVERS = "_covers"
+#: Stands for the first byte of a context that is a single string.
+ALONE = 255
 #: Bytes of text whose hashes are computed at once (keeps numpy in cache).
 STEP = 1 << 18
 
@@ -71,10 +71,10 @@ _LOW = np.uint64(63)
 
 
 def _gram_hashes(b: np.ndarray) -> np.ndarray:
-    """Hash of each GRAM-byte gram."""
+    """Hash of each GRAM-byte gram along the last axis."""
     h = _BYTE[b]
     for p, m in zip((1, 2, 4, 8), _POW, strict=True):
-        h = h[:-p] * m + h[p:]
+        h = h[..., :-p] * m + h[..., p:]
     h ^= h >> np.uint64(29)
     h *= _MIX
     return h ^ (h >> np.uint64(32))
@@ -108,13 +108,19 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- blobs --------------------------------------------------------------------
 
 
+#: Parts of a blob that compress well.
+_PACKED = frozenset(("d", "bytes", "row", "low", "high", "base", "start", "end"))
+
+
 def _blob(**parts: np.ndarray) -> bytes:
     """Arrays as bytes; those that compress well are compressed."""
-    return pickle.dumps({k: (str(v.dtype), v.shape, zlib.compress(np.ascontiguousarray(v).tobytes(), 1) if k in ("d", "bytes", "row") else np.ascontiguousarray(v).tobytes(), k in ("d", "bytes", "row")) for k, v in parts.items()}, 4)
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pickle.dumps({k: (str(v.dtype), v.shape, pack(np.ascontiguousarray(v).tobytes()) if k in _PACKED else np.ascontiguousarray(v).tobytes()) for k, v in parts.items()}, 4)
 
 
 def _unblob(b: bytes) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(zlib.decompress(raw) if packed else raw, kind).reshape(shape) for k, (kind, shape, raw, packed) in pickle.loads(b).items()}
+    unpack = zstandard.ZstdDecompressor().decompress
+    return {k: np.frombuffer(unpack(raw) if k in _PACKED else raw, kind).reshape(shape) for k, (kind, shape, raw) in pickle.loads(b).items()}
 
 
 def _narrow(v: np.ndarray) -> np.ndarray:
@@ -349,7 +355,7 @@ def contexts(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
                 s = s[(s >= 0) & (s + LENGTH <= len(raw))]
                 own = _hash_rows(np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[s])
                 base, key = np.concatenate((base, s)), np.concatenate((key, own))
-                low, high = np.concatenate((low, np.zeros_like(s))), np.concatenate((high, np.full_like(s, LENGTH)))
+                low, high = np.concatenate((low, np.full_like(s, ALONE))), np.concatenate((high, np.full_like(s, LENGTH)))
             cell = view[base + BEFORE].copy()
             if len(hot):
                 cell[len(calm) :, LENGTH:] = 0
@@ -360,6 +366,7 @@ def contexts(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
             highs.append(high)
             cells.append(cell)
         row, base, key, low, high, cell = (np.concatenate(v) for v in (rows, bases, keys, lows, highs, cells))
+        del rows, bases, keys, lows, highs, cells
         if not len(row):
             return
         uid = _distinct(cell, low, high)
@@ -367,14 +374,15 @@ def contexts(parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
         np.minimum.at(least, uid, d[row])
         later = d[row] > least[uid]
         if later.any():
-            yield int(key[0] % np.uint64(parts)), _blob(**_covers(d, t, row[later], (base + low)[later], (base + high)[later]))
+            first = np.where(low == ALONE, 0, low)
+            yield int(key[0] % np.uint64(parts)), _blob(**_covers(d, t, row[later], (base + first)[later], (base + high)[later]))
         # one for each context and document; those under the block's least id need an answer
         mine = np.flatnonzero(~later)
         part = (key[mine] >> np.uint64(40)) % np.uint64(parts)
         for g in _by_group(part):
             at = mine[g]
             docs_in, own = np.unique(row[at], return_inverse=True)
-            yield int(part[g[0]]), _blob(bytes=cell[at], key=key[at], low=low[at].astype(np.uint8), high=high[at].astype(np.uint8), base=base[at].astype(np.int32), d=d[docs_in], t=t[docs_in], row=_narrow(own))
+            yield int(part[g[0]]), _blob(bytes=cell[at], low=low[at].astype(np.uint8), high=high[at].astype(np.uint8), base=base[at].astype(np.int32), d=d[docs_in], t=t[docs_in], row=_narrow(own))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _row_batches((r for d, t, docs, n in _blocks(batches) for r in of_block(d, t, docs, n)), "q")
@@ -394,11 +402,14 @@ def _hash_rows(cell: np.ndarray) -> np.ndarray:
 
 
 def _distinct(cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Numbers that are equal for equal rows only."""
-    h = _hash_rows(cell) ^ (low.astype(np.uint64) << np.uint64(8) | high.astype(np.uint64)) * _MIX
+    """Numbers that are equal for equal rows only; a few thousand rows at a time are copied."""
+    parts = [slice(s, s + (1 << 14)) for s in range(0, len(cell), 1 << 14)]
+    h = np.concatenate([_hash_rows(cell[p]) for p in parts] or [np.empty(0, np.uint64)])
+    h ^= (low.astype(np.uint64) << np.uint64(8) | high.astype(np.uint64)) * _MIX
     _, first, uid = np.unique(h, return_index=True, return_inverse=True)
     rep = first[uid]
-    odd = np.flatnonzero((low != low[rep]) | (high != high[rep]) | (cell != cell[rep]).any(1))
+    other = [(cell[p] != cell[rep[p]]).any(1) for p in parts]
+    odd = np.flatnonzero((low != low[rep]) | (high != high[rep]) | np.concatenate(other or [np.empty(0, bool)]))
     uid[odd] = len(first) + np.arange(len(odd))
     return uid
 
@@ -540,7 +551,7 @@ def resolve(slice_rows: int = 40_000) -> Callable[[Iterable[pa.RecordBatch]], It
         for b in batches:
             for raw in b.column(1).to_pylist():
                 x = _unblob(raw)
-                if "key" not in x:
+                if "bytes" not in x:
                     yield from _cover_rows(x)
                     continue
                 x["row"] = x["row"].astype(np.int64) + rows
@@ -548,9 +559,13 @@ def resolve(slice_rows: int = 40_000) -> Callable[[Iterable[pa.RecordBatch]], It
                 got.append(x)
         if not got:
             return
-        key, low, high, base, row = (np.concatenate([x[k] for x in got]) for k in ("key", "low", "high", "base", "row"))
+        low, high, base, row = (np.concatenate([x[k] for x in got]) for k in ("low", "high", "base", "row"))
         d, t, cell = (np.concatenate([x[k] for x in got]) for k in ("d", "t", "bytes"))
         del got
+        alone = low == ALONE
+        key = _gram_hashes(cell[:, BEFORE : BEFORE + GRAM])[:, 0]
+        key[alone] = _hash_rows(cell[alone][:, :LENGTH])
+        low = np.where(alone, 0, low)
         order = np.argsort(key, kind="stable")
         edges = np.append(_starts(key[order]), len(order))
         at = 0
@@ -585,9 +600,11 @@ def _removed(n: int, covers: list[bytes]) -> np.ndarray:
 
 
 def removals(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataFrame:
-    """``docs`` with all their columns and ``covers``: lists of blobs of (start, end) int pairs, null where nothing goes.
+    """(text, rest, covers) for each row of ``docs``; rest is a struct of the other columns.
 
-    Both joins read the same columns, so that Spark shuffles the texts once.
+    covers lists blobs of (start, end) int pairs and is null where nothing goes.  Both
+    joins read the same four columns, so that Spark shuffles the texts once; taking a
+    field out of rest here would undo that.
     """
     spark = docs.sparkSession
     configure(spark)
@@ -601,7 +618,7 @@ def removals(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataF
     found = around.repartition(parts, "q").mapInArrow(resolve(), "d long, t int, data binary")
     covers = found.groupBy("d", "t").agg(F.collect_list("data").alias("covers"))
     joined = rows.join(covers, ["d", "t"], "left")
-    return joined.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns], F.col("covers").alias(COVERS))
+    return joined.select("text", "rest", "covers")
 
 
 def deduplicate(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataFrame:
@@ -610,7 +627,7 @@ def deduplicate(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, covers in zip(texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+            for text, covers in zip(texts(b.column(0)), b.column(2).to_pylist(), strict=True):
                 if not covers:
                     out.append((len(text), 0, 0, text))
                     continue
@@ -618,7 +635,7 @@ def deduplicate(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> Da
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 out.append((len(text), int(gone.sum()), spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
             numbers = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *numbers, pa.array([o[3] for o in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(1).field("doc_id"), *numbers, pa.array([o[3] for o in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts, hot)
     return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -630,21 +647,19 @@ def keep_first(docs: DataFrame, parts: int | None = None) -> DataFrame:
     A character that loses a byte goes as a whole; a column n_chars follows the text.
     """
     names = docs.columns
-    at = names.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, was = texts(b.column(at)), b.column(at).is_valid().to_pylist()
+            raw, was = texts(b.column(0)), b.column(0).is_valid().to_pylist()
             out = []
-            for text, ok, covers in zip(raw, was, b.column(len(names)).to_pylist(), strict=True):
+            for text, ok, covers in zip(raw, was, b.column(2).to_pylist(), strict=True):
                 kept = np.frombuffer(text, np.uint8)[~_removed(len(text), covers)].tobytes() if covers else text
                 out.append(kept.decode(errors="ignore") if ok else None)
-            columns = [b.column(i) for i in range(len(names))]
-            columns[at] = pa.array(out, pa.string())
+            columns = [pa.array(out, pa.string()) if c == "text" else b.column(1).field(c) for c in names]
             if "n_chars" in names:
                 k = names.index("n_chars")
                 n = pa.array([None if x is None else len(x) for x in out], pa.int64())
-                columns[k] = n.cast(b.schema.field(k).type)
+                columns[k] = n.cast(columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return removals(docs, parts).mapInArrow(run, docs.schema)
