@@ -228,7 +228,7 @@ def primary_alias(spark: SparkSession, d: str) -> DataFrame:
 
 _FLAGS = f"""SELECT x.mention_id, x.entity_id, coalesce(max(CASE WHEN c.constraint_type = 'CANNOT_LINK' THEN 1 END), 0) = 1 AS user_cannot, coalesce(max(CASE WHEN c.constraint_type = 'MUST_LINK' THEN 1 END), 0) = 1 AS user_must
   FROM ({_IDENT}) x LEFT JOIN ({_IDENT}) y ON x.mention_id = y.mention_id AND x.entity_id <> y.entity_id
-  LEFT JOIN v_constraints c ON c.source = 'USER' AND c.matter_id = x.matter_id AND least(c.entity_a_id, c.entity_b_id) = least(x.entity_id, y.entity_id) AND greatest(c.entity_a_id, c.entity_b_id) = greatest(x.entity_id, y.entity_id) GROUP BY ALL"""
+  LEFT JOIN v_constraints c ON y.entity_id IS NOT NULL AND c.source = 'USER' AND c.matter_id = x.matter_id AND least(c.entity_a_id, c.entity_b_id) = least(x.entity_id, y.entity_id) AND greatest(c.entity_a_id, c.entity_b_id) = greatest(x.entity_id, y.entity_id) GROUP BY ALL"""
 
 
 @query(_FLAGS)
