@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloakframe.llm.components import connected_components
 from cloakframe.llm.scratch import configure, materialize
@@ -222,29 +221,3 @@ def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> D
     """
     fps, of = _groups(docs, width, radius)
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with all their columns, one row of each group of near duplicates: that of the smallest doc_id.
-
-    Of rows with that id one stays.  Rows without an id stay where no row of their
-    fingerprint has one, one for each fingerprint.
-    """
-    fps, of = _groups(docs, width, radius)
-    kept = materialize(fps.join(of, "fp").filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "kept_id"), "kept")
-    out = docs.join(kept.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    unnamed = docs.filter("doc_id is null")
-    if unnamed.isEmpty():
-        return out
-    at = docs.columns.index("text")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([text_fingerprint(t, width) for t in texts(b.column(at))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "_fp"])
-
-    marked = unnamed.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
-    alone = of.filter("component_id is null").select(F.col("fp").alias("_alone"))
-    return out.union(marked.join(alone, F.col("_fp") == F.col("_alone"), "left_semi").dropDuplicates(["_fp"]).drop("_fp"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakframe.llm import mixing, packing, simhash, suffix_dedup, toxicity
+from cloakframe.llm import mixing, near_copies, packing, suffix_dedup, toxicity
 from cloakframe.llm.queries import tokenizer_path
 from cloakframe.llm.scratch import materialize
 
@@ -20,8 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8)."""
+    return near_copies.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
