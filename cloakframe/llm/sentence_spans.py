@@ -4,9 +4,9 @@ Every run of ``SPAN`` consecutive sentences is hashed (XXH128 of the sentences w
 space made even).  The first place of a hash, in order of doc_id and position, keeps its
 sentences; at every other place all sentences of the run are removed.
 
-Runs with fewer than ``MIN_WORDS`` words are not compared, as a few short words meet by
-chance; a text with fewer than ``SPAN`` sentences is one run.  A sentence ends after
-``.``, ``!`` or ``?`` before white space, or at a line's end.
+A text with fewer than ``SPAN`` sentences is one run.  No run is too short to be hashed
+unless the caller sets ``min_words``.  A sentence ends after ``.``, ``!`` or ``?`` before
+white space, or at a line's end.
 
 Null and empty texts have no sentences and stay.  Rows that repeat wholly are one document and all get
 its result; rows with one id but other texts are told apart by the text's hash and come
@@ -29,7 +29,6 @@ from cloakframe.llm.scratch import configure
 from cloakframe.llm.streams import texts
 
 SPAN = 3
-MIN_WORDS = 10
 _ENDS = re.compile(rb"[.!?]+(?=[ \t\r\n])|\n+")
 
 
@@ -67,7 +66,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("d"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("h"), F.col("doc_id").isNull().alias("unnamed"), F.col("text"))
 
 
-def covered(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+def covered(docs: DataFrame, span: int = SPAN, min_words: int = 0) -> DataFrame:
     """(d, h, sentences) with the numbers of sentences to remove, for documents that lose any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +109,7 @@ def cut(text: bytes, starts: list[int], span: int) -> tuple[bytes, int, int, int
     return b"".join(pieces).rstrip() if not len(text) - at else b"".join(pieces), len(where), int(gone.sum()), len(edges) // 2
 
 
-def deduplicate(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, span: int = SPAN, min_words: int = 0) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, n_spans, kept_sha256) for each row of ``docs`` (doc_id, text, ...)."""
     configure(docs.sparkSession)
     rows = _keyed(docs)

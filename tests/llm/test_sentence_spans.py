@@ -60,3 +60,11 @@ def test_edges(spark):
     t = "a b c d. e f g h. i j k l."
     got = ss.deduplicate(spark.createDataFrame([(None, t), (None, t), (4, t)], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in got) == [("4", 0), ("None", 3), ("None", 3)]
+
+
+def test_short_runs_are_compared(spark):
+    lines = "Yes.\nNo.\nMaybe so.\nNot now.\nWait here.\nGo on."
+    rows = [(1, lines), (2, lines), (3, "Only four words here."), (4, "Only four words here."), (5, "Only three words.")]
+    got = {r.doc_id: r for r in ss.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r.text for d, r in got.items()} == {1: lines, 2: "", 3: rows[2][1], 4: "", 5: rows[4][1]}
+    assert got[2].n_removed == got[2].n_sentences == 6
