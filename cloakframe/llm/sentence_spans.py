@@ -4,6 +4,10 @@ Every run of ``SPAN`` consecutive sentences is hashed (XXH128 of the sentences w
 space made even).  The first place of a hash, in order of doc_id and position, keeps its
 sentences; at every other place all sentences of the run are removed.
 
+Two consecutive sentences with ``LONG`` words or more together are a run as well, so that
+a passage of two long sentences is found.  A run of ``SPAN`` = 3 that such runs cover wholly
+is left out: wherever it repeats, they repeat too.
+
 A text with fewer than ``SPAN`` sentences is one run.  No run is too short to be hashed
 unless the caller sets ``min_words``.  A sentence ends after ``.``, ``!`` or ``?`` before
 white space, or at a line's end.
@@ -29,6 +33,8 @@ from cloakframe.llm.scratch import configure
 from cloakframe.llm.streams import texts
 
 SPAN = 3
+#: Words that make two sentences a run of their own.
+LONG = 20
 _ENDS = re.compile(rb"[.!?]+(?=[ \t\r\n])|\n+")
 
 
@@ -50,14 +56,19 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
 
 
 def runs(text: bytes, span: int, min_words: int) -> list[tuple[int, bytes]]:
-    """(first sentence, hash) of each run."""
+    """(place, hash) of each run; place is twice the first sentence, plus 1 for a run of two."""
     cleaned = [text[s:e].split() for s, e in sentences(text)]
     counts = [len(w) for w in cleaned]
     joined = [b" ".join(w) for w in cleaned]
     n = min(span, len(joined))
     if not n:
         return []
-    return [(i, xxhash.xxh128_digest(b"\n".join(joined[i : i + n]))) for i in range(len(joined) - n + 1) if sum(counts[i : i + n]) >= min_words]
+    long = [n > 2 and a + b >= max(LONG, min_words) for a, b in zip(counts, counts[1:])]
+    out = [(2 * i + 1, xxhash.xxh128_digest(b"\n".join(joined[i : i + 2]))) for i, on in enumerate(long) if on]
+    for i in range(len(joined) - n + 1):
+        if sum(counts[i : i + n]) >= min_words and not (n > 2 and all(long[i : i + n - 1])):
+            out.append((2 * i, xxhash.xxh128_digest(b"\n".join(joined[i : i + n]))))
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -67,15 +78,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, span: int = SPAN, min_words: int = 0) -> DataFrame:
-    """(d, h, sentences) with the numbers of sentences to remove, for documents that lose any."""
+    """(d, h, starts) with the places of the runs to remove, for documents that lose any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             who, first, hashes = [], [], []
             for row, t in enumerate(texts(b.column(2))):
-                for i, digest in runs(t, span, min_words):
+                for at, digest in runs(t, span, min_words):
                     who.append(row)
-                    first.append(i)
+                    first.append(at)
                     hashes.append(digest)
             pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             who_at = pa.array(who, pa.int64())
@@ -95,8 +106,9 @@ def cut(text: bytes, starts: list[int], span: int) -> tuple[bytes, int, int, int
     """What is left of a text, its number of sentences, of removed ones, and of removed runs."""
     where = sentences(text)
     gone = np.zeros(len(where) + 1, bool)
-    for i in starts:
-        gone[i : min(i + span, len(where))] = True
+    for place in starts:
+        i = place >> 1
+        gone[i : min(i + (2 if place & 1 else span), len(where))] = True
     if not gone.any():
         return text, len(where), 0, 0
     # a removed run takes the white space after it along

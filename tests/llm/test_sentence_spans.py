@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from cloakframe.llm import sentence_spans as ss
 
@@ -68,3 +69,38 @@ def test_short_runs_are_compared(spark):
     got = {r.doc_id: r for r in ss.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d: r.text for d, r in got.items()} == {1: lines, 2: "", 3: rows[2][1], 4: "", 5: rows[4][1]}
     assert got[2].n_removed == got[2].n_sentences == 6
+
+
+def test_two_long_sentences_are_a_run(spark):
+    first, second = ("The " + " ".join(f"{c}{i}" for i in range(26)) + "." for c in "ab")
+    rows = [
+        (1, f"One begins. {first} {second} One ends."),
+        (2, f"Two begins. {first} {second} Two ends."),
+        (3, f"{first} {second}"),
+        (4, f"Four. {first} Alone it stays."),
+        (5, "Some few words. And few more. Five."),
+        (6, "Some few words. And few more. Six."),
+    ]
+    got = {r.doc_id: r.text for r in ss.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), 2: "Two begins. Two ends.", 3: ""}
+
+
+def test_runs_left_out_change_nothing(spark):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choices([f"w{i}" for i in range(60)], k=rng.randint(1, 22))) + "." for _ in range(30)]
+    rows = [(i, " ".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(90)]
+    for at in range(20, 90, 7):
+        rows[at] = (at, " ".join([rows[at][1], *pool[at // 7 : at // 7 + 4]]).strip())
+    seen, want = {}, {}
+    for d, t in rows:
+        parts = [p for p in re.split(r"(?<=\.) ", t) if p]
+        gone = set()
+        for n in {min(3, len(parts)), 2} - {0}:
+            for i in range(len(parts) - n + 1):
+                key = tuple(parts[i : i + n])
+                if n == min(3, len(parts)) or sum(len(p.split()) for p in key) >= ss.LONG:
+                    if seen.setdefault(key, (d, i)) != (d, i):
+                        gone |= set(range(i, i + n))
+        want[d] = " ".join(p for i, p in enumerate(parts) if i not in gone)
+    got = {r.doc_id: r.text for r in ss.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(t != dict(rows)[d] for d, t in want.items()) > 10
