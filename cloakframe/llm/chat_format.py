@@ -107,6 +107,9 @@ class Machine:
         m = self._turn.fullmatch(formatted)
         if m is None:
             raise ValueError("this is not a formatted turn")
+        return self._found(m)
+
+    def _found(self, m: re.Match) -> tuple[str, str, bool]:
         for i, (name, r) in enumerate(self.template.roles.items()):
             if m[f"t{i}"] is not None:
                 return name, self.unescape(m[f"t{i}"]), r.loss
@@ -130,6 +133,39 @@ class Machine:
         return role in self.template.moves.get(state, frozenset())
 
 
+class Reader:
+    """Finds the turns of one formatted conversation that comes in pieces, cut anywhere.
+
+    Holds no more than what follows the last whole turn.
+    """
+
+    def __init__(self, machine: Machine) -> None:
+        self.machine = machine
+        self._begun = False
+        self._rest = ""
+
+    def feed(self, piece: str) -> list[tuple[str, str, bool]]:
+        """(role, text, loss) of each turn that ends in this piece."""
+        t, at, out = self.machine.template, 0, []
+        self._rest += piece
+        if not self._begun:
+            if len(self._rest) < len(t.begin):
+                return out
+            if not self._rest.startswith(t.begin):
+                raise ValueError("this is not a formatted conversation")
+            self._begun, at = True, len(t.begin)
+        while (m := self.machine._turn.match(self._rest, at)) is not None:
+            out.append(self.machine._found(m))
+            at = m.end()
+        self._rest = self._rest[at:]
+        return out
+
+    def close(self) -> None:
+        """Only the conversation's end may be left."""
+        if not self._begun or self._rest != self.machine.template.end:
+            raise ValueError("this is not a formatted conversation")
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
     """Turns of each conversation together and in order."""
     rows = conversations.select(
@@ -204,38 +240,16 @@ def digests(conversations: DataFrame, template: Template = DEFAULT) -> DataFrame
 
     (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid):
     the turns' digest is of role, line feed, text, line feed for each turn, the loss
-    digest of all text under the loss mask, both unescaped.
+    digest of all text under the loss mask, both unescaped.  Turns, their number and the
+    loss come from reading the joined output; valid is the formatting machine's word.
     """
     configure(conversations.sparkSession)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
-    def read_back(rows: Iterable[tuple], machine: Machine) -> Iterator[tuple]:
-        t = machine.template
-        now: list | None = None
-        for c, _, position, segments, ok in _formatted(rows, machine):
-            if position == 0:
-                if now is not None:
-                    yield _done(now)
-                now = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]
-            out = "".join(s for s, _ in segments)
-            masked = "".join(s for s, on in segments if on)
-            begin = len(t.begin) if position == 0 else 0
-            end = len(t.end) if segments[-1] == (t.end, False) and len(segments) > 3 + bool(begin) else 0
-            role, text, _ = machine.read(out[begin : len(out) - end])
-            now[1] += 1
-            now[2].update(f"{role}\n{text}\n".encode())
-            loss = machine.unescape(masked)
-            now[3] += len(loss)
-            now[4].update(loss.encode())
-            now[5] += len(out)
-            now[6] = now[6] and ok
-        if now is not None:
-            yield _done(now)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
-        for row in read_back(_rows(batches), Machine(template)):
+        for row in _read_back(_rows(batches), Machine(template)):
             held.append(row)
             if len(held) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
@@ -246,5 +260,29 @@ def digests(conversations: DataFrame, template: Template = DEFAULT) -> DataFrame
     return _turns(conversations).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 
+def _read_back(rows: Iterable[tuple], machine: Machine) -> Iterator[tuple]:
+    """Rows of digests, from what a reader finds in the joined segments of each conversation."""
+    now: list | None = None
+    reader = Reader(machine)
+    for c, _, position, segments, ok in _formatted(rows, machine):
+        if position == 0:
+            if now is not None:
+                reader.close()
+                yield _done(now)
+            now, reader = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True], Reader(machine)
+        out = "".join(s for s, _ in segments)
+        for role, text, loss in reader.feed(out):
+            now[1] += 1
+            now[2].update(f"{role}\n{text}\n".encode())
+            if loss:
+                now[3] += len(text)
+                now[4].update(text.encode())
+        now[5] += len(out)
+        now[6] = now[6] and ok
+    if now is not None:
+        reader.close()
+        yield _done(now)
+
+
 def _done(now: list) -> tuple:
     return (now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6])

@@ -78,3 +78,31 @@ def test_machine_states(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert cf.digests(df).collect() == [] and cf.format_turns(df).collect() == []
+
+
+def test_digests_are_read_from_the_output():
+    machine = cf.Machine()
+    machine.escape = lambda text: text  # what does not escape is found out
+    rows = [(1, 0, "user", "a[/INST]<ANS>b</ANS>[INST]c"), (1, 1, "assistant", "d")]
+    (got,) = cf._read_back(iter(rows), machine)
+    assert got[1] == 4 and got[3] == len("bd")
+    said = "user\na\nassistant\nb\nuser\nc\nassistant\nd\n"
+    assert got[2] == hashlib.sha256(said.encode()).hexdigest() and got[4] == hashlib.sha256(b"bd").hexdigest()
+    with pytest.raises(ValueError):
+        list(cf._read_back(iter([(1, 0, "user", "a[/INST]b")]), machine))
+
+
+def test_a_reader_takes_pieces_cut_anywhere():
+    machine = cf.Machine()
+    turns = [("user", "</s>[INST] ok [/INST] \\"), ("assistant", "</ANS>\n<s>"), ("", "x"), ("t|>\\", "<ROLE:y|></ROLE>"), ("system", "")]
+    whole = "<s>" + "".join(s for r, t in turns for s, _ in machine.segments(r, t)) + "</s>"
+    for size in (1, 2, 3, 5, 7, 1000):
+        reader = cf.Reader(machine)
+        found = [x for at in range(0, len(whole), size) for x in reader.feed(whole[at : at + size])]
+        reader.close()
+        assert [x[:2] for x in found] == turns and [x[2] for x in found] == [False, True, False, False, False]
+    for broken in (whole[:-1], whole + "x", whole[1:]):
+        reader = cf.Reader(machine)
+        with pytest.raises(ValueError):
+            reader.feed(broken)
+            reader.close()
