@@ -11,15 +11,19 @@ The pages have no labels, so the field is trained on labelled pages made here
 what they are.  Training takes about a second and gives the same model everywhere.
 
 Null and empty pages and pages without main text give an empty text.  Pages are taken
-one by one: repeated rows get equal results, a null page_id or url is kept, broken and
-unclosed markup is read as browsers do in the cases that matter here (a new block closes
-a paragraph, an unknown end tag is ignored), an empty table gives an empty result.
+one by one: repeated rows get equal results, a null page_id or url is kept, further
+columns are left out whatever their names, an empty table gives an empty result.  No page
+fails: broken and unclosed markup is read as browsers do in the cases that matter here (a
+new block closes a paragraph, an unknown end tag is ignored, ``<!`` and ``<?`` open a
+comment up to the next ``>``, what is open at the page's end is closed or left out).  A
+very long or deep page takes time and memory in proportion to its length.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -44,53 +48,96 @@ SCOPE = frozenset("ul ol dl table html body".split())
 #: Ancestors that features look at, from the block outwards.
 DEPTH = 12
 SEED = 11
+#: Elements that a paragraph does not end beyond.
+_P_SCOPE = SCOPE | {"td", "th", "button"}
+_COMMENT_END = re.compile(r"--!?>")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
 
+Block = tuple[tuple[tuple[str, tuple[str, ...]], ...], str, int]
+
+
 class _Blocks(HTMLParser):
-    """Collects (ancestors, text, letters inside links, form fields seen) of leaf blocks."""
+    """Collects (ancestors, text, letters inside links) of leaf blocks from a page fed at once.
+
+    Ancestors are the last DEPTH open elements, with the innermost block element before
+    them if it lies further out.  Open elements are found by name, so a page takes time
+    and memory in proportion to its length, however deep it nests.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.found: list[tuple[list[tuple[str, tuple[str, ...]]], str, int]] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.outer: list[int] = []
+        self.found: list[Block] = []
         self.text: list[str] = []
         self.linked = 0
         self.silent = 0
-        self.links = 0
+
+    # Declarations and comments end as in browsers; the page's end closes whatever is open.
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)
+
+    def parse_bogus_comment(self, i: int, report: int = 1) -> int:
+        return self.rawdata.find(">", i + 2) + 1 or len(self.rawdata)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        if self.rawdata.startswith(("<!-->", "<!--->"), i):
+            return self.rawdata.index(">", i) + 1
+        m = _COMMENT_END.search(self.rawdata, i + 4)
+        return m.end() if m else len(self.rawdata)
+
+    def parse_pi(self, i: int) -> int:
+        return self.parse_bogus_comment(i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self.parse_bogus_comment(i)
+
+    def parse_starttag(self, i: int) -> int:
+        k = super().parse_starttag(i)
+        return self.parse_bogus_comment(i) if k < 0 else k
+
+    def parse_endtag(self, i: int) -> int:
+        k = super().parse_endtag(i) if self.rawdata.find(">", i + 1) >= 0 else len(self.rawdata)
+        return self.parse_bogus_comment(i) if k < 0 else k
 
     def flush(self) -> None:
         if self.text:
             t = _SPACE.sub(" ", "".join(self.text)).strip()
             if t:
-                self.found.append((list(self.stack), t, self.linked))
+                near = self.stack[-DEPTH:]
+                if self.outer and self.outer[-1] < len(self.stack) - DEPTH:
+                    near.insert(0, self.stack[self.outer[-1]])
+                self.found.append((tuple(near), t, self.linked))
         self.text, self.linked = [], 0
 
+    def _innermost(self, names: set[str] | frozenset[str]) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
     def _close(self, names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
-                self.flush()
-                self._drop(i)
-                return
-            if self.stack[i][0] in scope:
-                return
+        i = self._innermost(names)
+        if i > self._innermost(scope):
+            self.flush()
+            self._drop(i)
 
     def _drop(self, i: int) -> None:
         for tag, _ in self.stack[i:]:
             self.silent -= tag in SILENT
-            self.links -= tag == "a"
+            self.places[tag].pop()
+        while self.outer and self.outer[-1] >= i:
+            self.outer.pop()
         del self.stack[i:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.silent and tag == "body":  # a head or title left open
-            for i, (t, _) in enumerate(self.stack):
-                if t in SILENT:
-                    self._drop(i)
-                    break
+            self._drop(min(self.places[n][0] for n in SILENT if self.places.get(n)))
         if tag in BLOCK:
             self.flush()
-            self._close({"p"}, SCOPE | {"td", "th", "button"})
+            self._close({"p"}, _P_SCOPE)
         if tag in ENDS:
             self._close(ENDS[tag], SCOPE)
         if tag in VOID:
@@ -103,9 +150,11 @@ class _Blocks(HTMLParser):
                 words += _WORDS.findall(v.lower())
             elif k == "hidden":
                 words.append("hidden")
-        self.stack.append((tag, tuple(words)))
+        if tag in BLOCK:
+            self.outer.append(len(self.stack))
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, tuple(dict.fromkeys(words))))
         self.silent += tag in SILENT
-        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -113,21 +162,16 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._drop(i)
-                return
+        if self.places.get(tag):
+            self._drop(self.places[tag][-1])
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.text.append(data)
-            if self.links:
+            if self.places.get("a"):
                 self.linked += len(data.strip())
 
 
-Block = tuple[list[tuple[str, tuple[str, ...]]], str, int]
-
-
 def blocks(html: str) -> list[Block]:
     """Leaf blocks of a page in order: (ancestors, text, letters inside links)."""
     p = _Blocks()
@@ -152,11 +196,10 @@ def _shape(text: str) -> list[str]:
     return out
 
 
-def features(found: list[Block]) -> list[list[str]]:
-    """Feature names of each block."""
+def features(found: list[Block]) -> Iterator[list[str]]:
+    """Feature names of each block, one after another."""
     shapes = [_shape(t) for _, t, _ in found]
     own_tags = [next((t for t, _ in reversed(a) if t in BLOCK), "none") for a, _, _ in found]
-    out = []
     for i, (ancestors, text, linked) in enumerate(found):
         f = [f"own={own_tags[i]}", *(f"s={x}" for x in shapes[i]), f"tag={own_tags[i]}&len{min(8, len(text).bit_length())}"]
         share = linked / max(1, len(text))
@@ -168,8 +211,7 @@ def features(found: list[Block]) -> list[list[str]]:
         f += sorted(names)
         f.append(f"before={own_tags[i - 1]}" if i else "first")
         f.append(f"after={own_tags[i + 1]}" if i + 1 < len(found) else "last")
-        out.append(f)
-    return out
+        yield f
 
 
 # -- labelled pages -----------------------------------------------------------
@@ -363,7 +405,7 @@ def train(n: int = 800, seed: int = SEED) -> crf.Model:
         return _MODELS[n, seed]
     pages = labelled_pages(n, seed)
     names: dict[str, int] = {}
-    rows = [features(blocks(h)) for h, _ in pages]
+    rows = [list(features(blocks(h))) for h, _ in pages]
     lengths = np.array([len(r) for r in rows], np.int64)
     shape = (int(lengths.max()), len(rows))
     labels = np.zeros(shape)

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -49,6 +51,63 @@ def test_a_page(spark, model):
     assert he.extract(df.limit(0), model).collect() == []
 
 
+ODD = ["<![foo[x]]>", "<![ x]>", "<![foo x", "<![CDATA[a]]>", "<![", "<!", "<!x", "<!--", "<!-->", "<!--->", "<!-- a --!>", "<!DOCTYPE", "<![endif]>", "<?", "<? a", "</", "</ a", "</>", "<a b='", '<a b="x>', "<p/", "&#xffffffff;", "&#55296;", "&#", "<script>", "</p></div>", "</unknown>"]
+
+
+@pytest.mark.parametrize("odd", ODD)
+def test_odd_markup_never_fails(odd):
+    assert [t for _, t, _ in he.blocks(f"<p>before</p>{odd}")][0] == "before"
+    after = [t for _, t, _ in he.blocks(f"<p>before</p>{odd}<p>after</p>")]
+    # an open comment or script holds the rest of the page, as in browsers
+    assert after[0] == "before" and (after[-1] == "after" or odd in ("<!--", "<script>"))
+
+
+@pytest.mark.parametrize(
+    "page, n",
+    [("<div>a" * 100_000, 100_000), ("<a " * 100_000, 0), ("<li><ul>" + "<span>" * 50_000 + "<li></li>" * 50_000, 0), ("<div>" * 50_000 + "</x>" * 50_000 + "z", 1), ("<p>x<!>" * 50_000, 50_000), ("<a b='" * 100_001, 0)],
+)
+def test_deep_and_broken_pages_are_linear(page, n):
+    began = time.time()
+    found = he.blocks(page)
+    assert time.time() - began < 8 and len(found) == n
+    assert all(len(a) <= he.DEPTH + 1 for a, _, _ in found)
+
+
+def test_ancestors_hold_the_innermost_block():
+    ancestors = he.blocks("<section>" + "<b>" * 30 + "x")[0][0]
+    assert ancestors[0][0] == "section" and [t for t, _ in ancestors[1:]] == ["b"] * he.DEPTH
+
+
+# Pages written by hand, main blocks marked by a star.
+BY_HAND = [
+    """<html><body><div id="top"><a href="/">Harbour Times</a> <a href="/x">Sport</a> <a href="/y">Money</a></div><div class="content"><h1>*Ferry fares rise in spring</h1><p>*The harbour board has agreed to raise all fares by a tenth.</p>
+    <p>*It says that fuel costs have doubled since last year, and that no route will close.</p><h2>*What it means</h2><ul><li>*A day ticket will cost six crowns.</li><li>*Children under ten travel free.</li></ul></div>
+    <div class="sidebar"><h3>Most read</h3><p><a href="/1">Council votes on bridge</a></p><p><a href="/2">Rain until Monday</a></p></div><div id="footer">Copyright 2021 Harbour Times. All rights reserved.</div></body></html>""",
+    """<body><header><h2>Old Mill Kitchen</h2><nav><a href=1>Recipes</a><a href=2>About</a></nav></header><main><article><h1>*Barley soup</h1><p>*Soak the barley overnight. Drain it and rinse it well.</p><aside class="ad">Try our new pans, now half price!</aside>
+    <p>*Fry the onions until they are soft, then add the stock.</p><blockquote>*My grandmother always added a bay leaf.</blockquote></article></main><section class="comments"><h3>3 comments</h3><div><p>Anna</p><p>Lovely soup, we had it twice this week.</p></div></section>
+    <form><label>Newsletter</label><input name=e><button>Sign up</button></form><footer><p>Imprint</p></footer></body>""",
+    """<body><div class="cookie-banner"><p>We use cookies to improve your visit. <button>Accept</button></p></div><table><tr><td class="menu"><ul><li><a href=a>Start</a></li><li><a href=b>Archive</a></li></ul></td><td><h1>*Notes on lichens</h1><p>*Lichens grow slowly, some by less than a millimetre in a year.
+    <p>*They are a partnership of a fungus and an alga.<p>*Walls of old churches carry specimens of great age.</td></tr></table><p class="copyright">&copy; Field Club</p></body>""",
+]
+
+
+def test_pages_written_by_hand(model):
+    right = total = 0
+    for page in BY_HAND:
+        want = [t.startswith("*") for _, t, _ in he.blocks(page)]
+        plain = page.replace("*", "")
+        text = he.main_text([plain], model)[0].split("\n\n")
+        got = [t in text for _, t, _ in he.blocks(plain)]
+        right += sum(a == b for a, b in zip(got, want, strict=True))
+        total += len(want)
+    assert right / total >= 0.95
+
+
+def test_clashing_columns(spark, model):
+    df = spark.createDataFrame([(1, "u", "<p>x", "y", 3, 4)], "page_id long, url string, html string, text string, n_chars long, `page id` long")
+    assert he.extract(df, model).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_very_long_page(model):
     html = "<body><article>" + "<p>Many words stand here, one after the other.</p>" * 20_000 + "</article><footer>&copy; x</footer>"
     assert he.main_text([html], model)[0].count("\n\n") == 19_999
