@@ -1,20 +1,25 @@
 """Substring dedup over sliding spans of sentences.
 
-Every run of ``SPAN`` consecutive sentences is hashed (XXH128 of the sentences with white
-space made even).  The first place of a hash, in order of doc_id and position, keeps its
-sentences; at every other place all sentences of the run are removed.
-
-Two consecutive sentences with ``LONG`` words or more together are a run as well, so that
-a passage of two long sentences is found.  A run of ``SPAN`` = 3 that such runs cover wholly
-is left out: wherever it repeats, they repeat too.
-
-A text with fewer than ``SPAN`` sentences is one run.  No run is too short to be hashed
-unless the caller sets ``min_words``.  A sentence ends after ``.``, ``!`` or ``?`` before
-white space, or at a line's end.
-
-Null and empty texts have no sentences and stay.  Rows that repeat wholly are one document and all get
-its result; rows with one id but other texts are told apart by the text's hash and come
-in its order.  A null doc_id comes last.  An empty table gives an empty result.
+Texts are cut into sentences, and these at commas, colons and semicolons, as a shared
+passage seldom begins and ends with whole sentences.  A span is a run of ``SPAN``
+consecutive pieces, lengthened piece by piece until it has ``WORDS`` words.  One begins at
+every piece from which that many words are left; the last of them also comes to the text's
+end, and a text with fewer words is one span.  So every piece of a text is in some span,
+and no span is left out for being short.
+
+Spans are hashed (XXH128 of the pieces with white space made even) and joined globally.
+The first place of a hash, in order of doc_id and position, keeps its pieces; at every
+other place all pieces of the span are removed.  Repeats inside a document are told where
+it is parsed, so only the first place of a hash in each document takes part in the join.
+
+A piece ends after one of ``.!?,;:`` and further signs before white space, or at a line's
+end.
+
+Null and empty texts have no sentences and stay.  Rows that repeat wholly are one document
+and all get its result; rows with one id but other texts do not remove from each other, nor
+do rows with a null id, which come last.  Ties cannot occur: places in a document differ.
+Very long texts are parsed as a whole, in memory in proportion to their length.  Further
+columns are left out whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,17 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.scratch import configure
+from cloakframe.llm.scratch import configure, materialize
 from cloakframe.llm.streams import texts
 
 SPAN = 3
-#: Words that make two sentences a run of their own.
-LONG = 20
-_ENDS = re.compile(rb"[.!?]+(?=[ \t\r\n])|\n+")
+#: Words that a span has at least, where the text has as many.
+WORDS = 30
+_ENDS = re.compile(rb"[.!?,;:][^A-Za-z0-9\x80-\xff\s]*(?=\s)|\n+")
 
 
 def sentences(text: bytes) -> list[tuple[int, int]]:
-    """(start, end) of each sentence in bytes, without white space around it."""
+    """(start, end) of each piece in bytes, without white space around it."""
     out = []
     at = 0
     for m in _ENDS.finditer(text):
@@ -55,19 +60,28 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return found
 
 
-def runs(text: bytes, span: int, min_words: int) -> list[tuple[int, bytes]]:
-    """(place, hash) of each run; place is twice the first sentence, plus 1 for a run of two."""
-    cleaned = [text[s:e].split() for s, e in sentences(text)]
-    counts = [len(w) for w in cleaned]
-    joined = [b" ".join(w) for w in cleaned]
-    n = min(span, len(joined))
-    if not n:
-        return []
-    long = [n > 2 and a + b >= max(LONG, min_words) for a, b in zip(counts, counts[1:])]
-    out = [(2 * i + 1, xxhash.xxh128_digest(b"\n".join(joined[i : i + 2]))) for i, on in enumerate(long) if on]
-    for i in range(len(joined) - n + 1):
-        if sum(counts[i : i + n]) >= min_words and not (n > 2 and all(long[i : i + n - 1])):
-            out.append((2 * i, xxhash.xxh128_digest(b"\n".join(joined[i : i + n]))))
+def ends(counts: list[int], span: int = SPAN, words: int = WORDS) -> list[int]:
+    """End (number of the piece behind) of the span that begins at each of the first pieces.
+
+    ``counts``: words of each piece.  Spans begin at the pieces from which ``span`` pieces
+    and ``words`` words are left, and at the first piece in any case.
+    """
+    n = len(counts)
+    total = np.concatenate(([0], np.cumsum(counts)))
+    last = min(n - span, int(np.searchsorted(total, total[-1] - words, "right")) - 1)
+    starts = np.arange(max(1, last + 1)) if n else np.empty(0, np.int64)
+    reach = np.searchsorted(total, total[starts] + words)
+    return np.minimum(n, np.maximum(reach, starts + span)).tolist()
+
+
+def spans(text: bytes, span: int = SPAN, words: int = WORDS) -> list[tuple[int, bytes]]:
+    """(place, hash) of each span; place is twice the first piece, plus 1 for one that comes to the text's end."""
+    pieces = [text[s:e].split() for s, e in sentences(text)]
+    joined = [b" ".join(p) for p in pieces]
+    to = ends([len(p) for p in pieces], span, words)
+    out = [(2 * i, xxhash.xxh128_digest(b"\n".join(joined[i:k]))) for i, k in enumerate(to)]
+    if to and to[-1] < len(joined):
+        out.append((2 * len(to) - 1, xxhash.xxh128_digest(b"\n".join(joined[len(to) - 1 :]))))
     return out
 
 
@@ -77,40 +91,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("d"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("h"), F.col("doc_id").isNull().alias("unnamed"), F.col("text"))
 
 
-def covered(docs: DataFrame, span: int = SPAN, min_words: int = 0) -> DataFrame:
-    """(d, h, starts) with the places of the runs to remove, for documents that lose any."""
+def covered(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> DataFrame:
+    """(d, h, starts) with the places of the spans to remove, for documents that lose any.
+
+    Texts are read twice, first for the hashes that occur again, of which each task sends
+    one count, then for their places.  What is sent twice is hashes and places, not texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, first, hashes = [], [], []
+            who, place, hashes = [], [], []
             for row, t in enumerate(texts(b.column(2))):
-                for at, digest in runs(t, span, min_words):
+                seen = set()
+                for at, digest in spans(t, span, words):
                     who.append(row)
-                    first.append(at)
+                    # the lowest bit tells a repeat inside the document
+                    place.append(at << 1 | (digest in seen))
                     hashes.append(digest)
+                    seen.add(digest)
             pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
             who_at = pa.array(who, pa.int64())
             h = np.asarray(b.column(1).to_numpy())[np.array(who, np.int64)]
-            place = h << 32 | np.array(first, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), b.column(0).take(who_at), pa.array(place)], ["x", "y", "d", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), b.column(0).take(who_at), pa.array(h << 32 | np.array(place, np.int64))], ["x", "y", "d", "place"])
 
-    spans = docs.select("d", "h", "text").mapInArrow(run, "x long, y long, d long, place long")
-    # partial minima bring a frequent run to one row a task
-    first = spans.groupBy("x", "y").agg(F.min(F.struct("d", "place")).alias("f"), F.max(F.struct("d", "place")).alias("l")).filter("f <> l").select("x", "y", "f")
-    again = spans.join(first, ["x", "y"]).filter(F.struct("d", "place") != F.col("f"))
-    each = again.select("d", F.shiftright("place", 32).alias("h"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("i")).distinct()
-    return each.groupBy("d", "h").agg(F.sort_array(F.collect_list("i")).alias("starts"))
+    found = docs.select("d", "h", "text").mapInArrow(run, "x long, y long, d long, place long")
+    # partial counts bring a frequent span to one row a task; written, so that the join below
+    # reads two plain shuffles, which lets Spark split a frequent span's partition
+    counted = found.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("d").alias("first")).filter("n > 1")
+    known = materialize(counted.select("x", "y", "first"), "repeated")
+    again = found.join(known, ["x", "y"]).filter((F.col("d") > F.col("first")) | (F.col("place").bitwiseAND(1) == 1))
+    each = again.select("d", F.shiftright("place", 32).alias("h"), F.shiftright(F.col("place").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("i"))
+    return each.groupBy("d", "h").agg(F.collect_set("i").alias("starts"))
 
 
-def cut(text: bytes, starts: list[int], span: int) -> tuple[bytes, int, int, int]:
-    """What is left of a text, its number of sentences, of removed ones, and of removed runs."""
+def cut(text: bytes, starts: list[int], span: int = SPAN, words: int = WORDS) -> tuple[bytes, int, int, int]:
+    """What is left of a text, its number of pieces, of removed ones, and of removed runs of them."""
     where = sentences(text)
+    if not starts:
+        return text, len(where), 0, 0
+    to = ends([len(text[s:e].split()) for s, e in where], span, words)
     gone = np.zeros(len(where) + 1, bool)
     for place in starts:
-        i = place >> 1
-        gone[i : min(i + (2 if place & 1 else span), len(where))] = True
-    if not gone.any():
-        return text, len(where), 0, 0
+        gone[place >> 1 : len(where) if place & 1 else to[place >> 1]] = True
     # a removed run takes the white space after it along
     pieces, at = [], 0
     edges = np.flatnonzero(np.diff(np.concatenate(([False], gone[:-1], [False])).astype(np.int8)))
@@ -121,15 +143,15 @@ def cut(text: bytes, starts: list[int], span: int) -> tuple[bytes, int, int, int
     return b"".join(pieces).rstrip() if not len(text) - at else b"".join(pieces), len(where), int(gone.sum()), len(edges) // 2
 
 
-def deduplicate(docs: DataFrame, span: int = SPAN, min_words: int = 0) -> DataFrame:
+def deduplicate(docs: DataFrame, span: int = SPAN, words: int = WORDS) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, n_spans, kept_sha256) for each row of ``docs`` (doc_id, text, ...)."""
     configure(docs.sparkSession)
     rows = _keyed(docs)
-    found = covered(rows, span, min_words)
+    found = covered(rows, span, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [cut(t, s or [], span) for t, s in zip(texts(b.column(1)), b.column(2).to_pylist(), strict=True)]
+            out = [cut(t, s or [], span, words) for t, s in zip(texts(b.column(1)), b.column(2).to_pylist(), strict=True)]
             kept = [t if was else None for (t, *_), was in zip(out, b.column(1).is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
