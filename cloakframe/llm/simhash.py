@@ -8,13 +8,17 @@ free (again ``radius + 1`` of them, so no link is lost) until it is small enough
 
 Within a bucket, candidates stand in blocks of 64: bit plane ``p`` of a block is one
 word with bit ``p`` of each candidate.  All queries walk the planes together; a
-carry-save counter (ones, twos, overflow) holds 64 distances in three words, and a
-query leaves a block as soon as every lane exceeds the radius.
+carry-save counter (ones, twos, and so on up to the radius, then overflow) holds 64
+distances in a few words, and a query leaves a block as soon as every lane exceeds the
+radius.
 
 Buckets return the edges of a spanning forest, never all pairs, and equal fingerprints
 count once.  Null texts are empty texts, texts without words have fingerprint zero and
-are linked like any other; rows with a null id get a component but never name one;
-repeated rows come back repeated; an empty table gives an empty result.
+are linked like any other; rows with a null id link like any other, but never name a
+component (one that only they reach is null); ids are below 2^62; repeated rows come back
+repeated; rows with one id link what each of their texts links; very long texts are hashed
+as a whole, with memory in proportion; further columns are left out whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from cloakframe.llm.streams import group_starts, texts, whole_groups
 BUCKET = 4096
 #: Planes between two looks at which queries can leave a block.
 STRIDE = 8
+#: Ids from here on stand for rows without an id.
+NAMELESS = 1 << 62
 _ONE = np.uint64(1)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -53,13 +59,16 @@ def text_fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
         digest = xxhash.xxh64_intdigest
         last = ends[width - 1 :].tolist()
         hashes = [digest(joined[i:j], seed) for i, j in zip(starts[: len(last)].tolist(), last, strict=True)]
-    h = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        part = h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(h))
-    return int.from_bytes(bits.tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -73,14 +82,13 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_sliced_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of rows: equal for rows of a group that are linked directly or by others.
+def _near(fp: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, firsts, hits): each row, the first member of a block of its group, and the lanes of that block within the radius.
 
-    ``fp``: uint64 fingerprints, groups laid one after another from ``starts``.  The
-    label is the first linked row's number.
+    ``fp``: uint64 fingerprints, groups laid one after another from ``starts``.  A row is
+    no hit of its own.
     """
     n = len(fp)
-    label = np.arange(n)
     sizes = np.diff(np.append(starts, n))
     group = np.repeat(np.arange(len(starts)), sizes)
     place = np.arange(n) - starts[group]
@@ -94,15 +102,11 @@ def bit_sliced_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> np.ndar
     for p in range(64):
         planes[p] = np.bitwise_or.reduceat(((fp >> np.uint64(p)) & _ONE) << lane, block_start)
     valid = np.bitwise_or.reduceat(_ONE << lane, block_start)
-    alone = sizes == 1
-    queries = np.flatnonzero(~alone[group])
-    if not len(queries):
-        return label
+    queries = np.flatnonzero(sizes[group] > 1)
     # one entry for each query and block of its group, in slices of bounded size
     reps = blocks[group[queries]]
     bounds = np.cumsum(reps)
     at = 0
-    kept_rows, kept_blocks, kept_hits = [], [], []
     while at < len(queries):
         base = bounds[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(bounds, base + (1 << 19), "right")))
@@ -111,46 +115,73 @@ def bit_sliced_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> np.ndar
         block = first_block[group[q]] + inner
         at = to
         own = fp[q]
-        ones = np.zeros(len(q), np.uint64)
-        twos, over = ones.copy(), ones.copy()
+        # a bit-sliced number for each lane, and whether it overflowed
+        digits = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]
+        over = np.zeros(len(q), np.uint64)
         for p in range(64):
-            x = planes[p, block] ^ np.where(own >> np.uint64(p) & _ONE, _ALL, np.uint64(0))
-            carry = ones & x
-            ones ^= x
-            over |= twos & carry
-            twos ^= carry
+            carry = planes[p, block] ^ np.where(own >> np.uint64(p) & _ONE, _ALL, np.uint64(0))
+            for d in digits:
+                more = d & carry
+                d ^= carry
+                carry = more
+            over |= carry
             if p % STRIDE == STRIDE - 1:
-                far = _beyond(ones, twos, over, radius)
-                live = (valid[block] & ~far) != 0
+                live = (valid[block] & ~_beyond(digits, over, radius)) != 0
                 if not live.all():
-                    q, block, own, ones, twos, over = (v[live] for v in (q, block, own, ones, twos, over))
+                    q, block, own, over, *digits = (v[live] for v in (q, block, own, over, *digits))
                 if not len(q):
                     break
         if len(q):
-            hits = valid[block] & ~_beyond(ones, twos, over, radius)
+            hits = valid[block] & ~_beyond(digits, over, radius)
             hits &= ~np.where(block == block_of[q], _ONE << lane[q], np.uint64(0))
             some = hits != 0
-            kept_rows.append(q[some])
-            kept_blocks.append(block[some])
-            kept_hits.append(hits[some])
-    if not kept_rows:
+            yield q[some], block_start[block[some]], hits[some]
+
+
+def _lanes(hits: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(hits).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+
+
+def bit_sliced_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of rows: equal for rows of a group that are linked directly or by others.
+
+    The label is the first linked row's number.
+    """
+    n = len(fp)
+    label = np.arange(n)
+    found = list(_near(fp, starts, radius))
+    if not found:
         return label
-    rows, block, hits = (np.concatenate(v) for v in (kept_rows, kept_blocks, kept_hits))
+    rows, first, hits = (np.concatenate(v) for v in zip(*found, strict=True))
     while True:
         before = label.copy()
         for s in range(0, len(rows), 1 << 16):
-            r, b, h = rows[s : s + (1 << 16)], block[s : s + (1 << 16)], hits[s : s + (1 << 16)]
-            on = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-            member = np.minimum(block_start[b][:, None] + np.arange(64), n - 1)
-            np.minimum.at(label, r, np.where(on, label[member], n).min(1))
+            r, b, h = rows[s : s + (1 << 16)], first[s : s + (1 << 16)], hits[s : s + (1 << 16)]
+            member = np.minimum(b[:, None] + np.arange(64), n - 1)
+            np.minimum.at(label, r, np.where(_lanes(h), label[member], n).min(1))
         label = label[label]
         if (label == before).all():
             return label
 
 
-def _beyond(ones: np.ndarray, twos: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose count, held as over / twos / ones, exceeds the radius (0 to 3)."""
-    return over | (ones | twos, twos, ones & twos, np.uint64(0) * ones)[radius]
+def bit_sliced_pairs(fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of (i, j), i > j, of all rows of one group within the radius of each other."""
+    for rows, first, hits in _near(fp, np.zeros(1, np.int64), radius):
+        for s in range(0, len(rows), 1 << 14):
+            k, lane = np.nonzero(_lanes(hits[s : s + (1 << 14)]))
+            i, j = rows[s : s + (1 << 14)][k], first[s : s + (1 << 14)][k] + lane
+            yield i[i > j], j[i > j]
+
+
+def _beyond(digits: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose count, held in binary digits and an overflow, exceeds the radius."""
+    more, same = over, _ALL
+    for k in range(len(digits) - 1, -1, -1):
+        if radius >> k & 1:
+            same = same & digits[k]
+        else:
+            more, same = more | (same & digits[k]), same & ~digits[k]
+    return more
 
 
 def _bands(free: list[int], radius: int) -> list[list[int]]:
@@ -205,19 +236,17 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
         level, paths = rows.join(hot, ["band", "k1"], "left_semi"), nxt
 
 
-def _groups(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, component_id) of each fingerprint."""
-    configure(docs.sparkSession)
-    fps = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = connected_components(links(distinct.filter("rep is not null"), radius))
-    return fps, distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-
-
 def near_duplicate_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable over links of at most ``radius`` bits.
     """
-    fps, of = _groups(docs, width, radius)
+    configure(docs.sparkSession)
+    fps = materialize(fingerprints(docs, width), "fingerprints")
+    # fingerprints that only rows without an id have are linked under ids above all others
+    least = F.coalesce(F.min("doc_id"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("fp"), 3))
+    distinct = materialize(fps.groupBy("fp").agg(least.alias("rep")), "distinct")
+    found = connected_components(links(distinct, radius))
+    named = distinct.join(found, distinct["rep"] == found["node"], "left").withColumn("c", F.coalesce("component", "rep"))
+    of = named.select("fp", F.when(F.col("c") < NAMELESS, F.col("c")).alias("component_id"))
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

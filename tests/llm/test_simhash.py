@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -85,5 +86,37 @@ def test_edges(spark):
     nulls = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "zz")], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(nulls).collect()}
     assert got == {(None, 5), (5, 5), (None, None)}
+    # a text that only a row without an id has links like any other, and connects others
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(40)]
+    near = {}
+    while len(near) < 3:
+        t = " ".join(w if rng.random() < 0.97 else w + "x" for w in base * 8)
+        bits = [(simhash.text_fingerprint(t.encode()) ^ simhash.text_fingerprint(x.encode())).bit_count() for x in near.values()]
+        if not bits or 0 < bits[0] <= 2 and (len(bits) < 2 or bits[1] > 2):
+            near[len(near)] = t
+    rows = [(None, near[0]), (9, near[1]), (7, near[2])]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 7), (9, 7), (7, 7)}
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([], "fp long, rep long"), 9)
+
+
+def test_pairs_at_any_radius():
+    rng = random.Random(7)
+    base = rng.getrandbits(64)
+    fps = []
+    for _ in range(150):
+        g = base
+        for _ in range(rng.randint(0, 40)):
+            g ^= 1 << rng.randrange(64)
+        fps.append(g)
+    v = np.array(fps, np.uint64)
+    for radius in (0, 1, 2, 3, 7, 8, 20, 28, 63):
+        got = {(int(a), int(b)) for i, j in simhash.bit_sliced_pairs(v, radius) for a, b in zip(i, j)}
+        assert got == {(i, j) for i in range(150) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius}
+
+
+def test_very_long_text():
+    words = [f"w{i % 999}" for i in range(300_000)]
+    assert simhash.text_fingerprint(" ".join(words).encode()) == brute_fingerprint(" ".join(words))
