@@ -1,4 +1,4 @@
-"""One document of each group of near copies: exact Jaccard similarity of word shingles.
+"""One document of each group of near copies: SimHash comparison and exact Jaccard similarity.
 
 A text's shingles are the runs of ``WIDTH`` words (a shorter text is one shingle), A-Z
 lower-cased, as XXH64.  Documents whose sets have a Jaccard similarity of at least
@@ -7,15 +7,20 @@ lower-cased, as XXH64.  Documents whose sets have a Jaccard similarity of at lea
 At a similarity of 0.8, 64-bit SimHash fingerprints differ in some ten bits, too many for
 buckets by agreeing bits.  Buckets therefore come from ``BANDS`` bands of ``DEPTH``
 min-hashes; a pair at exactly 0.8 meets in at least one with probability 0.99993, a closer
-one with more.  Every link is confirmed on the whole shingle sets, computed from the texts.
+one with more.  Within a group of comparisons the bit-sliced SimHash comparison finds the
+pairs within ``RADIUS`` bits (more than five deviations above the mean at 0.8), and these
+are confirmed on their whole shingle sets, computed from the texts.
 
 First each document is compared with the least document of its buckets.  Buckets whose
 members are then still in several components are compared in full, except pairs that are
 linked already.  Groups of comparisons hold at most two blocks of about ``BLOCK`` texts,
 so no bucket is capped and none needs one task.
 
-Null texts are empty texts; texts without words are copies of each other.  Rows with a
-null id never name a group; rows of one id are in one group.  An empty table gives an empty result.
+Null texts are empty texts; texts without words are copies of each other.  Rows without an
+id are linked like any other under ids above all others (real ids are below 2^62), one for
+each text.  Rows of one id are in one group.  Very long texts are parsed as a whole, with
+memory in proportion.  Further columns are kept whatever their names.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +32,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloakframe.llm.components import connected_components
-from cloakframe.llm.scratch import configure, materialize
+from cloakframe.llm.scratch import columns, configure, fresh, materialize
+from cloakframe.llm.simhash import NAMELESS, bit_sliced_pairs, majority
 from cloakframe.llm.streams import group_starts, texts, whole_groups
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, DEPTH = 24, 5
+#: Differing bits of the fingerprints of pairs that are confirmed.
+RADIUS = 28
 #: Texts in a block of a group of comparisons, about.
 BLOCK = 256
 _SEED = 42
@@ -80,6 +87,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+def _key() -> F.Column:
+    """A row's id; one above all others for a text without an id."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.shiftrightunsigned(F.xxhash64("text"), 3))
+
+
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp, keys) of each row: the set's digest and its band keys."""
 
@@ -89,7 +101,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in sets], pa.int64()), keys], ["doc_id", "fp", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, keys array<long>")
+    return docs.select(_key().alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, keys array<long>")
 
 
 def _confirmed(groups: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -110,14 +122,14 @@ def _confirmed(groups: DataFrame, found: DataFrame, width: int, similarity: floa
                 # rows of one id with other texts come along
                 own = [k for k in range(e - s) if set_digest(sets[k]) == fp[s + k]]
                 # component of each member, named by its label
-                of = label[s:e].copy()
-                for i in own:
-                    if not rest[s + i]:
-                        continue
-                    for j in own:
-                        if of[i] != of[j] and (j < i or not rest[s + j]) and similar(sets[i], sets[j], similarity):
-                            left.append(rep[s + i])
-                            right.append(rep[s + j])
+                of = label[s:e][own]
+                marks = np.array([majority(sets[k]) for k in own], np.uint64)
+                first = rest[s:e][own]
+                for near in bit_sliced_pairs(marks, RADIUS):
+                    for i, j in zip(*(x.tolist() for x in near), strict=True):
+                        if of[i] != of[j] and (first[i] or first[j]) and similar(sets[own[i]], sets[own[j]], similarity):
+                            left.append(rep[s + own[i]])
+                            right.append(rep[s + own[j]])
                             of[of == of[j]] = of[i]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
@@ -135,7 +147,7 @@ def _links(docs: DataFrame, distinct: DataFrame, width: int, similarity: float)
     shared = rows.groupBy("k").agg(F.min("m").alias("c"), F.max("m").alias("x")).filter("c <> x").select("k", "c")
     buckets = materialize(rows.join(shared, "k"), "buckets")
     ids = buckets.select(F.col("m.rep").alias("doc_id")).distinct()
-    found = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "candidates")
+    found = materialize(docs.select(_key().alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "candidates")
 
     # each document and the least one of its buckets
     nearest = buckets.groupBy("m").agg(F.min("c").alias("c")).filter("c <> m")
@@ -164,41 +176,37 @@ def _links(docs: DataFrame, distinct: DataFrame, width: int, similarity: float)
 
 
 def _groups(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, component_id) of each set."""
+    """(doc_id, fp) of each row, and (fp, component_id) of each set; ids stand in for null ones."""
     configure(docs.sparkSession)
     rows = materialize(_sketches(docs, width), "sketches")
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "distinct")
-    found = connected_components(_links(docs, distinct.filter("rep is not null"), width, similarity))
+    found = connected_components(_links(docs, distinct, width, similarity))
     return rows.select("doc_id", "fp"), distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
 def groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for each row of ``docs``; component_id is the smallest doc_id of the group."""
+    """(doc_id, component_id) for each row of ``docs``; component_id is the smallest doc_id of the group, null if it has none."""
     rows, of = _groups(docs, width, similarity)
-    return rows.join(of, "fp").select("doc_id", "component_id")
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return rows.join(of, "fp").select(named("doc_id"), named("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with all their columns, one row of each group of near copies: that of the smallest doc_id.
 
-    Of rows with that id one stays.  Rows without an id stay where no row of their
-    set of shingles has one, one for each set.
+    Of several rows with that id the one with the least hash of its columns stays, so
+    reruns agree.  Of a group without any id one row stays.
     """
     rows, of = _groups(docs, width, similarity)
-    kept = materialize(rows.join(of, "fp").filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "kept_id"), "kept")
-    out = docs.join(kept.select("kept_id"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    if not kept.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    unnamed = docs.filter("doc_id is null")
-    if unnamed.isEmpty():
-        return out
-    at = docs.columns.index("text")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = pa.array([set_digest(shingles(t, width)) for t in texts(b.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, "_fp"])
-
-    marked = unnamed.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
-    alone = of.filter("component_id is null").select(F.col("fp").alias("_alone"))
-    return out.union(marked.join(alone, F.col("_fp") == F.col("_alone"), "left_semi").dropDuplicates(["_fp"]).drop("_fp"))
+    key, n, row, order = fresh(docs, "key", "n", "row", "order")
+    named = rows.join(of, "fp").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias(n)).withColumnRenamed("doc_id", key)
+    # ids that go and ids that several rows have are few, so mostly nothing but them is moved
+    gone = named.filter(F.col("c") < F.col(key)).select(key)
+    several = materialize(named.filter((F.col("c") == F.col(key)) & (F.col(n) > 1)).select(key), "several")
+    left = docs.withColumn(key, _key()).join(materialize(gone, "gone"), key, "left_anti")
+    if several.isEmpty():
+        return left.select(*columns(docs))
+    hashed = [c for c, f in zip(columns(docs), docs.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()]
+    repeated = left.join(several, key, "left_semi").select(key, F.struct(*columns(docs)).alias(row), F.xxhash64(*hashed).alias(order))
+    one = repeated.groupBy(key).agg(F.min_by(row, order).alias(row)).select(f"{row}.*")
+    return left.join(several, key, "left_anti").select(*columns(docs)).union(one)

@@ -69,3 +69,30 @@ def test_edges(spark):
     rows = [(None, t), (5, t), (7, t + " u"), (7, "quite another text of its own here"), (None, "zz"), (None, "zz")]
     got = near_copies.keep_one(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("5", t), ("None", "zz")]
+
+
+def test_rows_without_an_id_are_linked(spark):
+    words = [f"v{i}" for i in range(60)]
+    near = lambda k: " ".join([*words[:k], "other", *words[k + 1 :]])
+    rows = [(None, near(20)), (9, " ".join(words)), (None, "u1 u2 u3 u4 u5 u6"), (None, "u1 u2 u3 u4 u5 u6"), (11, near(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in near_copies.groups(docs).collect())
+    assert got == [("11", "9"), ("9", "9"), ("None", "9"), ("None", "None"), ("None", "None")]
+    assert sorted((str(r.doc_id), r.text) for r in near_copies.keep_one(docs).collect()) == [("9", rows[1][1]), ("None", rows[2][1])]
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, t, 5, "a", 1, "x"), (1, t, 5, "b", 2, "y"), (2, t, 6, "c", 3, "z"), (3, "alone it is", 7, "d", 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, n string, `row` int, `a.b` string")
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns
+    first = sorted(map(tuple, got.collect()))
+    assert len(first) == 2 and first[0][0] == 1 and first[1] == rows[3]
+    assert sorted(map(tuple, near_copies.keep_one(docs.repartition(7)).collect())) == first
+
+
+def test_very_long_texts(spark):
+    t = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, t), (2, t + " end"), (3, t[: len(t) // 2])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [1, 3]
