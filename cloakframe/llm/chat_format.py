@@ -6,11 +6,15 @@ conversation run in order through the machine, which emits text segments, each w
 loss flag, and notes whether the order of roles is allowed.  Inside texts the control
 strings are escaped, so the output can be read back without loss.
 
-Conversations of any length stream through a task; the state kept is one running hash.
-A conversation's turns come sorted by turn, then role and text.  Null turns come first,
-null roles are roles named by an empty string, null texts are empty; repeated rows are
-turns of their own; unknown roles use the template's ``other``; an empty table gives an
-empty result.
+The output is read back by a scanner that goes from mark to mark and takes it in pieces
+cut anywhere, so conversations of any length stream through a task; a turn takes memory
+in proportion to its text, a few bytes for each character.
+
+A conversation's turns come sorted by turn, then role and text, which settles ties.  Null
+turns come first, null roles are roles named by an empty string, null texts are empty;
+rows with a null conv_id are one conversation; repeated rows are turns of their own;
+unknown roles use the template's ``other``; further columns are left out whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,20 +85,17 @@ class Machine:
         firsts = "".join(sorted({m[0] for m in marks}))
         # each first letter of a control string is escaped where one stands, and the sign itself
         self._inside = re.compile("|".join([re.escape(t.escape), *(f"(?={re.escape(m)})" for m in marks)]))
-        self._escaped = re.compile(re.escape(t.escape) + f"([{re.escape(t.escape + firsts)}])")
+        self._firsts = frozenset(firsts + t.escape)
         self._head, self._tail = t.other.before.split("|")
-        body = f"(?:[^{re.escape(t.escape)}]|{re.escape(t.escape)}.)*?"
-        parts = [f"{re.escape(r.before)}(?P<t{i}>{body}){re.escape(r.after)}" for i, r in enumerate(t.roles.values())]
-        parts.append(f"{re.escape(self._head)}(?P<name>{body}){re.escape(self._tail)}(?P<other>{body}){re.escape(t.other.after)}")
-        self._turn = re.compile("|".join(parts), re.DOTALL)
+        # what a scanner stops at: an escaped sign, or a control string
+        self._mark = re.compile("|".join([re.escape(t.escape) + ".", *map(re.escape, marks)]), re.DOTALL)
+        self.longest = max(2, *map(len, marks))
+        self.opening = {r.before: (name, r) for name, r in t.roles.items()}
 
     def escape(self, text: str) -> str:
         e = self.template.escape
         return self._inside.sub(lambda m: e + m.group(), text)
 
-    def unescape(self, text: str) -> str:
-        return self._escaped.sub(r"\1", text)
-
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """(text, loss) segments of a turn."""
         r = self.template.roles.get(role)
@@ -104,30 +105,17 @@ class Machine:
 
     def read(self, formatted: str) -> tuple[str, str, bool]:
         """(role, text, loss) of one formatted turn."""
-        m = self._turn.fullmatch(formatted)
-        if m is None:
+        reader = Reader(self, begun=True)
+        found = [*reader.feed(formatted), *reader.feed("", last=True)]
+        if len(found) != 1 or reader.place != len(formatted):
             raise ValueError("this is not a formatted turn")
-        return self._found(m)
-
-    def _found(self, m: re.Match) -> tuple[str, str, bool]:
-        for i, (name, r) in enumerate(self.template.roles.items()):
-            if m[f"t{i}"] is not None:
-                return name, self.unescape(m[f"t{i}"]), r.loss
-        return self.unescape(m["name"]), self.unescape(m["other"]), self.template.other.loss
+        return found[0][:3]
 
     def split(self, conversation: str) -> list[str]:
         """The formatted turns of a formatted conversation."""
-        t = self.template
-        if not conversation.startswith(t.begin) or not conversation.endswith(t.end):
-            raise ValueError("this is not a formatted conversation")
-        out, at, stop = [], len(t.begin), len(conversation) - len(t.end)
-        while at < stop:
-            m = self._turn.match(conversation, at, stop)
-            if m is None:
-                raise ValueError("this is not a formatted conversation")
-            out.append(m.group())
-            at = m.end()
-        return out
+        reader = Reader(self)
+        ends = [len(self.template.begin), *(x[3] for x in [*reader.feed(conversation), *reader.close()])]
+        return [conversation[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
     def allowed(self, state: str, role: str) -> bool:
         return role in self.template.moves.get(state, frozenset())
@@ -136,34 +124,63 @@ class Machine:
 class Reader:
     """Finds the turns of one formatted conversation that comes in pieces, cut anywhere.
 
-    Holds no more than what follows the last whole turn.
+    Holds the text of the open turn and what may be the beginning of a mark.
     """
 
-    def __init__(self, machine: Machine) -> None:
+    def __init__(self, machine: Machine, begun: bool = False) -> None:
         self.machine = machine
-        self._begun = False
+        #: Letters read so far that belong to whole marks and turns.
+        self.place = 0
         self._rest = ""
-
-    def feed(self, piece: str) -> list[tuple[str, str, bool]]:
-        """(role, text, loss) of each turn that ends in this piece."""
-        t, at, out = self.machine.template, 0, []
-        self._rest += piece
-        if not self._begun:
-            if len(self._rest) < len(t.begin):
-                return out
-            if not self._rest.startswith(t.begin):
+        self._state = "turn" if begun else "begin"
+        self._role, self._rule = "", machine.template.other
+        self._text: list[str] = []
+
+    def feed(self, piece: str, last: bool = False) -> list[tuple[str, str, bool, int]]:
+        """(role, text, loss, place of the end) of each turn that ends in this piece."""
+        m, t, out = self.machine, self.machine.template, []
+        held = self._rest + piece
+        at, stop = 0, len(held) if last else len(held) - m.longest + 1
+        while at < stop:
+            inside = self._state in ("name", "text")
+            found = (m._mark.search if inside else m._mark.match)(held, at)
+            if found is None or found.start() >= stop:
+                if not inside:
+                    raise ValueError("this is not a formatted conversation")
+                self._text.append(held[at:stop])
+                at = stop
+                break
+            self._text.append(held[at : found.start()])
+            at, mark = found.end(), found.group()
+            if inside and mark[0] == t.escape:
+                self._text.append(mark[1] if mark[1] in m._firsts else mark)
+            elif self._state == "begin" and mark == t.begin:
+                self._state = "turn"
+            elif self._state == "turn" and mark in m.opening:
+                self._role, self._rule = m.opening[mark]
+                self._state = "text"
+            elif self._state == "turn" and mark == m._head:
+                self._rule, self._state = t.other, "name"
+            elif self._state == "name" and mark == m._tail:
+                self._role, self._state = "".join(self._text), "text"
+                self._text = []
+            elif self._state == "text" and mark == self._rule.after:
+                out.append((self._role, "".join(self._text), self._rule.loss, self.place + at))
+                self._text, self._state = [], "turn"
+            elif self._state == "turn" and mark == t.end:
+                self._state = "end"
+            else:
                 raise ValueError("this is not a formatted conversation")
-            self._begun, at = True, len(t.begin)
-        while (m := self.machine._turn.match(self._rest, at)) is not None:
-            out.append(self.machine._found(m))
-            at = m.end()
-        self._rest = self._rest[at:]
+        self.place += at
+        self._rest = held[at:]
         return out
 
-    def close(self) -> None:
-        """Only the conversation's end may be left."""
-        if not self._begun or self._rest != self.machine.template.end:
+    def close(self) -> list[tuple[str, str, bool, int]]:
+        """The turns that end in what is held back; the conversation's end must be the last."""
+        out = self.feed("", last=True)
+        if self._state != "end":
             raise ValueError("this is not a formatted conversation")
+        return out
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
@@ -264,25 +281,27 @@ def _read_back(rows: Iterable[tuple], machine: Machine) -> Iterator[tuple]:
     """Rows of digests, from what a reader finds in the joined segments of each conversation."""
     now: list | None = None
     reader = Reader(machine)
-    for c, _, position, segments, ok in _formatted(rows, machine):
-        if position == 0:
-            if now is not None:
-                reader.close()
-                yield _done(now)
-            now, reader = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True], Reader(machine)
-        out = "".join(s for s, _ in segments)
-        for role, text, loss in reader.feed(out):
+
+    def note(found: list[tuple]) -> None:
+        for role, text, loss, _ in found:
             now[1] += 1
-            now[2].update(f"{role}\n{text}\n".encode())
+            for part in (role, "\n", text, "\n"):
+                now[2].update(part.encode())
             if loss:
                 now[3] += len(text)
                 now[4].update(text.encode())
-        now[5] += len(out)
-        now[6] = now[6] and ok
-    if now is not None:
-        reader.close()
-        yield _done(now)
 
+    def done() -> tuple:
+        note(reader.close())
+        return (now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), reader.place, now[5])
 
-def _done(now: list) -> tuple:
-    return (now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5], now[6])
+    for c, _, position, segments, ok in _formatted(rows, machine):
+        if position == 0:
+            if now is not None:
+                yield done()
+            now, reader = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), True], Reader(machine)
+        for piece, _ in segments:
+            note(reader.feed(piece))
+        now[5] = now[5] and ok
+    if now is not None:
+        yield done()

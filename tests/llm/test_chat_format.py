@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -99,10 +101,27 @@ def test_a_reader_takes_pieces_cut_anywhere():
     for size in (1, 2, 3, 5, 7, 1000):
         reader = cf.Reader(machine)
         found = [x for at in range(0, len(whole), size) for x in reader.feed(whole[at : at + size])]
-        reader.close()
+        found += reader.close()
         assert [x[:2] for x in found] == turns and [x[2] for x in found] == [False, True, False, False, False]
     for broken in (whole[:-1], whole + "x", whole[1:]):
         reader = cf.Reader(machine)
         with pytest.raises(ValueError):
             reader.feed(broken)
             reader.close()
+
+
+def test_very_long_turn_takes_memory_in_proportion():
+    text = ("word > [INST] \\ and more of it " * 100_000)[:3_000_000]
+    tracemalloc.start()
+    began = time.time()
+    (got,) = cf._read_back(iter([(1, 0, "user", text), (1, 1, "assistant", "ok")]), cf.Machine())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text) and time.time() - began < 60
+    assert got[1] == 2 and got[2] == hashlib.sha256(f"user\n{text}\nassistant\nok\n".encode()).hexdigest()
+
+
+def test_clashing_columns_and_null_ids(spark):
+    df = spark.createDataFrame([(None, 1, "assistant", "b", 1, 2), (None, 0, "user", "a", 3, 4)], "conv_id long, turn long, role string, text string, n_turns int, valid int")
+    (got,) = cf.digests(df).collect()
+    assert got.conv_id is None and got.n_turns == 2 and got.valid
