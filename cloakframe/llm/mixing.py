@@ -4,20 +4,25 @@ A source's target is its share, by weight, of all words; targets stop at ``cap``
 the source's own words, the excess going to the others by weight.  A source first gives
 as many complete epochs as fit.  The rest comes from a weighted sample without
 replacement: each document has the exponential key ``-ln(u) / quality`` with ``u`` from
-a hash of its id, keys are sorted within the source and sizes summed up to the budget;
+the MD5 of its id, keys are sorted within the source and sizes summed up to the budget;
 the document at the edge gives the words that are still missing.
 
-Keys are mapped to bins of equal width first.  Word counts are added by source and bin,
-and only the bin at a source's edge is sorted, so no source meets in one task.
-
-Null texts have no words; a null source is a source of its own, last in order; equal
-keys are taken in order of doc_id and size, which leaves repeated rows alike; without
-words nothing is taken; an empty table gives an empty result.  Qualities that are null,
-not finite or not above zero count as 1.
+Keys are mapped to bins of equal width first, more of them the more rows there are.  Word
+counts are added by source and bin, and only the bin at a source's edge is sorted, so no
+source meets in one task.  Nothing but a row count reaches the driver; what is known of
+the sources is a table of one row each.
+
+Null texts have no words; a null source is a source of its own, last in order; a null
+doc_id takes its key from the text; equal keys are taken in order of doc_id and size,
+which leaves repeated rows alike; without words nothing is taken; very long texts are
+counted as a whole; further columns are left out whatever their names (``apply`` keeps
+them); an empty table gives an empty result.  Qualities that are null, not finite or not
+above zero count as 1.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,88 +31,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.scratch import configure, materialize
+from cloakframe.llm.scratch import columns, configure, fresh, materialize
 from cloakframe.llm.streams import texts
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
+#: Bins of keys, at least; above, one for so many rows.
 BINS = 4096
+BIN_ROWS = 20_000
 SEED = 97
 #: Quality of documents by label; those without a label count as 1.
 LABEL_QUALITY = {1: 2.0, 0: 0.5}
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, text hash) for each row; words are runs of other than white space."""
+def unit(doc_id: F.Column, text: F.Column, seed: int = SEED) -> F.Column:
+    """A number above 0 and up to 1 from a document's id, or from its text if it has none."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text, F.lit("")))))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
+
+
+def words(text: F.Column) -> F.Column:
+    """Number of runs of other than white space."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = pa.array([len(t.split()) for t in texts(b.column(2))], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "source", "size"])
-
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return cols.mapInArrow(run, "doc_id long, source string, size long")
-
-
-def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
-    """Shares of ``sum(sizes)`` by weight, each at most ``cap`` times its size."""
-    total = float(sum(sizes))
-    out = np.zeros(len(sizes))
-    left = np.array(weights, float)
-    limit = np.array(sizes, float) * cap
-    free = np.ones(len(sizes), bool)
-    rest = total
-    while free.any() and rest > 0:
-        share = np.where(free, left, 0) / left[free].sum() * rest
-        full = free & (share > limit)
-        if not full.any():
-            out[free] = share[free]
-            break
-        out[full] = limit[full]
-        rest -= limit[full].sum()
-        free &= ~full
-    return out.tolist()
+
+def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
+    """(src, source_size, target) for each row of ``sizes`` (source, words).
+
+    Weights repeat over the sources by code point, null last.  With sources in order of
+    the words at which they are full, by weight, the level that the others share is the
+    highest of what is left over the weight that is left.
+    """
+    everything = Window.orderBy(F.col("source").asc_nulls_last())  # a row a source
+    number = (F.row_number().over(everything) - 1) % len(weights)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), number + 1)
+    s = sizes.select("source", F.col("words").alias("source_size"), w.alias("w"), (F.lit(float(cap)) * F.col("words")).alias("full"))
+    before = Window.orderBy(F.col("full") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0.0)
+    s = s.withColumns({"given": F.coalesce(F.sum("full").over(before), none), "weighed": F.coalesce(F.sum("w").over(before), none)})
+    whole = Window.partitionBy()
+    s = s.withColumn("all_words", F.sum("source_size").over(whole)).withColumn("all_weights", F.sum("w").over(whole))
+    s = s.withColumn("level", F.max((F.col("all_words") - F.col("given")) / (F.col("all_weights") - F.col("weighed"))).over(whole))
+    return s.select(F.col("source").alias("src"), "source_size", F.least("full", F.col("w") * F.col("level")).alias("target"))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for each row of ``docs`` (doc_id, source, text, ...).
 
     ``quality`` (doc_id, quality) is optional.  ``weights`` repeat over the sources by
-    code point.  The list of sources is held on the driver; documents are not.
+    code point.
     """
-    spark = docs.sparkSession
-    configure(spark)
-    sized = word_counts(docs)
+    configure(docs.sparkSession)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), unit(F.col("doc_id"), F.col("text"), seed).alias("u"))
     if quality is not None:
         q = quality.select(F.col("doc_id").alias("qid"), F.col("quality").cast("double").alias("q")).groupBy("qid").agg(F.max("q").alias("q"))
         sized = sized.join(q, sized["doc_id"] == q["qid"], "left").drop("qid")
     else:
         sized = sized.withColumn("q", F.lit(1.0))
     q = F.when((F.col("q") > 0) & ~F.isnan("q") & (F.col("q") < float("inf")), F.col("q")).otherwise(1.0)
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 1) / F.lit(float(1 << 53))
-    key = -F.log(u) / q
-    sized = sized.select("doc_id", "source", "size", key.alias("key"))
-    sized = materialize(sized.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * BINS)), "sizes")
-    bins = materialize(sized.groupBy("source", "bin").agg(F.sum("size").alias("words")), "bins")
-    found = bins.groupBy("source").agg(F.sum("words").alias("words")).collect()  # one row a source
-    # UTF-8 keeps the order of code points; null is last
-    found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes = [int(r.words) for r in found]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], cap)
-    rows = []
-    for r, size, t in zip(found, sizes, goal, strict=True):
-        epochs = min(int(t // size), int(cap)) if size else 0
-        budget = round(t - epochs * size) if size else 0
-        if size and budget >= size:
-            epochs, budget = epochs + 1, 0
-        rows.append((r.source, size, float(t), epochs, budget if epochs < cap else 0))
-    sources = spark.createDataFrame(rows, "src string, source_size long, target double, epochs int, budget long")
+    sized = materialize(sized.select("doc_id", "source", "size", (-F.log("u") / q).alias("key")), "sizes")
+    bins = max(BINS, math.ceil(sized.count() / BIN_ROWS))
+    sized = sized.withColumn("bin", F.floor(F.col("key") / (F.col("key") + 1) * bins))
+    filled = materialize(sized.groupBy("source", "bin").agg(F.sum("size").alias("words")), "bins")
+    goal = targets(filled.groupBy("source").agg(F.sum("words").alias("words")), weights, cap)
+    # a budget that fills one more epoch is one
+    size, full = F.col("source_size"), F.floor(F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).cast("long")
+    goal = goal.withColumn("epochs", F.when(size > 0, full).otherwise(0)).withColumn("budget", F.floor(F.col("target") - F.col("epochs") * size + 0.5).cast("long"))
+    more = (size > 0) & (F.col("budget") >= size)
+    goal = goal.withColumns({"epochs": F.col("epochs") + F.when(more, 1).otherwise(0), "budget": F.when(more | (F.col("epochs") >= cap), 0).otherwise(F.col("budget"))})
+    goal = materialize(goal, "goals")
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    edge = bins.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    edge = edge.join(sources, edge["source"].eqNullSafe(sources["src"])).filter("before < budget and before + words >= budget")
-    # again one row a source, so Spark knows the size of this side when it picks the join
-    at = {r.source: (r.bin, r.before) for r in edge.select("source", "bin", "before").collect()}
-    known = spark.createDataFrame([(*r, *at.get(r[0], (-1, 0))) for r in rows], "src string, source_size long, target double, epochs int, budget long, edge long, before long")
+    edge = filled.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
+    edge = edge.join(goal, edge["source"].eqNullSafe(goal["src"])).filter("before < budget and before + words >= budget").select(F.col("source").alias("at"), F.col("bin").alias("edge"), "before")
+    # written, so that Spark knows its size when it picks the join with the rows
+    known = materialize(goal.join(edge, goal["src"].eqNullSafe(edge["at"]), "left").select("src", "source_size", "target", "epochs", "budget", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before")), "sources")
     joined = sized.join(known, sized["source"].eqNullSafe(known["src"])).drop("src")
     base = F.col("epochs") * F.col("size")
     plain = joined.filter("bin <> edge").withColumn("taken", base + F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(0))
@@ -134,33 +132,35 @@ def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: ``docs`` with all their columns, each row as often as the mix takes it.
 
     A document taken in part comes once more, cut after the words taken; a column
-    n_chars follows the text.  Rows with one doc_id are taken alike.
+    n_chars follows the text.  Of rows with one doc_id each goes by its own size: those
+    of equal size, of which the mix may take one more than the other, are taken alike, as
+    often as the one taken most.
     """
     configure(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
-    count = mixed.filter("taken > 0").groupBy("doc_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(count, docs["doc_id"].eqNullSafe(count["_id"])).select(*names, "_taken", "_size")
-    text_kind = pa.string()
+    key, size, taken = fresh(docs, "key", "size", "taken")
+    # rows of one id are told apart by their sizes
+    count = mixed.filter("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias(taken)).withColumnsRenamed({"doc_id": key, "size": size})
+    joined = docs.join(count, docs["doc_id"].eqNullSafe(count[key]) & (words(docs["text"]) == count[size])).select(*columns(docs), size, taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            taken, size = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
-            whole = [t // s for t, s in zip(taken, size, strict=True)]
-            rows = b.select(names)
-            copies = np.repeat(np.arange(b.num_rows), whole)
+            words_in, found = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
+            rows = b.select(list(range(len(names))))
+            copies = np.repeat(np.arange(b.num_rows), [t // n for t, n in zip(found, words_in, strict=True)])
             for s in range(0, len(copies), 2048):
                 yield rows.take(pa.array(copies[s : s + 2048]))
-            part = [i for i in range(b.num_rows) if taken[i] % size[i]]
+            part = [i for i, (t, n) in enumerate(zip(found, words_in, strict=True)) if t % n]
             if part:
                 cut = rows.take(pa.array(part))
-                text = [_first_words(x, taken[i] % size[i]).decode() for x, i in zip(texts(cut.column(at)), part, strict=True)]
-                columns = list(cut.columns)
-                columns[at] = pa.array(text, text_kind)
+                text = [_first_words(x, found[i] % words_in[i]).decode() for x, i in zip(texts(cut.column(at)), part, strict=True)]
+                changed = list(cut.columns)
+                changed[at] = pa.array(text, pa.string())
                 if "n_chars" in names:
                     k = names.index("n_chars")
-                    columns[k] = pa.array([len(x) for x in text]).cast(cut.schema.field(k).type)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    changed[k] = pa.array([len(x) for x in text]).cast(cut.schema.field(k).type)
+                yield pa.RecordBatch.from_arrays(changed, names)
 
     return joined.mapInArrow(run, docs.schema)
 

@@ -68,3 +68,37 @@ def test_edges(spark):
     assert {(x.doc_id, x.taken, x.target) for x in r} == {(1, 0, 0.0), (None, 0, 0.0)}
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, quality int")
     assert {(x.doc_id, x.quality) for x in mixing.label_quality(labels).collect()} == {(1, 2.0), (2, 0.5), (3, 1.0)}
+
+
+def test_apply_takes_what_the_mix_says(spark):
+    rows = [(i, " ".join(f"w{i}" for _ in range(1 + i % 7)), "a" if i % 3 else "b", i, -i, "x", 0) for i in range(60)]
+    rows += [(3, "one two", "a", 1, 1, "y", 7), (3, "one two three four five six", "b", 2, 2, "z", 13), (None, "n u l l", "b", 0, 0, "", 7), (None, "null", "a", 0, 0, "", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, size long, taken string, n_chars int")
+    mix = mixing.mix(df)
+    got = mixing.apply(df, mix)
+    assert got.columns == df.columns
+    out = got.collect()
+    count = lambda rs: sum(len(r["text"].split()) for r in rs)
+    assert count(out) == sum(r.taken for r in mix.collect())
+    for d, t in {(r.doc_id, r.text) for r in df.collect()}:
+        mine = [r for r in out if r.doc_id == d and t.startswith(r.text)]
+        assert all(r.n_chars == len(r.text) for r in mine if r.text != t)
+    one = [r for r in out if r.doc_id is None and r["size"] == 0]
+    assert all(r.text in ("n u l l", "n u l", "n u", "n", "null") for r in one)
+    assert mixing.apply(df.limit(0), mix).collect() == []
+
+
+def test_null_ids_have_keys_of_their_own(spark):
+    rows = [(None, f"text number {i} here", "a") for i in range(400)] + [(1, "w " * 4000, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = df.select(mixing.unit(df["doc_id"], df["text"]).alias("u")).distinct()
+    assert keys.count() == 401
+    check(rows, mixing.mix(df).collect())
+
+
+def test_many_sources_and_very_long_texts(spark):
+    rows = [(i, "a b c", f"http://s{i}") for i in range(3000)] + [(9000, "word " * 400_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    check(rows, got)
+    assert next(r for r in got if r.doc_id == 9000).size == 400_000
