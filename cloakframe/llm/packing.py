@@ -3,21 +3,25 @@
 Documents are tokenized once and stored.  A document of ``WINDOW`` tokens or more first
 fills whole windows; what remains is shorter than a window.  The histogram of these
 lengths (at most ``WINDOW`` counts) goes to the driver, which enumerates the shallow
-combinations that fill a window exactly, ``m`` pieces of one length and up to three of
-another, and solves ``min ||A x - histogram||, x >= 0`` for their repeat counts by
-coordinate descent.  Counts are rounded down to what the histogram allows; left-over
-pieces first go greedily into combinations that still fit, the rest is laid end to end
-and cut at the window.  The last open window is divided into powers of two, which need
-no padding.
-
-The plan is a list of rank intervals for each length, bounded by the number of
-combinations (about ``3 * WINDOW * ln(WINDOW)``), whatever the input.  A document finds
-its place from its rank among those of its length; ranks come from windows over length
-and salt and from sums over salts, so a length that a third of all documents share is
-spread over many tasks.
+combinations that fill a window up to a gap of at most ``GAP`` tokens, equal pieces of up
+to three lengths, and solves ``min ||A x - histogram||, x >= 0`` for their repeat counts
+by coordinate descent until it settles.  Counts are rounded to what the histogram allows;
+left-over pieces are packed greedily, longest first.
+
+What then is left is laid end to end and cut: first into the gaps, then into windows.  If
+that is less than the gaps, windows of the greedy part, and then of the plan, are given up
+for it.  The last open window is divided into powers of two, which need no padding.
+
+The plan is a list of rank intervals for each length and of gaps of one size, bounded by
+the number of combinations, whatever the input.  A document finds its place from its rank
+among those of its length; ranks come from windows over length and salt and from sums
+over salts.  A length has one salt for ``CELL`` documents, so one that a third of all
+documents share is spread over many tasks.
 
 Null and empty texts hold the end id alone.  Repeated rows are packed as often as they
-come, a null doc_id is kept, an empty table gives an empty result.
+come, a null doc_id is kept, ties are settled by the ids' hash, a very long text is
+tokenized as a whole, further columns are left out whatever their names, an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -44,8 +49,12 @@ CACHE = 300_000
 _TAIL = b'.,!?;:#$%&*|"()-'
 #: Documents of one length and salt.
 CELL = 50_000
-#: Sweeps of coordinate descent.
-SWEEPS = 12
+#: Tokens that a combination may leave open in a window of 4096, and as a share of others.
+GAP = 64
+#: Partners that are tried for pieces of one length: so many second lengths.
+PARTNERS = 6
+#: Sweeps of coordinate descent, at most, and the change of a count below which it has settled.
+SWEEPS, SETTLED = 200, 0.01
 
 
 class WordTokenizer:
@@ -137,142 +146,203 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def combinations(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(m, a, n, b) with ``m * a + n * b == window``, n from 0 to 3, all lengths present."""
-    have = set(lengths)
-    out = []
-    for a in lengths:
-        for m in range(1, window // a + 1):
+Combination = tuple[tuple[int, int], ...]
+
+
+def combinations(histogram: dict[int, int], window: int = WINDOW, gap: int | None = None) -> list[Combination]:
+    """((count, length), ...) of up to three lengths, longest first, that fill a window up to the gap, exact ones first."""
+    gap = GAP * window // WINDOW if gap is None else gap
+    lengths = sorted(histogram)
+    out: dict[Combination, int] = {}
+
+    def fits(rest: int, below: int) -> int:
+        """The longest length up to ``rest`` and below another, or 0."""
+        i = bisect_right(lengths, min(rest, below - 1))
+        return lengths[i - 1] if i else 0
+
+    for a in reversed(lengths):
+        most = min(window // a, histogram[a])
+        for m in sorted({*(1 << k for k in range(most.bit_length())), *range(1, min(most, 4) + 1), most}):
             rest = window - m * a
-            if not rest:
-                out.append((m, a, 0, 0))
+            if rest <= gap:
+                out[((m, a),)] = rest
                 continue
+            # one further length, in up to three pieces
             for n in (1, 2, 3):
-                b, odd = divmod(rest, n)
-                if not odd and b in have and b != a and (n > 1 or m > 1 or a > b):
-                    out.append((m, a, n, b))
-    return out
-
-
-def solve(columns: list[tuple[int, int, int, int]], histogram: dict[int, int], sweeps: int = SWEEPS) -> list[float]:
+                b = fits(rest // n, a)
+                if b and rest - n * b <= gap and histogram[b] >= n:
+                    out[((m, a), (n, b))] = rest - n * b
+            # two further lengths; the second from all over what is left
+            top = bisect_right(lengths, min(rest, a - 1))
+            for i in {top - 1 - k * top // PARTNERS for k in range(PARTNERS) if top}:
+                b = lengths[i]
+                c = fits(rest - b, b)
+                if c and rest - b - c <= gap:
+                    out[((m, a), (1, b), (1, c))] = rest - b - c
+    return sorted(out, key=lambda k: (out[k], len(k), k))
+
+
+def solve(columns: list[Combination], histogram: dict[int, int], sweeps: int = SWEEPS) -> list[float]:
     """Non-negative repeat counts that come close to the histogram."""
     r = defaultdict(float, histogram)
     x = [0.0] * len(columns)
-    norms = [m * m + n * n for m, _, n, _ in columns]
-    for _ in range(sweeps):
-        moved = 0.0
-        for k, (m, a, n, b) in enumerate(columns):
-            step = (m * r[a] + (n * r[b] if n else 0.0)) / norms[k]
-            new = x[k] + step
-            if new < 0.0:
-                new = 0.0
-            d = new - x[k]
-            if d:
-                x[k] = new
-                r[a] -= m * d
-                if n:
-                    r[b] -= n * d
-                moved = max(moved, abs(d))
-        if moved < 0.5:
-            break
+    norms = [float(sum(m * m for m, _ in c)) for c in columns]
+    live = range(len(columns))
+    for sweep in range(sweeps):
+        moved, kept = 0.0, []
+        for k in live:
+            step = 0.0
+            for m, a in columns[k]:
+                step += m * r[a]
+            step /= norms[k]
+            if step < -x[k]:
+                step = -x[k]
+            if step:
+                x[k] += step
+                for m, a in columns[k]:
+                    r[a] -= m * step
+                moved = max(moved, abs(step))
+            if x[k]:
+                kept.append(k)
+        if moved < SETTLED:
+            # settled among those in use; a last look at all of them, unless this was one
+            if len(live) == len(columns):
+                break
+            live = range(len(columns))
+        else:
+            live = kept if sweep % 10 else range(len(columns))
     return x
 
 
 class Plan:
-    """Rank intervals of each length; what is left over is laid end to end."""
+    """Rank intervals of each length, gaps and windows for what is laid end to end."""
 
     def __init__(self, histogram: dict[int, int], window: int = WINDOW) -> None:
         self.window = window
+        gap = GAP * window // WINDOW
         left = dict(histogram)
-        columns = combinations(sorted(left, reverse=True), window)
+        columns = combinations(left, window)
         x = solve(columns, histogram)
+        chosen: list[tuple[Combination, int]] = []
+
+        def take(column: Combination, most: float) -> int:
+            k = int(min(most, *(left[a] // m for m, a in column)))
+            if k > 0:
+                chosen.append((column, k))
+                for m, a in column:
+                    left[a] -= m * k
+            return k
+
+        for k in sorted(range(len(columns)), key=lambda k: -x[k]):
+            if x[k] < 0.5:
+                break
+            take(columns[k], math.floor(x[k] + 0.5))
+        self.solved = sum(k * m * a for c, k in chosen for m, a in c)
+        # longest first; a length is used up, or no longer fits, with each round
+        lengths = sorted(a for a, c in left.items() if c)
+        while lengths:
+            rest, column = window, []
+            i = len(lengths)
+            while i and rest > gap:
+                i = min(i, bisect_right(lengths, rest))
+                if not i:
+                    break
+                a = lengths[i - 1]
+                n = min(rest // a, left[a])
+                column.append((n, a))
+                rest -= n * a
+                i -= 1
+            if rest > gap or not take(tuple(column), math.inf):
+                lengths.pop()  # stays for what is laid end to end
+            lengths = [a for a in lengths if left[a]]
+        # gaps are filled with what is left, so there must be enough of it
+        fill = lambda c: sum(m * a for m, a in c)
+        gaps = sum(k * (window - fill(c)) for c, k in chosen)
+        loose = sum(a * c for a, c in left.items())
+        while loose < gaps:
+            column, k = chosen.pop()
+            give = min(k, -(-(gaps - loose) // window))
+            if k > give:
+                chosen.append((column, k - give))
+            for m, a in column:
+                left[a] += m * give
+            loose += give * fill(column)
+            gaps -= give * (window - fill(column))
         used = dict.fromkeys(left, 0)
         spans: dict[int, list[tuple[int, int, int, int, int]]] = defaultdict(list)
-        self.sequences = 0
-
-        def take(column: tuple[int, int, int, int], most: float) -> None:
-            m, a, n, b = column
-            k = min(left[a] // m, left[b] // n if n else left[a] // m)
-            k = k if most == math.inf else min(k, int(most))
-            if k <= 0:
-                return
+        #: Where what is laid end to end goes: (first place, size, first sequence, offset).
+        runs: list[tuple[int, int, int, int]] = []
+        self.sequences = place = 0
+        for column, k in chosen:
             offset = 0
-            for count, length in ((m, a), (n, b)):
-                if count:
-                    spans[length].append((used[length], k * count, self.sequences, count, offset))
-                    used[length] += k * count
-                    left[length] -= k * count
-                    offset += count * length
+            for m, a in column:
+                spans[a].append((used[a], k * m, self.sequences, m, offset))
+                used[a] += k * m
+                offset += m * a
+            if offset < window:
+                runs.append((place, window - offset, self.sequences, offset))
+                place += k * (window - offset)
             self.sequences += k
-
-        order = sorted(range(len(columns)), key=lambda k: -x[k])
-        for k in order:
-            take(columns[k], x[k])
-        for k in order:
-            take(columns[k], math.inf)
-        self.spans = {k: np.array(v, np.int64) for k, v in spans.items()}
-        # (first rank, first place) of each length in the row of left-overs
+        self.spans = {a: np.array(v, np.int64) for a, v in spans.items()}
+        runs.append((place, window, self.sequences, 0))
+        whole, rest = divmod(loose - place, window)
+        place += whole * window
+        self.after = self.sequences + whole
+        for p in range(window.bit_length() - 1, -1, -1):
+            if rest >> p & 1:
+                runs.append((place, 1 << p, self.after, 0))
+                self.after += 1
+                place += 1 << p
+        self.runs = np.array([r for i, r in enumerate(runs) if i + 1 == len(runs) or runs[i + 1][0] > r[0]], np.int64)
+        # (first rank, first place) of each length among what is laid end to end
         self.rest: dict[int, tuple[int, int]] = {}
         place = 0
-        for length in sorted(left, reverse=True):
-            self.rest[length] = (used[length], place)
-            place += left[length] * length
-        self.tail = place // window * window
-        cuts, at = [], self.tail
-        for p in range(window.bit_length() - 1, -1, -1):
-            if (place - self.tail) >> p & 1:
-                cuts.append(at)
-                at += 1 << p
-        self.cuts = cuts
+        for a in sorted(left, reverse=True):
+            self.rest[a] = (used[a], place)
+            place += left[a] * a
+        self.loose = loose
 
     def place(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
         """Pieces (start, length, sequence, offset) of the item with this rank."""
         first, base = self.rest[length]
         if rank < first:
             s = self.spans[length]
-            i = int(np.searchsorted(s[:, 0], rank, "right")) - 1
-            start, _, seq, count, offset = s[i].tolist()
+            start, _, seq, count, offset = s[int(np.searchsorted(s[:, 0], rank, "right")) - 1].tolist()
             k = rank - start
             return [(0, length, seq + k // count, offset + k % count * length)]
-        at = base + (rank - first) * length
-        end, out, begin = at + length, [], at
+        begin = at = base + (rank - first) * length
+        end, out = at + length, []
+        i = int(np.searchsorted(self.runs[:, 0], at, "right")) - 1
         while at < end:
-            if at < self.tail:
-                seq = at // self.window
-                low, high = seq * self.window, (seq + 1) * self.window
-            else:
-                i = int(np.searchsorted(self.cuts, at, "right")) - 1
-                seq, low = self.tail // self.window + i, self.cuts[i]
-                high = self.cuts[i + 1] if i + 1 < len(self.cuts) else end
-            to = min(end, high)
-            out.append((at - begin, to - at, self.sequences + seq, at - low))
+            while i + 1 < len(self.runs) and self.runs[i + 1, 0] <= at:
+                i += 1
+            start, size, seq, offset = self.runs[i].tolist()
+            k, inside = divmod(at - start, size)
+            to = min(end, at + size - inside)
+            out.append((at - begin, to - at, seq + k, offset + inside))
             at = to
         return out
 
-    @property
-    def after(self) -> int:
-        """First sequence id that the plan does not use."""
-        return self.sequences + self.tail // self.window + len(self.cuts)
-
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece of ``docs`` (doc_id, text, ...)."""
     configure(docs.sparkSession)
     tokens = materialize(tokenize(docs, path, end_id), "tokens")
-    total = tokens.count()
-    salts = max(8, -(-total // CELL))
-    keyed = tokens.withColumn("rem", F.col("n") % window).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(salts)))
-    keyed = keyed.withColumn("full", F.floor(F.col("n") / window))
-    cells = materialize(keyed.groupBy("rem", "salt").agg(F.count("*").alias("c"), F.sum("full").alias("f")), "cells")
-    found = cells.groupBy("rem").agg(F.sum("c").alias("c"), F.sum("f").alias("f")).collect()  # at most one row a length
+    numbers = tokens.select("doc_id", "n", "ids", (F.col("n") % window).alias("rem"), F.floor(F.col("n") / window).alias("full"))
+    found = numbers.groupBy("rem").agg(F.count("*").alias("c"), F.sum("full").alias("f")).collect()  # at most a row a length
     plan = Plan({r.rem: r.c for r in found if r.rem}, window)
     full_base, at = {}, plan.after
     for r in sorted(found, key=lambda r: r.rem):
         full_base[r.rem] = at
         at += r.f
+    many = {r.rem: -(-r.c // CELL) for r in found if r.c > CELL}
+    salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("rem")), F.lit(1)) if many else F.lit(1)
+    keyed = numbers.withColumn("h", F.xxhash64("doc_id", "ids")).withColumn("salt", F.pmod("h", salts))
+    # written, so that Spark knows its size when it picks the join: a row for each length and CELL documents
+    cells = materialize(keyed.groupBy("rem", "salt").agg(F.count("*").alias("c"), F.sum("full").alias("f")), "cells")
     before = Window.partitionBy("rem").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("rem", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0"))
-    inside = Window.partitionBy("rem", "salt").orderBy("doc_id", "n")
+    starts = materialize(cells.select("rem", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"), F.coalesce(F.sum("f").over(before), F.lit(0)).alias("f0")), "starts")
+    inside = Window.partitionBy("rem", "salt").orderBy("doc_id", "n", "h")
     ranked = keyed.withColumn("r", F.row_number().over(inside) - 1)
     ranked = ranked.withColumn("g", F.coalesce(F.sum("full").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranked.join(starts, ["rem", "salt"]).select("doc_id", "n", "ids", (F.col("c0") + F.col("r")).alias("rank"), (F.col("f0") + F.col("g")).alias("nth"))
