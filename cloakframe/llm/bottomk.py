@@ -8,7 +8,10 @@ below ``K`` hashes the answers are exact.
 
 Words are runs of other than white space; hashes are the upper 40 bits of XXH64.  Null
 texts are empty texts.  Two empty sketches resemble each other wholly, an empty and
-another one not at all.
+another one not at all.  A null doc_id comes last in descending order, repeated rows and
+rows of one id are told apart by their texts, ties cannot occur otherwise.  Very long
+texts are hashed as a whole, with memory in proportion.  Further columns are left out
+whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.scratch import columns, configure, fresh, materialize
+from cloakframe.llm.scratch import columns, configure, fresh, materialize, numbered
 from cloakframe.llm.streams import texts
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -150,7 +150,7 @@ def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
             rows = b.select(list(range(len(names))))
             copies = np.repeat(np.arange(b.num_rows), [t // n for t, n in zip(found, words_in, strict=True)])
             for s in range(0, len(copies), 2048):
-                yield rows.take(pa.array(copies[s : s + 2048]))
+                yield pa.RecordBatch.from_arrays(rows.take(pa.array(copies[s : s + 2048])).columns, names)
             part = [i for i, (t, n) in enumerate(zip(found, words_in, strict=True)) if t % n]
             if part:
                 cut = rows.take(pa.array(part))
@@ -162,7 +162,7 @@ def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
                     changed[k] = pa.array([len(x) for x in text]).cast(cut.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(changed, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return numbered(joined).mapInArrow(run, docs.schema)
 
 
 def label_quality(labels: DataFrame) -> DataFrame:

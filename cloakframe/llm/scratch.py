@@ -69,6 +69,11 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...; Python stages resolve names by their text."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def drop(df_or_path: str, spark: SparkSession) -> None:
     """Delete one written table."""
     jvm = spark.sparkContext._jvm

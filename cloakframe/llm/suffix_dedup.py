@@ -26,7 +26,9 @@ text), the texts once, and shared contexts.
 
 Null and empty texts keep nothing and lose nothing.  Rows that repeat wholly are one document; rows
 with one id but other texts do not remove from each other.  A null doc_id comes last,
-and null ids do not remove from each other.  An empty table gives an empty result.
+and null ids do not remove from each other.  A very long text is hashed in steps of
+``STEP`` bytes, with memory in proportion to its length.  Further columns may have any
+name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.scratch import configure
+from cloakframe.llm.scratch import columns, configure, fresh
 from cloakframe.llm.streams import group_starts, texts, whole_groups
 
 LENGTH = 50
@@ -609,7 +611,7 @@ def removals(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataF
     spark = docs.sparkSession
     configure(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.hash("text").alias("t"), F.col("text"), F.struct(*[F.col(c) for c in docs.columns if c != "text"], F.lit(0).alias("_")).alias("rest"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.hash("text").alias("t"), F.col("text"), F.struct(*[c for c, name in zip(columns(docs), docs.columns, strict=True) if name != "text"], F.lit(0).alias(fresh(docs, "_")[0])).alias("rest"))
     asked = rows.mapInArrow(ask(parts), "p long, blob binary")
     answered = asked.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(by_partition(parts, hot), "block long, blob binary")
     shared = answered.repartition("block").sortWithinPartitions("block").mapInArrow(settle(), "d long, t int, data binary")

@@ -12,9 +12,11 @@ document.  Tokens with a marginal above one half make the offending spans, in co
 points.
 
 The model is fitted on the driver to at most ``SAMPLE`` labelled documents of each label
-(least hashes of their ids first); all rows are scored over whole texts.  Null and empty
-texts have no tokens and get the score of their zeros.  Rows are scored one by one:
-repeated rows get equal scores, null ids are kept, an empty table gives an empty result.
+(least hashes of their ids first) with at most ``LONGEST`` letters, which bounds what the
+driver gets; all rows are scored over whole texts, very long ones too, with memory in
+proportion.  Null and empty texts have no tokens and get the score of their zeros.  Rows
+are scored one by one: repeated rows get equal scores, null ids are kept, further columns
+may have any name, an empty table gives an empty result.
 Without labels of both kinds every score is the share of toxic labels, or 0.
 """
 
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm import crf
-from cloakframe.llm.scratch import configure
+from cloakframe.llm.scratch import configure, numbered
 from cloakframe.llm.streams import texts
 
-#: Documents of each label that the model is fitted to.
+#: Documents of each label that the model is fitted to, and the letters that one may have.
 SAMPLE = 1200
+LONGEST = 100_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Toxic documents in which a feature must occur: so many, and this share of them.
 LEAST = 2
@@ -224,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     totals = {r.toxic: r["count"] for r in there.groupBy("toxic").count().collect()}
     ids = [there.filter(F.col("toxic") == y).orderBy("key", "doc_id").limit(sample).select("doc_id", "toxic") for y in (True, False)]
     chosen = ids[0].union(ids[1]).withColumnsRenamed({"doc_id": "id"})
-    text = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most 2 * sample ids
+    text = docs.select("doc_id", "text").filter(F.coalesce(F.char_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # at most 2 * sample ids
     rows = text.groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").collect()
     y = np.array([r.toxic for r in rows], bool)
     share = {v: totals.get(v, 0) / max(1, int((y == v).sum())) for v in (True, False)}
@@ -267,6 +270,7 @@ def reject(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = scorer.score(scorer.marginals(texts(b.column(at))))
-            yield b.filter(pa.array(p < threshold))
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(p < threshold)).columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return numbered(docs).mapInArrow(run, docs.schema)

@@ -68,3 +68,11 @@ def test_merging_and_text_form(spark):
     pair = spark.createDataFrame([([1, 3, 9], [2, 3, 8])], "a array<bigint>, b array<bigint>")
     r = pair.select(bk.merged(F.col("a"), F.col("b"), 4).alias("m"), bk.containment(F.col("a"), F.col("b")).alias("c")).first()
     assert r.m == [1, 2, 3, 8] and r.c == pytest.approx(1 / 3)
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    df = spark.createDataFrame([(1, long, 1, 2, 3), (2, long[: len(long) // 2], 4, 5, 6)], "doc_id long, text string, k1 long, n long, fingerprint long")
+    got = {r.doc_id: r for r in bk.fingerprint_documents(df).collect()}
+    assert got[1].n_chars == len(long) and got[1].distinct_shingles == pytest.approx(149_996, rel=0.35)
+    assert got[1].near_next == got[2].near_next == pytest.approx(0.5, abs=0.2)

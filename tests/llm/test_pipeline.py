@@ -2,6 +2,8 @@ import random
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from cloakframe.llm import mixing, simhash, suffix_dedup, toxicity
 
 
@@ -70,3 +72,18 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, d).collect() == []
     assert toxicity.THRESHOLD == 0.3
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    d, rows, _ = _write(spark, tmp_path)
+    names = "_ _id _size _taken kept_id _fp key size taken rest d t covers numbers fp component_id n row order gone a.b".split()
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{k}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(k) for k in names])
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, d)
+        assert out.columns == docs.columns
+        out = spark.createDataFrame(out.collect(), docs.schema)
+    kept = out.collect()
+    assert kept and all(r[k] == f"{k}-{'none' if r['doc_id'] is None else r['doc_id']}" for r in kept for k in names)
+    assert corpus_pipeline.packed(spark, out, d).count() >= len(kept)

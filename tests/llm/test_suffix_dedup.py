@@ -97,3 +97,11 @@ def test_edges(spark):
     assert sd.deduplicate(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     df = spark.createDataFrame([(2, "x" * 60), (1, "x" * 55)], "doc_id long, text string")
     assert collected(sd.deduplicate(df).withColumn("z", F.lit(1)))[1][2] == 60
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, 3_000_000, dtype=np.uint8).tobytes().decode()
+    df = spark.createDataFrame([(1, long), (2, "z" + long[:2_000_000] + "y"), (3, long[500:600])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in sd.deduplicate(df).collect()}
+    assert got == {1: (0, long.encode()), 2: (2_000_000, b"zy"), 3: (100, b"")}

@@ -105,3 +105,13 @@ def test_edges(spark):
     odd = spark.createDataFrame([(None, "grob fieslx"), (1, None), (2, ""), (2, ""), (3, "grob " * 30_000), (4, "\x85 \x1c")], "doc_id long, text string")
     got = [(r.doc_id, r.predicted) for r in toxicity.score(odd, scorer).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(None, 1), (1, 0), (2, 0), (2, 0), (3, 1), (4, 0)]))
+
+
+def test_long_labelled_texts_are_not_collected(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LONGEST", 2000)
+    rows, labels = _corpus(200)
+    more = [(10_000 + i, "grob " * 5000) for i in range(4)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string").selectExpr("*", "'x' id", "1 score")
+    a = toxicity.train(docs, spark.createDataFrame(labels + [(d, 0) for d, _ in more], "doc_id long, toxic int"))
+    b = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert a.model == b.model
