@@ -1,14 +1,9 @@
-"""Pseudonyms: their form, the policies of restoring, and finding and restoring tokens."""
+"""Pseudonyms: their form, the policies of restoring, and finding tokens and what they stand for."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Mapping, Sequence
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cloakframe.functions.normalize import choose
 
@@ -53,35 +48,37 @@ def unresolved_tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(token_references(text)))
 
 
-_REFERENCE = re.compile(f"{OPEN}({TOKEN_REFERENCE}){CLOSE}|({TOKEN_REFERENCE})", re.ASCII)
-_ALNUM = re.compile(r"[A-Za-z0-9]", re.ASCII)
+#: A token in brackets, or bare.
+REFERENCE = f"{OPEN}{TOKEN_REFERENCE}{CLOSE}|{TOKEN_REFERENCE}"
+
+
+def _alnum(char: Column) -> Column:
+    return char.rlike("[A-Za-z0-9]")
 
 
-def restore_text(text: str, targets: Mapping[str, tuple[str, Sequence[str]]]) -> str:
-    """Text with tokens turned back into values.
+def replacements(text: Column, references: Column, targets: Column) -> Column:
+    """array<struct<start, end, value>> of the references of a text that are restored.
 
-    ``targets``: value and aliases of each token.  A bare token becomes the value.  A
-    bracketed one does so with the longest alias right before it; without such an alias,
-    or one that is only the end of a longer word, it stays.
+    ``references``: spans of REFERENCE in order; ``targets``: array of (token, value,
+    aliases).  A bare token becomes the value.  A bracketed one does so with the longest
+    alias right before it; without such an alias, or with one that is only the end of a
+    longer word or reaches into what was restored before, it stays.
     """
-    pieces, done = [], 0
-    for m in _REFERENCE.finditer(text):
-        value, aliases = targets.get(m[1] or m[2]) or ("", ())
-        if not value:
-            continue
-        start = m.start()
-        if m[1]:
-            fitting = [start - len(a) for a in aliases if a and text.startswith(a, start - len(a)) and start >= len(a)]
-            whole = [s for s in fitting if s == 0 or not (_ALNUM.match(text[s]) and _ALNUM.match(text[s - 1]))]
-            if not whole or min(whole) < done:
-                continue
-            start = min(whole)
-        pieces += [text[done:start], value]
-        done = m.end()
-    return "".join([*pieces, text[done:]])
-
-
-@F.pandas_udf(T.StringType())
-def restored(text: pd.Series, targets: pd.Series) -> pd.Series:
-    """``restore_text`` over a column of arrays of (token, value, aliases)."""
-    return pd.Series([None if t is None else restore_text(t, {x["token"]: (x["value"] or "", list(x["aliases"] if x["aliases"] is not None else ())) for x in (ts if ts is not None else ())}) for t, ts in zip(text, targets, strict=True)], dtype=object)
+    kind = "array<struct<start:int,end:int,value:string>>"
+
+    def one(m: Column) -> Column:
+        bracketed = m["value"].startswith(OPEN)
+        token = F.when(bracketed, F.substring(m["value"], F.lit(2), F.length(m["value"]) - 2)).otherwise(m["value"])
+        t = F.filter(targets, lambda x: x["token"] == token)
+        char = lambda at: F.substring(text, at + 1, F.lit(1))
+        begin = lambda a: m["start"] - F.length(a)
+        fits = lambda a: (F.length(a) > 0) & (begin(a) >= 0) & (F.substring(text, begin(a) + 1, F.length(a)) == a) & ((begin(a) == 0) | ~(_alnum(char(begin(a))) & _alnum(char(begin(a) - 1))))
+        of = lambda t: F.struct(F.when(bracketed, F.array_min(F.transform(F.filter(t[0]["aliases"], fits), begin))).otherwise(m["start"]).alias("start"), m["end"].alias("end"), t[0]["value"].alias("value"))
+        return F.when((F.size(t) > 0) & (F.length(t[0]["value"]) > 0), of(t))
+
+    def step(done: Column, r: Column) -> Column:
+        open_ = (F.size(done) == 0) | (r["start"] >= F.element_at(done, -1)["end"])
+        return F.when(r["start"].isNotNull() & open_, F.concat(done, F.array(r))).otherwise(done)
+
+    found = F.filter(F.transform(references, one), lambda r: r.isNotNull() & r["start"].isNotNull())
+    return F.aggregate(found, F.array().cast(kind), lambda done, r: step(done, F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"), r["value"].alias("value"))))

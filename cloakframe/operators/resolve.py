@@ -97,13 +97,16 @@ def name_candidates(mentions: DataFrame, entities: DataFrame, aliases: DataFrame
 
 
 def constraint_flags(candidates: DataFrame, constraints: DataFrame) -> DataFrame:
-    """Candidates with user_cannot and user_must: whether a user's constraint ties one to a sibling of the same mention."""
+    """Candidates with user_cannot and user_must: whether a user's constraint ties one to a sibling of the same mention.
+
+    Constraints are few, so candidates meet them by (matter, entity) first; whether the
+    other end is a sibling is then a second equi-join, and no pairs of siblings are made.
+    """
+    user = constraints.filter("source = 'USER' and entity_a_id <> entity_b_id").select("matter_id", "entity_a_id", "entity_b_id", "constraint_type")
+    ends = user.select("matter_id", F.col("entity_a_id").alias("entity_id"), F.col("entity_b_id").alias("_other"), "constraint_type").union(user.select("matter_id", "entity_b_id", "entity_a_id", "constraint_type")).distinct()
     c = candidates.select("mention_id", "matter_id", "entity_id").distinct()
-    s = c.withColumnRenamed("entity_id", "_other")
-    pairs = c.join(s, ["mention_id", "matter_id"]).filter("entity_id <> _other")
-    pairs = pairs.withColumn("entity_a_id", F.least("entity_id", "_other")).withColumn("entity_b_id", F.greatest("entity_id", "_other"))
-    user = constraints.filter("source = 'USER'").select("matter_id", F.least("entity_a_id", "entity_b_id").alias("entity_a_id"), F.greatest("entity_a_id", "entity_b_id").alias("entity_b_id"), "constraint_type").distinct()
-    flags = pairs.join(user, ["matter_id", "entity_a_id", "entity_b_id"]).groupBy("mention_id", "entity_id")
+    tied = c.join(ends, ["matter_id", "entity_id"])
+    flags = tied.join(c.withColumnRenamed("entity_id", "_other"), ["mention_id", "matter_id", "_other"], "left_semi").groupBy("mention_id", "entity_id")
     flags = flags.agg(F.max(F.col("constraint_type") == "CANNOT_LINK").alias("user_cannot"), F.max(F.col("constraint_type") == "MUST_LINK").alias("user_must"))
     out = candidates.join(flags, ["mention_id", "entity_id"], "left")
     return out.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("user_cannot", "user_must")})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import spans
 from cloakframe.functions.normalize import value_type
-from cloakframe.functions.pseudonyms import default_policy, leaks, pseudonym, restored, unresolved_tokens
+from cloakframe.functions.pseudonyms import REFERENCE, default_policy, leaks, pseudonym, replacements, token_references, unresolved_tokens
 from cloakframe.operators.resolve import primary_aliases
 
 #: What makes a block fail, first reason first.
@@ -97,9 +97,18 @@ def restorable(vault: DataFrame, on_request: bool = False) -> DataFrame:
 def rehydrate(texts: DataFrame, targets: DataFrame) -> DataFrame:
     """Texts (document_id, text) with tokens restored, and the tokens still in them.
 
-    ``targets``: document_id, token, value, aliases.  They are grouped by document, so a
-    task holds one document's part of the vault at a time.
+    ``targets``: document_id, token, value, aliases, one row for each token.  Each distinct
+    token of a text meets its own target by an equi-join, and only the hits of a text come
+    together again, so neither a document's texts nor its vault meet in one task.
     """
-    t = targets.groupBy("document_id").agg(F.collect_list(F.struct("token", "value", "aliases")).alias("_t"))
-    out = texts.join(t, "document_id", "left").withColumn("restored", restored(F.col("text"), F.col("_t"))).drop("_t")
-    return out.withColumn("unresolved_tokens", unresolved_tokens(F.col("restored")))
+    # equal texts of a document have equal results, so they may share a key
+    key = {"_x": F.xxhash64("document_id", "text"), "_y": F.xxhash64(F.lit(1), "text", "document_id")}
+    keyed = texts.withColumns(key)
+    asked = keyed.filter(F.contains("text", F.lit("@"))).select("document_id", "_x", "_y", F.explode(F.array_distinct(token_references(F.col("text")))).alias("token")).distinct()
+    hits = asked.join(targets.select("document_id", "token", F.struct("token", "value", "aliases").alias("_t")), ["document_id", "token"])
+    hits = hits.groupBy("_x", "_y").agg(F.collect_list("_t").alias("_t"))
+    out = keyed.join(hits, ["_x", "_y"], "left")
+    found = spans.matches("text", REFERENCE)
+    out = out.withColumn("_r", F.when(F.col("_t").isNotNull(), replacements(F.col("text"), found, F.col("_t"))))
+    out = out.withColumn("restored", F.when(F.size("_r") > 0, spans.splice("text", F.col("_r"))).otherwise(F.col("text")))
+    return out.select(*texts.columns, "restored", unresolved_tokens(F.col("restored")).alias("unresolved_tokens"))

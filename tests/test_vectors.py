@@ -16,7 +16,7 @@ from cloakframe.functions import spans
 from cloakframe.functions.rules import STANDARD, Rule
 from cloakframe.operators import detect as D
 from cloakframe.operators import resolve as R
-
+from cloakframe.operators import sanitize as SZ
 
 
 def test_detection(spark):
@@ -128,18 +128,58 @@ def test_pseudonyms(spark):
 
 
 def test_restoring(spark):
-    t = {"@P-8K3F7A": ("Synthetic Name", ["Plaintiff A", "原告甲"])}
-    r = lambda s, m=t: P.restore_text(s, m)
-    assert r("Before Plaintiff A〔@P-8K3F7A〕 replied.") == "Before Synthetic Name replied."
-    assert r("by @P-8K3F7A, too") == "by Synthetic Name, too" and r("甲 原告甲〔@P-8K3F7A〕") == "甲 Synthetic Name"
-    for same in ("x〔@O-NONE〕", "Plaintiff B〔@P-8K3F7A〕", "prefix@P-8K3F7Asuffix"):
-        assert r(same) == same
-    assert r("DATA〔@P-1〕", {"@P-1": ("v", ["A"])}) == "DATA〔@P-1〕"
-    assert r("Old Ann〔@P-1〕", {"@P-1": ("v", ["Ann", "Old Ann"])}) == "v"
+    vault = {"@P-8K3F7A": ("Synthetic Name", ["Plaintiff A", "原告甲"]), "@P-1": ("v", ["A"]), "@P-2": ("w", ["Ann", "Old Ann"]), "@P-3": ("", ["A"]), "@P-4": ("bare", None)}
+    cases = [
+        ("Before Plaintiff A〔@P-8K3F7A〕 replied.", "Before Synthetic Name replied."),
+        ("by @P-8K3F7A, too", "by Synthetic Name, too"),
+        ("甲 原告甲〔@P-8K3F7A〕", "甲 Synthetic Name"),
+        *((x, x) for x in ("x〔@O-NONE〕", "Plaintiff B〔@P-8K3F7A〕", "prefix@P-8K3F7Asuffix", "DATA〔@P-1〕", "A〔@P-3〕", "A〔@P-4〕", "no token", "", None)),
+        ("Old Ann〔@P-2〕", "w"),
+        ("😀 Ann〔@P-2〕 @P-1 A〔@P-1〕.", "😀 w v v."),
+        ("@P-4", "bare"),
+        ("A〔@P-1〕A〔@P-1〕", "vv"),
+        ("Old Ann〔@P-1〕 @P-2 @P-2", "Old Ann〔@P-1〕 w w"),
+    ]
+    texts = spark.createDataFrame([("d", i, t) for i, (t, _) in enumerate(cases)] + [("e", 100, "by @P-8K3F7A")], "document_id string, i int, text string")
+    targets = spark.createDataFrame([("d", k, v, a) for k, (v, a) in vault.items()], "document_id string, token string, value string, aliases array<string>")
+    got = {r.i: r for r in SZ.rehydrate(texts, targets).collect()}
+    assert {i: r.restored for i, r in got.items()} == {**{i: w for i, (_, w) in enumerate(cases)}, 100: "by @P-8K3F7A"}
+    assert got[100].unresolved_tokens == ["@P-8K3F7A"] and got[0].unresolved_tokens == [] and got[3].unresolved_tokens == ["@O-NONE"]
     df = spark.createDataFrame([("a 〔@P-8K3F7A〕 @O-9Z2Y-1Q x@P-1y",)], "t string")
     assert df.select(P.token_references(F.col("t"))).first()[0] == ["@P-8K3F7A", "@O-9Z2Y-1Q"]
 
 
+def _restored(text, targets):
+    """What restoring gives, walked through letter by letter."""
+    form = re.compile("〔(@[A-Z]-[A-Z0-9-]+)〕|(?<![A-Za-z0-9-])(@[A-Z]-[A-Z0-9-]+)(?![A-Za-z0-9-])", re.ASCII)
+    out, done = "", 0
+    for m in form.finditer(text):
+        value, aliases = targets.get(m[1] or m[2], ("", ()))
+        at = m.start()
+        if m[1]:
+            ends = [a for a in aliases if text[:at].endswith(a) and not re.search(r"[A-Za-z0-9]\Z", text[: at - len(a)], re.ASCII) or text[:at].endswith(a) and not re.match("[A-Za-z0-9]", a, re.ASCII)]
+            if not ends or at - max(map(len, ends)) < done:
+                continue
+            at -= max(map(len, ends))
+        if value:
+            out, done = out + text[done:at] + value, m.end()
+    return out + text[done:]
+
+
+def test_restoring_against_a_walk(spark):
+    targets = {"@P-1": ("one", ["A", "Big A", "甲"]), "@P-2": ("two", ["B", "x B"]), "@P-3": ("", ["A"])}
+    vault = spark.createDataFrame([("d", k, v, a) for k, (v, a) in targets.items()], "document_id string, token string, value string, aliases array<string>")
+
+    @settings(max_examples=10, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(["A", "Big ", "甲", "B", "x ", "〔@P-1〕", "〔@P-2〕", "〔@P-3〕", "@P-1", " @P-2 ", "〔@P-9〕", " ", "〔", "〕", "z", "-"]), max_size=9).map("".join), min_size=25, max_size=25))
+    def check(texts):
+        df = spark.createDataFrame([("d", t) for t in texts], "document_id string, text string")
+        for r in SZ.rehydrate(df, vault).collect():
+            assert r.restored == _restored(r.text, targets), r.text
+
+    check()
+
+
 def test_keys_and_envelopes(spark):
     key = "07" * 32
     df = spark.createDataFrame([("m1", "张三"), ("m2", "张三"), ("m1", "")], "m string, v string")
