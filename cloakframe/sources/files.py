@@ -82,6 +82,33 @@ class DocumentSource(Protocol):
     def pages(self, spark: SparkSession, path: str, first: int = 1, last: int | None = None) -> DataFrame: ...
 
 
+def _flat(node, container: type, text: type) -> Iterator:
+    """Items of a layout; figures and other containers are opened, text boxes are not."""
+    for x in node:
+        if isinstance(x, container) and not isinstance(x, text):
+            yield from _flat(x, container, text)
+        else:
+            yield x
+
+
+def layout_pages(layouts: list, first: int, last: int | None, kinds: tuple[type, type, type]) -> Iterator[dict]:
+    """Rows of PAGE without the path, of the pages ``first`` to ``last`` of a file; ``kinds``: container, text, image.
+
+    The range is cut at the last page; one that begins behind it is refused.
+    """
+    container, text, image = kinds
+    if layouts and first > len(layouts):
+        raise ValueError("INVALID_REQUEST")
+    for n in range(first, min(last or len(layouts), len(layouts)) + 1):
+        page = layouts[n - 1]
+        items = []
+        for x in _flat(page, container, text):
+            if isinstance(x, (text, image)):
+                said = isinstance(x, text)
+                items.append({"kind": "text" if said else "image", "text": x.get_text() if said else "", "x0": x.x0, "y0": x.y0, "x1": x.x1, "y1": x.y1})
+        yield {"page_no": n, "original_width": page.width, "original_height": page.height, "rotation": page.rotate % 360, "items": items}
+
+
 class PdfSource:
     """Pages of PDF files.  It needs pdfminer, which is not part of this package."""
 
@@ -97,24 +124,10 @@ class PdfSource:
             from pdfminer.high_level import extract_pages
             from pdfminer.layout import LTContainer, LTImage, LTTextContainer
 
-            def flat(node) -> Iterator:
-                for x in node:
-                    if isinstance(x, LTTextContainer) or not isinstance(x, LTContainer):
-                        yield x
-                    else:
-                        yield from flat(x)
-
             for f in frames:
                 for path_, content in zip(f["path"], f["content"], strict=True):
-                    for n, page in enumerate(extract_pages(io.BytesIO(content)), 1):
-                        if n < first or (last is not None and n > last):
-                            continue
-                        items = []
-                        for x in flat(page):
-                            text = isinstance(x, LTTextContainer)
-                            if text or isinstance(x, LTImage):
-                                items.append({"kind": "text" if text else "image", "text": x.get_text() if text else "", "x0": x.x0, "y0": x.y0, "x1": x.x1, "y1": x.y1})
-                        yield pd.DataFrame([{"path": path_, "page_no": n, "original_width": page.width, "original_height": page.height, "rotation": page.rotate, "items": items}])
+                    for row in layout_pages(list(extract_pages(io.BytesIO(content))), first, last, (LTContainer, LTTextContainer, LTImage)):
+                        yield pd.DataFrame([{"path": path_, **row}])
 
         try:
             import pdfminer  # noqa: F401

@@ -1,17 +1,21 @@
 """The worker protocol: JSON lines of requests and events, checked, routed and put together.
 
 All of it works on a batch of lines and on a stream of them alike; ``assemble_stream``
-keeps state for each job until its last event.
+keeps which pages of a job came until its last event.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cloakframe.sources import files
 
 # Version, event kinds, stages, error codes.
 VERSION = 1
@@ -24,6 +28,8 @@ _BOX = "struct<x:double,y:double,width:double,height:double>"
 _BLOCK = f"struct<localId:string,blockType:string,text:string,bbox:{_BOX},confidence:double,source:string,readingOrder:int>"
 _PAGE = f"struct<pageNo:int,originalWidth:double,originalHeight:double,rotation:int,sourceType:string,blocks:array<{_BLOCK}>>"
 EVENT = f"protocolVersion int, type string, jobId string, documentId string, stage string, completed int, total int, pageNo int, page {_PAGE}, pageCount int, processedPages int, lastCompletedPage int, code string, message string, retryable boolean"
+#: Milliseconds between two looks at a status in flight.
+POLL_MS = 1000
 REQUEST = "protocolVersion int, type string, jobId string, documentId string, filePath string, pageStart int, pageEnd int, ocr boolean, detectLayout boolean"
 
 
@@ -34,9 +40,15 @@ def _named(*columns: str) -> Column:
     return out
 
 
+def _besides(lines: DataFrame, column: str, fields: str) -> list[str]:
+    """Columns of ``lines`` that stay beside the fields read from ``column``."""
+    known = {column, *T.StructType.fromDDL(fields).names}
+    return [c for c in lines.columns if c not in known]
+
+
 def parse(lines: DataFrame, column: str = "value") -> DataFrame:
     """Columns of EVENT and ``valid``; a line that is no event of version 1 is not valid."""
-    e = lines.withColumn("_e", F.from_json(F.col(column), EVENT)).select(*[c for c in lines.columns if c != column], "_e.*")
+    e = lines.select(*_besides(lines, column, EVENT), F.from_json(F.col(column), EVENT).alias("_e")).select("*", "_e.*").drop("_e")
     c = F.col
     page_ok = (
         (c("page.pageNo") >= 1)
@@ -72,7 +84,7 @@ def parse(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def valid_requests(lines: DataFrame, column: str = "value") -> DataFrame:
     """Requests (process_document, cancel_job) with ``valid``."""
-    r = lines.select(F.from_json(F.col(column), REQUEST).alias("r")).select("r.*")
+    r = lines.select(*_besides(lines, column, REQUEST), F.from_json(F.col(column), REQUEST).alias("_r")).select("*", "_r.*").drop("_r")
     c = F.col
     ranged = (c("pageStart") >= 1) & (c("pageEnd").isNull() | (c("pageEnd") >= c("pageStart")))
     kind = F.when(c("type") == "process_document", _named("documentId", "filePath") & ranged & c("ocr").isNotNull() & c("detectLayout").isNotNull()).when(c("type") == "cancel_job", F.lit(True))
@@ -87,9 +99,81 @@ def route(events: DataFrame, jobs: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem).drop("_j", "_d")
 
 
-def active_once(requests: DataFrame) -> DataFrame:
-    """The first request of each job; another one for an active job is refused."""
-    return requests.filter("valid and type = 'process_document'").dropDuplicates(["jobId"])
+def strict(routed: DataFrame) -> DataFrame:
+    """Events of ``route``; the first one with a problem fails the query or stream that reads them."""
+    said = F.concat_ws(" ", F.lit("worker event refused:"), "problem", "jobId")
+    return routed.filter(F.assert_true(F.col("problem").isNull(), said).isNull()).drop("problem")
+
+
+def in_order(events: DataFrame, seq: str = "seq") -> DataFrame:
+    """Events of each job together and in order."""
+    return events.repartition("jobId").sortWithinPartitions("jobId", seq)
+
+
+def active_once(requests: DataFrame, seq: str = "seq") -> DataFrame:
+    """Valid requests to process, with ``active``: the first of each job is; another one for its job is refused."""
+    first = Window.partitionBy("jobId").orderBy(seq)
+    return requests.filter("valid and type = 'process_document'").withColumn("active", F.row_number().over(first) == 1)
+
+
+def _event(kind: str, **fields: Column) -> Column:
+    all_ = {"protocolVersion": F.lit(VERSION), "type": F.lit(kind), "jobId": F.col("jobId"), "documentId": F.col("documentId"), **fields}
+    return F.to_json(F.struct(*[v.alias(k) for k, v in all_.items()]))
+
+
+def serve(requests: DataFrame, pages: DataFrame, cancels: DataFrame | None = None, seq: str = "seq") -> DataFrame:
+    """(jobId, seq, value): the events of a worker that answers ``requests``, in order within a job.
+
+    ``requests``: rows of ``valid_requests`` with ``seq``; ``pages``: in the form of
+    files.PAGE; ``cancels``: (jobId, after), the number of pages a job has handed over when
+    it is cancelled.  A range is cut at the last page; one that begins behind it, a file
+    without pages and a second request for a job are errors.  A cancelled job ends at the
+    next page boundary.
+    """
+    c = F.col
+    counts = pages.groupBy("path").agg(F.max("page_no").alias("_n"))
+    jobs = active_once(requests, seq).select("jobId", "documentId", "filePath", "pageStart", "pageEnd", "active", c(seq).alias("_asked"))
+    jobs = jobs.join(counts, jobs["filePath"] == counts["path"], "left").drop("path")
+    after = cancels.groupBy("jobId").agg(F.min("after").alias("_after")) if cancels is not None else None
+    jobs = jobs.join(after, "jobId", "left") if after is not None else jobs.withColumn("_after", F.lit(None).cast("int"))
+    wrong = F.when(~c("active"), F.struct(F.lit("INVALID_REQUEST").alias("code"), F.lit("the job is active already").alias("message")))
+    wrong = wrong.when(c("_n").isNull(), F.struct(F.lit("FILE_NOT_FOUND").alias("code"), F.lit("the file was not found").alias("message")))
+    wrong = wrong.when(c("pageStart") > c("_n"), F.struct(F.lit("INVALID_REQUEST").alias("code"), F.lit("the range is outside the document").alias("message")))
+    jobs = jobs.withColumn("_wrong", wrong).withColumn("_last", F.least(F.coalesce("pageEnd", "_n"), "_n")).withColumn("_total", c("_last") - c("pageStart") + 1)
+    jobs = jobs.withColumn("_done", F.least("_total", F.coalesce("_after", "_total"))).withColumn("_cut", F.coalesce(c("_after") < c("_total"), F.lit(False)))
+    bad = jobs.filter("_wrong is not null").select("jobId", F.when(c("active"), 2).otherwise(c("_asked")).cast("long").alias("seq"), _event("error", code=c("_wrong.code"), message=c("_wrong.message"), retryable=F.lit(False)).alias("value"))
+    began = jobs.filter("active").select("jobId", F.posexplode(F.array(_event("started"), _event("progress", stage=F.lit("INSPECT"), completed=F.lit(0), total=F.lit(1)))).alias("seq", "value"))
+    good = jobs.filter("_wrong is null")
+    block = F.struct(
+        c("reading_order").alias("readingOrder"),
+        F.concat(F.lit("p"), c("page_no"), F.lit("b"), c("reading_order")).alias("localId"),
+        F.lit("TEXT").alias("blockType"),
+        "text",
+        F.struct("x", "y", "width", "height").alias("bbox"),
+        F.lit("NATIVE").alias("source"),
+    )
+    built = files.page_blocks(pages).groupBy("path", "page_no", "source_type", "rotation").agg(F.array_sort(F.collect_list(F.when(c("reading_order").isNotNull(), block))).alias("blocks"))
+    built = built.join(pages.select("path", "page_no", "original_width", "original_height"), ["path", "page_no"])
+    model = F.struct(c("page_no").alias("pageNo"), c("original_width").alias("originalWidth"), c("original_height").alias("originalHeight"), (c("rotation") % 360).alias("rotation"), c("source_type").alias("sourceType"), "blocks")
+    handed = good.join(built, (good["filePath"] == built["path"]) & (built["page_no"] >= good["pageStart"]) & (built["page_no"] < good["pageStart"] + good["_done"]))
+    nth = c("page_no") - c("pageStart")
+    each = F.array(_event("page_result", page=model), _event("progress", stage=F.lit("NATIVE_PARSE"), completed=nth + 1, total=F.greatest("_total", F.lit(1)), pageNo=c("page_no")))
+    handed = handed.select("jobId", (2 + 2 * nth).alias("_at"), F.posexplode(each).alias("_k", "value")).select("jobId", (c("_at") + c("_k")).alias("seq"), "value")
+    ends = F.when(c("_cut"), F.array(_event("cancelled", lastCompletedPage=F.when(c("_done") > 0, c("pageStart") + c("_done") - 1).otherwise(0)))).otherwise(
+        F.array(_event("progress", stage=F.lit("FINALIZE"), completed=F.lit(1), total=F.lit(1)), _event("completed", pageCount=c("_n"), processedPages=c("_total")))
+    )
+    ended = good.select("jobId", (2 + 2 * c("_done")).alias("_at"), F.posexplode(ends).alias("_k", "value")).select("jobId", (c("_at") + c("_k")).alias("seq"), "value")
+    return bad.union(began.select("jobId", c("seq").cast("long"), "value")).union(handed.select("jobId", c("seq").cast("long"), "value")).union(ended.select("jobId", c("seq").cast("long"), "value"))
+
+
+def poll(status: Callable[[], str], in_flight: tuple[str, ...] = ("PARSING", "DETECTING", "RESOLVING", "SANITIZING"), every_ms: int = POLL_MS, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
+    """Statuses as they are looked up, until one is no longer in flight."""
+    while True:
+        now = status()
+        yield now
+        if now not in in_flight:
+            return
+        sleep(every_ms / 1000)
 
 
 def job_results(events: DataFrame, seq: str = "seq") -> DataFrame:
@@ -120,36 +204,63 @@ def read_lines(spark: SparkSession, folder: str, stream: bool = True) -> DataFra
     return (spark.readStream if stream else spark.read).text(folder)
 
 
-def assemble_stream(events: DataFrame) -> DataFrame:
-    """(jobId, outcome, n_pages, pages) of each job, when its last event is there.
+def _seen(state: str) -> list[list[int]]:
+    return json.loads(state) if state else []
+
+
+def _add(ranges: list[list[int]], page: int) -> bool:
+    """Add a page to sorted ranges [first, last]; whether it is new."""
+    for k, (lo, hi) in enumerate(ranges):
+        if lo <= page <= hi:
+            return False
+        if page < lo - 1:
+            ranges.insert(k, [page, page])
+            return True
+        if page == lo - 1:
+            ranges[k][0] = page
+            return True
+        if page == hi + 1:
+            ranges[k][1] = page
+            if k + 1 < len(ranges) and ranges[k + 1][0] == page + 1:
+                ranges[k][1] = ranges.pop(k + 1)[1]
+            return True
+    ranges.append([page, page])
+    return True
 
-    State of a job is the pages that came so far; it is dropped with the last event.
-    Pages come as JSON, in order of number.
+
+def assemble_stream(events: DataFrame, seq: str = "seq") -> DataFrame:
+    """(jobId, kind, page_no, page, outcome, n_pages): each page as it comes, then the job's result.
+
+    State of a job is which pages came, as ranges, and whether one came twice; pages
+    themselves go straight through, and a reader takes those of jobs with a good result.
+    Events of a job in one batch are taken by ``seq`` where there is one.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    slim = events.filter("valid").select("jobId", "type", F.col("page.pageNo").alias("page_no"), F.to_json("page").alias("page"), "pageCount", "processedPages")
+    order = F.col(seq).cast("long") if seq in events.columns else F.lit(0).cast("long")
+    slim = events.filter("valid").select("jobId", "type", order.alias("seq"), F.col("page.pageNo").alias("page_no"), F.to_json("page").alias("page"), "pageCount", "processedPages")
+    names = ["jobId", "kind", "page_no", "page", "outcome", "n_pages"]
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pages, broken = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, False)
-        end = None
-        # a batch's rows come in any order; a job's last event ends it after all its pages
-        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.type in TERMINAL)
-        for r in rows:
-            if end is None:
-                if r.type == "page_result":
-                    ids = [b["localId"] for b in json.loads(r.page).get("blocks", [])]
-                    broken = broken or str(int(r.page_no)) in pages or len(set(ids)) < len(ids)
-                    pages[str(int(r.page_no))] = r.page
-                elif r.type in TERMINAL:
-                    end = r
+        ranges, broken = (_seen(state.get[0]), state.get[1]) if state.exists else ([], False)
+        out, end = [], None
+        # a job's last event ends it after all its pages, however a batch's rows come
+        for r in sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: (r.type in TERMINAL, r.seq)):
+            if end is None and r.type == "page_result":
+                ids = [b["localId"] for b in json.loads(r.page).get("blocks", [])]
+                broken = not _add(ranges, int(r.page_no)) or len(set(ids)) < len(ids) or broken
+                out.append((key[0], "PAGE", int(r.page_no), r.page, None, None))
+            elif end is None and r.type in TERMINAL:
+                end = r
         if end is None:
-            state.update((json.dumps(pages), bool(broken)))
-            return
-        if state.exists:
-            state.remove()
-        whole = end.type == "completed" and not broken and sorted(map(int, pages)) == list(range(1, int(end.pageCount) + 1)) and int(end.processedPages) == int(end.pageCount)
-        outcome = {"cancelled": "CANCELLED", "error": "FAILED"}.get(end.type, "COMPLETED" if whole else "INCOMPLETE")
-        yield pd.DataFrame([{"jobId": key[0], "outcome": outcome, "n_pages": len(pages), "pages": [pages[k] for k in sorted(pages, key=int)] if whole else []}])
+            state.update((json.dumps(ranges), bool(broken)))
+        else:
+            if state.exists:
+                state.remove()
+            n = sum(hi - lo + 1 for lo, hi in ranges)
+            whole = end.type == "completed" and not broken and ranges == ([[1, n]] if n else []) and int(end.pageCount) == int(end.processedPages) == n
+            out.append((key[0], "RESULT", None, None, {"cancelled": "CANCELLED", "error": "FAILED"}.get(end.type, "COMPLETED" if whole else "INCOMPLETE"), n))
+        frame = pd.DataFrame(out, columns=names)
+        yield frame.astype({"page_no": "Int32", "n_pages": "Int32"})
 
-    return slim.groupBy("jobId").applyInPandasWithState(step, "jobId string, outcome string, n_pages int, pages array<string>", "pages string, broken boolean", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("jobId").applyInPandasWithState(step, "jobId string, kind string, page_no int, page string, outcome string, n_pages int", "ranges string, broken boolean", "append", GroupStateTimeout.NoTimeout)

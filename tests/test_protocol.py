@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+
+from cloakframe.sources import files
 from cloakframe.streaming import protocol as p
 
 
@@ -68,4 +71,85 @@ def test_stream(spark, tmp_path):
     out = p.assemble_stream(p.parse(p.read_lines(spark, f"file://{tmp_path}/in")))
     q = out.writeStream.format("memory").queryName("assembled").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.jobId: r.outcome for r in spark.table("assembled").collect()} == WANT
+    rows = spark.table("assembled").collect()
+    assert {r.jobId: r.outcome for r in rows if r.kind == "RESULT"} == WANT
+    assert sorted(r.page_no for r in rows if r.kind == "PAGE" and r.jobId == "j1") == [1, 2]
+    assert all(json.loads(r.page)["pageNo"] == r.page_no for r in rows if r.kind == "PAGE")
+
+
+def test_a_mismatch_fails_the_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.jsonl").write_text(_event("started") + "\n" + _event("started", "j9") + "\n")
+    jobs = spark.createDataFrame([("j1", "d1")], "job_id string, document_id string")
+    out = p.strict(p.route(p.parse(p.read_lines(spark, f"file://{tmp_path}/in")), jobs)).select("jobId")
+    q = out.writeStream.format("memory").queryName("refused").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="UNKNOWN_JOB j9"):
+        q.awaitTermination(120)
+        raise q.exception()
+    batch = p.route(p.parse(spark.createDataFrame([(_event("started"),)], "value string")), jobs)
+    assert p.strict(batch).count() == 1
+
+
+def test_first_request_is_the_active_one(spark):
+    base = {"protocolVersion": 1, "type": "process_document", "jobId": "j", "documentId": "d", "filePath": "f", "pageStart": 1, "ocr": False, "detectLayout": True}
+    rows = [(3, json.dumps(base | {"filePath": "late"})), (1, json.dumps(base | {"filePath": "first"})), (2, json.dumps(base | {"jobId": "k"})), (0, json.dumps(base | {"pageStart": 0}))]
+    df = spark.createDataFrame(rows, "seq int, value string")
+    got = p.active_once(p.valid_requests(df)).collect()
+    assert {(r.seq, r.filePath, r.active) for r in got} == {(1, "first", True), (3, "late", False), (2, "f", True)}
+
+
+def test_worker(spark):
+    item = ("text", " hello ", 1.0, 1.0, 5.0, 2.0)
+    pages = spark.createDataFrame([("f", n, 10.0, 20.0, 450 if n == 2 else 0, [item] if n != 3 else []) for n in (1, 2, 3)], files.PAGE)
+    ask = lambda job, start=1, end=None, path="f": (job, "d" + job, path, start, end)
+    asked = [ask("a"), ask("b", 2, 9), ask("c", 4), ask("d", path="none"), ask("e"), ask("e", 2), ask("g"), ask("h", 2, 2)]
+    base = {"protocolVersion": 1, "type": "process_document", "ocr": False, "detectLayout": True}
+    lines = [(i, json.dumps(base | dict(zip(("jobId", "documentId", "filePath", "pageStart", "pageEnd"), x, strict=True)))) for i, x in enumerate(asked)]
+    requests = p.valid_requests(spark.createDataFrame(lines, "seq int, value string"))
+    cancels = spark.createDataFrame([("e", 1), ("g", 0), ("a", 7)], "jobId string, after int")
+    events = p.in_order(p.parse(p.serve(requests, pages, cancels)))
+    rows = events.collect()
+    assert all(r.valid for r in rows)
+    kinds = lambda j: [r.type for r in sorted((r for r in rows if r.jobId == j), key=lambda r: r.seq)]
+    assert kinds("a") == ["started", "progress"] + ["page_result", "progress"] * 3 + ["progress", "completed"]
+    assert kinds("b") == ["started", "progress"] + ["page_result", "progress"] * 2 + ["progress", "completed"]
+    assert kinds("c") == kinds("d") == ["started", "progress", "error"] and kinds("g") == ["started", "progress", "cancelled"]
+    assert sorted(kinds("e")) == sorted(["started", "progress", "page_result", "progress", "cancelled", "error"])
+    last = {r.jobId: r for r in rows if r.type in p.TERMINAL}
+    assert last["c"].code == "INVALID_REQUEST" and last["d"].code == "FILE_NOT_FOUND" and last["g"].lastCompletedPage == 0
+    assert (last["b"].pageCount, last["b"].processedPages, last["h"].processedPages) == (3, 2, 1)
+    page = next(r.page for r in rows if r.jobId == "b" and r.type == "page_result" and r.page.pageNo == 2)
+    assert page.rotation == 90 and page.blocks[0].text == "hello" and page.sourceType == "NATIVE"
+    results = {r.jobId: r.outcome for r in p.job_results(events).collect()}
+    assert results["a"] == "COMPLETED" and results["c"] == "FAILED" and results["g"] == "CANCELLED"
+
+
+def test_polling_ends_with_the_stage():
+    seen, slept = iter(["DETECTING", "DETECTING", "DETECTED", "never"]), []
+    assert list(p.poll(lambda: next(seen), sleep=slept.append)) == ["DETECTING", "DETECTING", "DETECTED"] and slept == [1.0, 1.0]
+
+
+def test_page_ranges_of_layouts():
+    class Box:
+        def __init__(self, *inner, **more):
+            self.inner, self.x0, self.y0, self.x1, self.y1 = inner, 0, 0, 1, 1
+            self.__dict__.update(more)
+
+        def __iter__(self):
+            return iter(self.inner)
+
+    class Words(Box):
+        def get_text(self):
+            return "t"
+
+    class Image:
+        x0, y0, x1, y1 = 0, 0, 1, 1
+
+    kinds = (Box, Words, Image)
+    pages = [Box(Box(Words()), Image(), width=1, height=2, rotate=r) for r in (0, 450, 90)]
+    rows = list(files.layout_pages(pages, 2, 9, kinds))
+    assert [(r["page_no"], r["rotation"], [i["kind"] for i in r["items"]]) for r in rows] == [(2, 90, ["text", "image"]), (3, 90, ["text", "image"])]
+    with pytest.raises(ValueError):
+        list(files.layout_pages(pages, 4, None, kinds))
+    with pytest.raises(ValueError):
+        files.PdfSource().pages(None, "x", 3, 2)
