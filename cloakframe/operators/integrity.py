@@ -6,6 +6,8 @@ over, and an empty result is the proof.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from cloakframe.sources.store import settled
 
 
 def _as(df: DataFrame, table: str, rule: str, key: Column | None = None) -> DataFrame:
-    return df.select(F.lit(table).alias("table"), (F.col("id") if key is None else key).cast("string").alias("id"), F.lit(rule).alias("rule"))
+    if key is None:
+        key = F.col("id") if "id" in df.columns else F.concat_ws("|", *df.columns[:2])
+    return df.select(F.lit(table).alias("table"), key.cast("string").alias("id"), F.lit(rule).alias("rule"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
@@ -54,6 +58,15 @@ def lost(old: DataFrame, new: DataFrame, table: str) -> DataFrame:
     return _as(old.join(new.select("id"), "id", "left_anti"), table, "row lost")
 
 
+def changed_columns(old: DataFrame, new: DataFrame, columns: tuple[str, ...], table: str, once_set: bool = False) -> DataFrame:
+    """``changed`` in one join: a row for each column that differs."""
+    o = old.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in columns])
+    differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}")) & (F.col(f"_{c}").isNotNull() if once_set else F.lit(True))
+    rules = F.array(*[F.when(differs(c), F.lit(f"{c} changed")) for c in columns])
+    hit = new.join(o, new["id"] == o["_id"]).select("id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
+    return hit.select(F.lit(table).alias("table"), F.col("id").cast("string").alias("id"), "rule")
+
+
 def repeated(df: DataFrame, columns: tuple[str, ...], table: str) -> DataFrame:
     """Keys that more than one row has; a null in a key does not count."""
     for c in columns:
@@ -63,7 +76,13 @@ def repeated(df: DataFrame, columns: tuple[str, ...], table: str) -> DataFrame:
 
 
 def uniqueness(tables: dict[str, DataFrame]) -> DataFrame:
-    return union([repeated(df, k, t) for t, df in tables.items() for k in S.UNIQUE[t]])
+    """Repeated keys of tables, all counted in one aggregation."""
+    parts = []
+    for t, df in tables.items():
+        for keys in S.UNIQUE.get(t, []):
+            whole = df.dropna(subset=list(keys))
+            parts.append(_as(whole, t, "repeated " + ",".join(keys), F.concat_ws("|", *keys)))
+    return union(parts).groupBy("table", "id", "rule").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
 
 
 def merge_redirects(entities: DataFrame) -> DataFrame:
@@ -163,6 +182,76 @@ def event_bijection(changes: DataFrame, events: DataFrame) -> DataFrame:
     return _as(j, "mentions", "events", F.concat_ws("|", *keys))
 
 
+def artifact_scope(documents: DataFrame, blocks: DataFrame, maps: DataFrame, source: dict[str, DataFrame]) -> DataFrame:
+    """Sanitized artifacts outside their scope.
+
+    A document must be of its matter and of a SANITIZE job for it; a block one of its
+    sanitized document's blocks, on its page; a mapping's mention and entity of its matter,
+    and the mention one of its sanitized document's.  ``source``: documents,
+    processing_jobs, document_blocks, mentions, entities.
+    """
+    jobs = source["processing_jobs"].filter("job_type = 'SANITIZE'")
+    of = {"document_id": "document_id"}
+    here = maps.join(source["mentions"].select(F.col("id").alias("mention_id"), F.col("document_id").alias("document_id")), "mention_id")
+    return union(
+        [
+            missing_reference(documents, "document_id", source["documents"], "sanitized_documents", {"matter_id": "matter_id"}),
+            missing_reference(documents, "job_id", jobs, "sanitized_documents", of),
+            missing_reference(blocks, "block_id", source["document_blocks"], "sanitized_blocks", of | {"page_id": "page_id"}),
+            missing_reference(blocks, "sanitized_document_id", documents, "sanitized_blocks", of),
+            missing_reference(maps, "mention_id", source["mentions"], "sanitization_mappings", {"matter_id": "matter_id"}),
+            missing_reference(maps, "entity_id", source["entities"], "sanitization_mappings", {"matter_id": "matter_id"}),
+            missing_reference(here, "sanitized_document_id", documents, "sanitization_mappings", of),
+        ]
+    )
+
+
+def commit_violations(old: Callable[[str], DataFrame], new: Callable[[str], DataFrame], added: dict[str, DataFrame], replaced: set[str]) -> DataFrame | None:
+    """What a commit would break: (table, id, rule).
+
+    ``old`` and ``new`` read a table before and after, ``added`` are the rows that the
+    commit writes, ``replaced`` the tables that it writes anew.
+    """
+    if out := [t for t in S.APPEND_ONLY if t in replaced]:
+        raise ValueError(f"{out[0]} is append-only")
+    parts = []
+    known = checks()
+    for t, df in added.items():
+        if t in known:
+            parts.append(check_rows(df, t))
+        for column, parent, scope in S.REFERENCES.get(t, []):
+            parts.append(missing_reference(df, column, new(parent), t, scope))
+    if added:
+        parts.append(uniqueness({t: new(t) for t in added}))
+    for t in replaced:
+        if t in S.IMMUTABLE:
+            parts.append(changed_columns(old(t), added[t], S.IMMUTABLE[t], t))
+        if t in S.ONCE_SET:
+            parts.append(changed_columns(old(t), added[t], S.ONCE_SET[t], t, once_set=True))
+        if "id" in S.TABLES[t].names:
+            parts.append(lost(old(t), new(t), t))
+    if "entities" in added:
+        parts += [merge_redirects(new("entities"))]
+        if "entities" in replaced:
+            parts.append(redirect_cycles(new("entities")))
+    if "protected_values" in added:
+        parts.append(token_forms(added["protected_values"]))
+    if "entity_protected_values" in added:
+        matter = lambda t, c: new(t).select(F.col("id").alias(c), F.col("matter_id").alias(f"_{c}"))
+        both = added["entity_protected_values"].join(matter("entities", "entity_id"), "entity_id").join(matter("protected_values", "protected_value_id"), "protected_value_id")
+        parts.append(_as(both.filter("_entity_id <> _protected_value_id"), "entity_protected_values", "two matters", F.concat_ws("|", "entity_id", "protected_value_id")))
+    if "sanitized_documents" in added:
+        jobs = new("processing_jobs").filter("job_type = 'SANITIZE'")
+        parts.append(missing_reference(added["sanitized_documents"], "job_id", jobs, "sanitized_documents", {"document_id": "document_id"}))
+    if "mentions" in replaced:
+        was = old("mentions").select("id", F.col("entity_id").alias("_was"))
+        moved = new("mentions").join(was, "id").filter("entity_id is not null and not (entity_id <=> _was)")
+        moved = moved.select(F.col("id").alias("mention_id"), F.when(F.col("_was").isNull(), "MENTION_ASSIGNED").otherwise("MENTION_REASSIGNED").alias("event_type"))
+        told = added["resolution_events"] if "resolution_events" in added else new("resolution_events").limit(0)
+        parts.append(event_bijection(moved, told.filter(F.col("event_type").isin("MENTION_ASSIGNED", "MENTION_REASSIGNED"))))
+    return union(parts) if parts else None
+
+
 def merge_entity(entities: DataFrame, merges: DataFrame) -> DataFrame:
     """Entities after merges (source_id, target_id, at): the source redirects, where both are active, distinct, in one matter and time does not go back."""
     m = merges.select(F.col("source_id").alias("id"), "target_id", "at")

@@ -87,6 +87,21 @@ def coverage_gaps(expected: DataFrame, present: DataFrame, keys: list[str]) -> D
     return both.select(*keys, problem.alias("problem")).filter("problem is not null")
 
 
+def with_source(sanitized: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Sanitized blocks with page_no and reading_order of the blocks they come from; 0 where there is none."""
+    src = blocks.select("block_id", F.col("page_no").alias("_p"), F.col("reading_order").alias("_r"))
+    j = sanitized.join(src, "block_id", "left")
+    return j.withColumns({"page_no": F.coalesce("_p", F.lit(0)), "reading_order": F.coalesce("_r", F.lit(0))}).drop("_p", "_r")
+
+
+def mapping_source(maps: DataFrame, mentions: DataFrame, values: DataFrame) -> DataFrame:
+    """Mappings with their mention's place and their value, as restoring needs them."""
+    m = mentions.select(F.col("id").alias("mention_id"), "protected_value_id", "start_offset")
+    keep = [c for c in ("value_cipher", "value", "fingerprint") if c in values.columns]
+    v = values.select(F.col("id").alias("protected_value_id"), *keep)
+    return maps.join(m, "mention_id").join(v, "protected_value_id")
+
+
 def restorable(vault: DataFrame, on_request: bool = False) -> DataFrame:
     """For each document and token the last mapping, of those whose policy allows restoring."""
     allowed = ["ALWAYS_RESTORE", *(["RESTORE_ON_REQUEST"] if on_request else [])]

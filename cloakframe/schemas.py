@@ -77,3 +77,45 @@ UNIQUE: dict[str, list[tuple[str, ...]]] = {
     "sanitization_mappings": [("id",), ("sanitized_document_id", "mention_id")],
     **{t: [("id",)] for t in ("matters", "document_blocks", "mentions", "entity_relationships", "resolution_evidence", "resolution_events", "processing_jobs")},
 }
+
+#: Columns that never change once a row is there, and those that may be filled once.
+IMMUTABLE: dict[str, tuple[str, ...]] = {
+    "documents": ("matter_id",),
+    "document_pages": ("document_id",),
+    "document_blocks": ("document_id", "page_id"),
+    "entities": ("matter_id", "public_token"),
+    "protected_values": ("matter_id",),
+    "mentions": ("matter_id", "document_id", "page_id", "block_id", "start_offset", "end_offset"),
+}
+ONCE_SET: dict[str, tuple[str, ...]] = {"protected_values": ("public_token",)}
+#: Tables whose rows are never changed or removed.
+APPEND_ONLY = ("resolution_events", "sanitized_documents", "sanitized_blocks", "sanitization_mappings")
+#: For each table: (column, parent, {column: the parent's column that must be equal}); a null column names nothing.
+REFERENCES: dict[str, list[tuple[str, str, dict[str, str]]]] = {
+    "documents": [("matter_id", "matters", {})],
+    "document_pages": [("document_id", "documents", {})],
+    "document_blocks": [("page_id", "document_pages", {"document_id": "document_id"})],
+    "mentions": [
+        ("document_id", "documents", {"matter_id": "matter_id"}),
+        ("page_id", "document_pages", {"document_id": "document_id"}),
+        ("block_id", "document_blocks", {"document_id": "document_id", "page_id": "page_id"}),
+        ("entity_id", "entities", {"matter_id": "matter_id"}),
+        ("protected_value_id", "protected_values", {"matter_id": "matter_id"}),
+    ],
+    "entity_aliases": [("entity_id", "entities", {"matter_id": "matter_id"})],
+    "entity_protected_values": [("entity_id", "entities", {}), ("protected_value_id", "protected_values", {})],
+    "entity_relationships": [
+        ("source_entity_id", "entities", {"matter_id": "matter_id"}),
+        ("target_entity_id", "entities", {"matter_id": "matter_id"}),
+        ("source_document_id", "documents", {"matter_id": "matter_id"}),
+        ("source_mention_id", "mentions", {"matter_id": "matter_id"}),
+    ],
+    "resolution_candidates": [("mention_id", "mentions", {}), ("candidate_entity_id", "entities", {})],
+    "resolution_evidence": [("candidate_id", "resolution_candidates", {})],
+    "entity_constraints": [("entity_a_id", "entities", {"matter_id": "matter_id"}), ("entity_b_id", "entities", {"matter_id": "matter_id"})],
+    "resolution_events": [("entity_id", "entities", {"matter_id": "matter_id"}), ("mention_id", "mentions", {"matter_id": "matter_id"})],
+    "processing_jobs": [("document_id", "documents", {})],
+    "sanitized_documents": [("document_id", "documents", {"matter_id": "matter_id"}), ("job_id", "processing_jobs", {"document_id": "document_id"})],
+    "sanitized_blocks": [("block_id", "document_blocks", {"document_id": "document_id", "page_id": "page_id"}), ("sanitized_document_id", "sanitized_documents", {"document_id": "document_id"})],
+    "sanitization_mappings": [("mention_id", "mentions", {"matter_id": "matter_id"}), ("entity_id", "entities", {"matter_id": "matter_id"}), ("sanitized_document_id", "sanitized_documents", {"matter_id": "matter_id"})],
+}

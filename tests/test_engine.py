@@ -109,3 +109,83 @@ def test_refused_requests(engine, tmp_path):
     (tmp_path / "c.pdf").write_text("after")
     assert _code(engine.document_process, d, Text("x")) == "SOURCE_CHANGED" and engine.document_get(d)["parse_status"] == "FAILED"
     assert engine.store.read("document_pages").filter(F.lit(True)).isEmpty()
+
+
+class Failing(Text):
+    def pages(self, spark, path, first=1, last=None):
+        raise RuntimeError("no reader")
+
+
+class Meddling(Text):
+    """Changes its file while it is read."""
+
+    def pages(self, spark, path, first=1, last=None):
+        with open(path.removeprefix("file:").replace("///", "/"), "w") as f:
+            f.write("meddled")
+        return super().pages(spark, path, first, last)
+
+
+def test_states_and_retries(engine, tmp_path):
+    m = engine.matter_create("States")
+    d = _imported(engine, tmp_path, m, "s.pdf", "Mail a@b.co and Ann.")
+    with pytest.raises(RuntimeError):
+        engine.document_process(d, Failing("x"))
+    got = engine.document_get(d)
+    assert got["parse_status"] == "FAILED" and [(j["job_type"], j["status"]) for j in got["jobs"]] == [("PARSE", "FAILED")]
+    assert _code(engine.document_detect, d) == "INVALID_STATE"  # only the stage that failed may take it up
+    other = _imported(engine, tmp_path, m, "meddled.pdf", "as imported")
+    assert _code(engine.document_process, other, Meddling("x")) == "SOURCE_CHANGED" and engine.document_get(other)["parse_status"] == "FAILED"
+    engine.document_process(d, Text("Mail a@b.co and Ann."))
+    assert _code(engine.document_process, d, Text("x")) == "INVALID_STATE"
+    seen = []
+
+    def look(text):
+        raise RuntimeError("the detector broke")
+
+    with pytest.raises(Exception, match="the detector broke"):
+        engine.document_detect(d, detector=look)
+    assert engine.document_get(d)["parse_status"] == "FAILED" and engine.store.read("mentions").isEmpty()
+    assert _code(engine.document_resolve, d) == "INVALID_STATE"
+    assert _code(engine.document_detect, d, STANDARD, lambda t: [{"mention_type": "PERSON", "start": 3, "end": 99}]) == "INVALID_PROPOSAL"
+    inner = engine._commit
+    engine._commit = lambda *a, **k: (seen.append([r.parse_status for r in a[2]["documents"].filter(F.col("id") == d).collect()]), inner(*a, **k))[1]
+    engine.document_detect(d, detector=lambda t: [{"mention_type": "PERSON", "start": 16, "end": 19, "detector": "NER"}])
+    engine._commit = inner
+    assert seen == [["DETECTING"], ["DETECTED"]]
+    row = engine.review_get_document(d)["mentions"].first()
+    assert (row.mention_type, row.value, row.start_offset) == ("PERSON", "Ann", 16)
+    jobs = {(j.job_type, j.status) for j in engine.store.read("processing_jobs").filter(F.col("document_id") == d).collect()}
+    assert jobs == {("PARSE", "FAILED"), ("PARSE", "COMPLETED"), ("DETECT", "FAILED"), ("DETECT", "COMPLETED")}
+
+
+def test_many_documents_at_once(engine, tmp_path):
+    rules = [*STANDARD, Rule("PERSON", "Ann")]
+    docs = {}
+    for name in ("one", "two"):
+        m = engine.matter_create(name)
+        for k in range(2):
+            docs[name, k] = _imported(engine, tmp_path, m, f"{name}{k}.pdf", f"{name} {k}")
+            engine.document_process(docs[name, k], Text(f"Ann wrote {name}{k}@x.org."))
+    ids = list(docs.values())
+    assert engine.documents_detect([*ids, "none"], rules) == {"none": "NOT_FOUND"}
+    assert engine.documents_detect(ids, rules) == dict.fromkeys(ids, "DONE")
+    assert engine.documents_resolve(ids, "2024-10-27") == {}
+    # the first document of a matter makes the entity, the second one sees it
+    status = {k: engine.review_get_document(d)["mentions"].filter("mention_type = 'PERSON'").first().decision_status for k, d in docs.items()}
+    assert status == {("one", 0): "AUTO_LINKED", ("one", 1): "NEEDS_REVIEW", ("two", 0): "AUTO_LINKED", ("two", 1): "NEEDS_REVIEW"}
+    assert engine.store.read("entities").count() == 2 and engine.store.read("resolution_events").filter("event_type = 'ENTITY_CREATED'").count() == 2
+    # one document can be finished, the other ones fail on their own
+    mail = engine.review_get_document(docs["one", 0])["mentions"].filter("mention_type = 'EMAIL'").first()
+    entity = engine.store.read("entities", [engine.document_get(docs["one", 0])["matter_id"]]).first().id
+    engine.review_assign(mail.id, entity)
+    assert engine.previews_generate(ids) == {d: "UNRESOLVED_MENTION" for k, d in docs.items() if k != ("one", 0)}
+    out = engine.preview_get(docs["one", 0])
+    assert out["status"] == "AVAILABLE" and "one0@x.org" not in out["blocks"].first().text
+    before = engine.store.read("entities").count()
+    other = engine.review_get_document(docs["two", 0])["mentions"].filter("mention_type = 'PERSON'").first()
+    assert _code(engine.review_create_entity_and_assign, other.id, "PERSON", "x" * 300) == "INVALID_REQUEST"
+    assert _code(engine.review_assign, other.id, entity) == "OTHER_MATTER" and engine.store.read("entities").count() == before
+    twin = engine.create_entity(engine.document_get(docs["one", 0])["matter_id"], "PERSON", "Twin")
+    engine.merge_entities(twin, entity)
+    assert engine.store.read("entities").filter(F.col("id") == twin).first().merged_into_entity_id == entity
+    assert _code(engine.merge_entities, twin, entity) == "INVALID_REQUEST"
