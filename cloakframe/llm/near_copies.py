@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from cloakframe.llm.components import connected_components
 from cloakframe.llm.scratch import columns, configure, fresh, materialize
 from cloakframe.llm.simhash import NAMELESS, bit_sliced_pairs, majority
-from cloakframe.llm.streams import group_starts, texts, whole_groups
+from cloakframe.llm.streams import group_starts, texts, tidy, whole_groups
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -101,7 +101,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in sets], pa.int64()), keys], ["doc_id", "fp", "keys"])
 
-    return docs.select(_key().alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, keys array<long>")
+    return docs.select(_key().alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, fp long, keys array<long>")
 
 
 def _confirmed(groups: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -134,7 +134,7 @@ def _confirmed(groups: DataFrame, found: DataFrame, width: int, similarity: floa
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     rows = groups.join(found, groups["rep"] == found["doc_id"]).select("g1", "g2", "rep", "fp", "label", "rest", "text")
-    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "rep").mapInArrow(run, "a long, b long")
+    return rows.repartition("g1", "g2").sortWithinPartitions("g1", "g2", "rep").mapInArrow(tidy(run), "a long, b long")
 
 
 def _blocks(n: F.Column) -> F.Column:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakframe.llm.scratch import configure, materialize
-from cloakframe.llm.streams import texts
+from cloakframe.llm.streams import texts, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -143,7 +143,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 n = [len(x) // t.dtype.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n long, ids binary")
 
 
 Combination = tuple[tuple[int, int], ...]
@@ -365,4 +365,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
                 arrays = [b.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -1,8 +1,10 @@
-"""Helpers for Arrow batches: texts as bytes, and groups that span batches."""
+"""Helpers for Arrow batches: texts as bytes, groups that span batches, and memory given back."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -51,3 +53,23 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
         v = table.column(k).to_numpy()
         new[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(new)
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system; workers serve many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that begins and ends with memory given back."""
+
+    @wraps(run)
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.llm.scratch import columns, configure, fresh
-from cloakframe.llm.streams import group_starts, texts, whole_groups
+from cloakframe.llm.streams import group_starts, texts, tidy, whole_groups
 
 LENGTH = 50
 GRAM = 16
@@ -612,12 +612,12 @@ def removals(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataF
     configure(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.hash("text").alias("t"), F.col("text"), F.struct(*[c for c, name in zip(columns(docs), docs.columns, strict=True) if name != "text"], F.lit(0).alias(fresh(docs, "_")[0])).alias("rest"))
-    asked = rows.mapInArrow(ask(parts), "p long, blob binary")
-    answered = asked.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(by_partition(parts, hot), "block long, blob binary")
-    shared = answered.repartition("block").sortWithinPartitions("block").mapInArrow(settle(), "d long, t int, data binary")
+    asked = rows.mapInArrow(tidy(ask(parts)), "p long, blob binary")
+    answered = asked.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(tidy(by_partition(parts, hot)), "block long, blob binary")
+    shared = answered.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(settle()), "d long, t int, data binary")
     numbers = shared.groupBy("d", "t").agg(F.collect_list("data").alias("numbers"))
-    around = rows.join(numbers, ["d", "t"]).select("d", "t", "text", "numbers", "rest").mapInArrow(contexts(parts), "q long, blob binary")
-    found = around.repartition(parts, "q").mapInArrow(resolve(), "d long, t int, data binary")
+    around = rows.join(numbers, ["d", "t"]).select("d", "t", "text", "numbers", "rest").mapInArrow(tidy(contexts(parts)), "q long, blob binary")
+    found = around.repartition(parts, "q").mapInArrow(tidy(resolve()), "d long, t int, data binary")
     covers = found.groupBy("d", "t").agg(F.collect_list("data").alias("covers"))
     joined = rows.join(covers, ["d", "t"], "left")
     return joined.select("text", "rest", "covers")
@@ -640,7 +640,7 @@ def deduplicate(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> Da
             yield pa.RecordBatch.from_arrays([b.column(1).field("doc_id"), *numbers, pa.array([o[3] for o in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = removals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts, hot)
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def keep_first(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -664,4 +664,4 @@ def keep_first(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 columns[k] = n.cast(columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return removals(docs, parts).mapInArrow(run, docs.schema)
+    return removals(docs, parts).mapInArrow(tidy(run), docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm import crf
 from cloakframe.llm.scratch import configure, numbered
-from cloakframe.llm.streams import texts
+from cloakframe.llm.streams import texts, tidy
 
 #: Documents of each label that the model is fitted to, and the letters that one may have.
 SAMPLE = 1200
@@ -259,7 +259,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(where, kind)], ["doc_id", "held_out", "score", "predicted", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>")
 
 
 def reject(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
@@ -273,4 +273,4 @@ def reject(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Dat
             yield pa.RecordBatch.from_arrays(b.filter(pa.array(p < threshold)).columns, names)
 
     names = docs.columns
-    return numbered(docs).mapInArrow(run, docs.schema)
+    return numbered(docs).mapInArrow(tidy(run), docs.schema)
