@@ -34,20 +34,37 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT {_id("b", "c_custkey")}, {_id("m", "c_nationkey", 2)}, {_id("e", "c_custkey")}, concat('Party ', CAST(c_custkey AS STRING)), 'GENERIC', c_custkey % 31 = 0, CAST({T0} + c_custkey % 5 AS BIGINT)
         FROM customer WHERE c_custkey % 3 = 0""",
-    # a phone for each (matter, k % 60), an identity card for each (matter, k % 90)
+    # values of each matter: a phone for each k % 60, an identity card for k % 90, and so on; a name for each k % 40
     "v_values": """
         SELECT concat(matter_id, ':', value_type, ':', value) AS id, matter_id, value_type, value, {sha:concat(matter_id, '|', value_type, '|', value)} AS fingerprint,
-          CASE WHEN k % 4 <> 1 THEN concat('@', CASE WHEN value_type = 'PHONE' THEN 'T' ELSE 'I' END, '-', lpad(CAST(k AS STRING), 8, '0'), substr(matter_id, 2, 2), CASE WHEN k % 17 = 0 THEN '-X' WHEN k % 19 = 0 THEN 'x' ELSE '' END) END AS public_token
+          CASE WHEN k % 4 <> 1 THEN concat('@', CASE value_type WHEN 'PHONE' THEN 'T' WHEN 'ID_CARD' THEN 'I' WHEN 'EMAIL' THEN 'E' WHEN 'BANK_ACCOUNT' THEN 'B' WHEN 'ADDRESS' THEN 'A' WHEN 'PERSON_NAME' THEN 'N' ELSE 'G' END,
+            '-', lpad(CAST(k AS STRING), 8, '0'), substr(matter_id, 2, 2), CASE WHEN k % 17 = 0 THEN '-X' WHEN k % 19 = 0 THEN 'x' ELSE '' END) END AS public_token
         FROM (
           SELECT DISTINCT concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')) AS matter_id, 'PHONE' AS value_type, concat('13', lpad(CAST(c_custkey % 60 AS STRING), 9, '0')) AS value, c_custkey % 60 AS k FROM customer
           UNION ALL
-          SELECT DISTINCT concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')), 'ID_CARD', concat('1101011990030', lpad(CAST(c_custkey % 90 AS STRING), 5, '0')), c_custkey % 90 FROM customer) u""",
+          SELECT DISTINCT concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')), 'ID_CARD', concat('1101011990030', lpad(CAST(c_custkey % 90 AS STRING), 5, '0')), c_custkey % 90 FROM customer
+          UNION ALL
+          SELECT DISTINCT concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')), 'EMAIL', concat('c', CAST(c_custkey % 50 AS STRING), '@x.org'), c_custkey % 50 FROM customer
+          UNION ALL
+          SELECT DISTINCT concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')), 'BANK_ACCOUNT', concat('62220200', lpad(CAST(c_custkey % 70 AS STRING), 4, '0')), c_custkey % 70 FROM customer
+          UNION ALL
+          SELECT DISTINCT concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')), 'ADDRESS', concat('Street ', CAST(c_custkey % 30 AS STRING)), c_custkey % 30 FROM customer
+          UNION ALL
+          SELECT DISTINCT concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')), CASE WHEN c_custkey % 5 = 0 THEN 'ORG_NAME' ELSE 'PERSON_NAME' END, concat('Client ', CAST((c_custkey + 1) % 40 AS STRING)), (c_custkey + 1) % 40 FROM customer) u""",
     "v_links": f"""
-        SELECT {_id("e", "c_custkey")} AS entity_id, concat(concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')), ':PHONE:', concat('13', lpad(CAST(c_custkey % 60 AS STRING), 9, '0'))) AS protected_value_id
+        SELECT {_id("e", "c_custkey")} AS entity_id, concat({_id("m", "c_nationkey", 2)}, ':PHONE:', concat('13', lpad(CAST(c_custkey % 60 AS STRING), 9, '0'))) AS protected_value_id
         FROM customer WHERE c_custkey % 4 <> 3
         UNION ALL
-        SELECT {_id("e", "c_custkey")}, concat(concat('m', lpad(CAST(c_nationkey AS STRING), 2, '0')), ':ID_CARD:', concat('1101011990030', lpad(CAST(c_custkey % 90 AS STRING), 5, '0')))
-        FROM customer WHERE c_custkey % 3 <> 1""",
+        SELECT {_id("e", "c_custkey")}, concat({_id("m", "c_nationkey", 2)}, ':ID_CARD:', concat('1101011990030', lpad(CAST(c_custkey % 90 AS STRING), 5, '0')))
+        FROM customer WHERE c_custkey % 3 <> 1
+        UNION ALL
+        SELECT {_id("e", "c_custkey")}, concat({_id("m", "c_nationkey", 2)}, ':EMAIL:c', CAST(c_custkey % 50 AS STRING), '@x.org') FROM customer WHERE c_custkey % 5 <> 2
+        UNION ALL
+        SELECT {_id("e", "c_custkey")}, concat({_id("m", "c_nationkey", 2)}, ':BANK_ACCOUNT:62220200', lpad(CAST(c_custkey % 70 AS STRING), 4, '0')) FROM customer WHERE c_custkey % 6 = 1
+        UNION ALL
+        SELECT {_id("e", "c_custkey")}, concat({_id("m", "c_nationkey", 2)}, ':ADDRESS:Street ', CAST(c_custkey % 30 AS STRING)) FROM customer WHERE c_custkey % 4 = 1
+        UNION ALL
+        SELECT {_id("e", "c_custkey")}, concat({_id("m", "c_nationkey", 2)}, CASE WHEN c_custkey % 5 = 0 THEN ':ORG_NAME:' ELSE ':PERSON_NAME:' END, 'Client ', CAST((c_custkey + 1) % 40 AS STRING)) FROM customer WHERE c_custkey % 8 = 3""",
     "v_documents": """
         SELECT concat('d', lpad(CAST(k AS STRING), 4, '0')) AS id, concat('m', lpad(CAST(k % 25 AS STRING), 2, '0')) AS matter_id,
           concat('hash', CAST(k % 490 AS STRING)) AS file_hash, CASE WHEN k % 9 = 0 THEN 2 WHEN k % 50 = 1 THEN 0 ELSE 3 END AS page_count,
@@ -66,16 +83,16 @@ VIEWS: dict[str, str] = {
         FROM v_pages CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) q""",
     "v_mentions": f"""
         SELECT *, CASE WHEN value_type IS NOT NULL THEN {{sha:concat(matter_id, '|', value_type, '|', value)}} END AS fingerprint,
-          CASE WHEN mention_type IN ('PHONE', 'ID_CARD') THEN concat(matter_id, ':', mention_type, ':', value) END AS protected_value_id
+          CASE WHEN mention_type IN ('PHONE', 'ID_CARD', 'EMAIL', 'BANK_ACCOUNT', 'ADDRESS') THEN concat(matter_id, ':', mention_type, ':', value) END AS protected_value_id
         FROM (
           SELECT {_id("n", "o_orderkey")} AS id, concat('m', lpad(CAST(o_orderkey % 500 % 25 AS STRING), 2, '0')) AS matter_id, concat('d', lpad(CAST(o_orderkey % 500 AS STRING), 4, '0')) AS document_id,
             concat('d', lpad(CAST(o_orderkey % 500 AS STRING), 4, '0'), ':', CAST(1 + o_orderkey % 3 AS STRING)) AS page_id,
             concat('d', lpad(CAST(o_orderkey % 500 AS STRING), 4, '0'), ':', CAST(1 + o_orderkey % 3 AS STRING), ':', CAST(o_custkey % 4 AS STRING)) AS block_id,
             CASE WHEN o_orderkey % 4 = 0 THEN {_id("e", "o_custkey")} END AS entity_id,
-            CASE o_orderkey % 7 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORGANIZATION' WHEN 2 THEN 'PHONE' WHEN 3 THEN 'ID_CARD' WHEN 4 THEN 'CASE_NUMBER' WHEN 5 THEN 'PERSON' ELSE 'ADDRESS' END AS mention_type,
+            CASE o_orderkey % 9 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORGANIZATION' WHEN 2 THEN 'PHONE' WHEN 3 THEN 'ID_CARD' WHEN 4 THEN 'CASE_NUMBER' WHEN 5 THEN 'PERSON' WHEN 6 THEN 'ADDRESS' WHEN 7 THEN 'EMAIL' ELSE 'BANK_ACCOUNT' END AS mention_type,
             CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'EXPLICIT' WHEN '2' THEN 'EXPLICIT' WHEN '3' THEN 'PARTIAL' ELSE 'REFERENCE' END AS mention_strength,
-            CASE o_orderkey % 7 WHEN 0 THEN 'PERSON_NAME' WHEN 1 THEN 'ORG_NAME' WHEN 2 THEN 'PHONE' WHEN 3 THEN 'ID_CARD' WHEN 5 THEN 'PERSON_NAME' WHEN 6 THEN 'ADDRESS' END AS value_type,
-            CASE o_orderkey % 7 WHEN 2 THEN concat('13', lpad(CAST(o_custkey % 60 AS STRING), 9, '0')) WHEN 3 THEN concat('1101011990030', lpad(CAST(o_custkey % 90 AS STRING), 5, '0')) WHEN 4 THEN concat('No ', CAST(o_orderkey AS STRING)) ELSE concat('Client ', CAST(o_custkey % 40 AS STRING)) END AS value,
+            CASE o_orderkey % 9 WHEN 0 THEN 'PERSON_NAME' WHEN 1 THEN 'ORG_NAME' WHEN 2 THEN 'PHONE' WHEN 3 THEN 'ID_CARD' WHEN 5 THEN 'PERSON_NAME' WHEN 6 THEN 'ADDRESS' WHEN 7 THEN 'EMAIL' WHEN 8 THEN 'BANK_ACCOUNT' END AS value_type,
+            CASE o_orderkey % 9 WHEN 2 THEN concat('13', lpad(CAST(o_custkey % 60 AS STRING), 9, '0')) WHEN 3 THEN concat('1101011990030', lpad(CAST(o_custkey % 90 AS STRING), 5, '0')) WHEN 4 THEN concat('No ', CAST(o_orderkey AS STRING)) WHEN 6 THEN concat('Street ', CAST(o_custkey % 30 AS STRING)) WHEN 7 THEN concat('c', CAST(o_custkey % 50 AS STRING), '@x.org') WHEN 8 THEN concat('62220200', lpad(CAST(o_custkey % 70 AS STRING), 4, '0')) ELSE concat('Client ', CAST(o_custkey % 40 AS STRING)) END AS value,
             CAST(o_orderkey * 7 % 200 AS INT) AS start_offset, CAST(o_orderkey * 7 % 200 + (CASE WHEN o_orderkey % 997 = 0 THEN 0 ELSE 9 END) AS INT) AS end_offset,
             CASE WHEN o_orderkey % 991 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.99 AS DOUBLE) END AS confidence,
             CAST({T0} + o_orderkey % 1009 AS BIGINT) AS created_at
@@ -126,6 +143,44 @@ VIEWS: dict[str, str] = {
     "v_texts": """
         SELECT concat('o', CAST(o_orderkey AS STRING)) AS block_id, concat('Holder c', CAST(o_custkey AS STRING), '@mail', CAST(o_orderkey % 5 AS STRING), '.example tel ', '13', lpad(CAST(o_custkey AS STRING), 9, '0'), ' card ', '1101011990030', lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0'), ' or 13', lpad(CAST(o_orderkey AS STRING), 9, '0'), '@x.example end.') AS text
         FROM orders""",
+    # mentions of v_texts with what sanitizing has to know of them; some of them may not be replaced
+    "v_context": """
+        SELECT concat('c', CAST(k AS STRING), ':', CAST(j AS STRING)) AS id, block_id, concat('d', CAST(k % 40 AS STRING)) AS document_id, 1 + k % 3 AS page_no, k % 50 AS reading_order, k, j,
+          CASE WHEN k % 29 = 0 AND j = 2 THEN 'CASE_NUMBER' WHEN j = 0 THEN 'EMAIL' WHEN j = 1 THEN 'PHONE' ELSE 'ID_CARD' END AS mention_type,
+          concat('e', CAST(k % 11 AS STRING)) AS entity_id, CASE WHEN k % 17 = 0 AND j = 1 THEN 'MERGED' ELSE 'ACTIVE' END AS entity_status,
+          CASE WHEN k % 37 = 0 AND j = 0 THEN 'Bad〔one' WHEN j = 0 THEN 'Mail' WHEN j = 1 THEN 'Tel 😀' ELSE 'Card' END AS alias,
+          CASE WHEN k % 23 <> 0 OR j <> 2 THEN concat(CASE j WHEN 0 THEN '@E-' WHEN 1 THEN '@T-' ELSE '@I-' END, CAST(k AS STRING)) END AS value_token, concat('v', CAST(k AS STRING)) AS protected_value_id,
+          CASE WHEN k % 31 = 0 AND j = 0 THEN 'end' WHEN j = 0 THEN mail WHEN j = 1 THEN tel ELSE card END AS value,
+          CAST(CASE j WHEN 0 THEN 7 WHEN 1 THEN 12 + length(mail) ELSE 29 + length(mail) END AS INT) AS start_cp, CAST(CASE j WHEN 0 THEN 7 + length(mail) WHEN 1 THEN 23 + length(mail) ELSE 47 + length(mail) END AS INT) AS end_cp,
+          CAST(CASE j WHEN 0 THEN 7 WHEN 1 THEN 12 + length(mail) ELSE 29 + length(mail) END AS INT) AS start_offset, mail, tel, card
+        FROM (SELECT concat('o', CAST(o_orderkey AS STRING)) AS block_id, o_orderkey AS k, concat('c', CAST(o_custkey AS STRING), '@mail', CAST(o_orderkey % 5 AS STRING), '.example') AS mail, concat('13', lpad(CAST(o_custkey AS STRING), 9, '0')) AS tel, concat('1101011990030', lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')) AS card FROM orders) o
+          CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) q""",
+    # sanitized artifacts of three kinds, some outside their scope
+    "v_sdocs": """
+        SELECT concat('s', id) AS id, CASE WHEN k % 41 = 0 THEN 'm99' ELSE matter_id END AS matter_id, id AS document_id, concat('w', CASE WHEN k % 43 = 0 THEN 'd0000' ELSE id END, CASE WHEN k % 47 = 0 THEN ':DETECT' ELSE ':SANITIZE' END) AS job_id
+        FROM (SELECT id, matter_id, CAST(substr(id, 2) AS BIGINT) AS k FROM v_documents) u""",
+    "v_sjobs": """
+        SELECT concat('w', id, ':SANITIZE') AS id, id AS document_id, 'SANITIZE' AS job_type FROM v_documents UNION ALL SELECT concat('w', id, ':DETECT'), id, 'DETECT' FROM v_documents""",
+    "v_sblocks": """
+        SELECT concat('t', id) AS id, concat('s', CASE WHEN k % 53 = 0 THEN 'd0000' ELSE document_id END) AS sanitized_document_id, document_id, CASE WHEN k % 59 = 0 THEN 'nowhere' ELSE page_id END AS page_id, CASE WHEN k % 61 = 0 THEN 'none' ELSE id END AS block_id
+        FROM (SELECT *, CAST(substr(document_id, 2) AS BIGINT) * 12 + reading_order AS k FROM v_blocks) u""",
+    "v_smaps": """
+        SELECT concat('g', id) AS id, matter_id, concat('s', CASE WHEN k % 67 = 0 THEN 'd0000' ELSE document_id END) AS sanitized_document_id, CASE WHEN k % 71 = 0 THEN 'nobody' ELSE id END AS mention_id, entity_id, public_token, restore_policy, protected_value_id, start_offset
+        FROM (SELECT m.id, m.matter_id, m.document_id, m.start_offset, m.protected_value_id, coalesce(m.entity_id, 'e000000001') AS entity_id, CAST(substr(m.id, 2) AS BIGINT) AS k, concat('@T-', upper(substr(m.fingerprint, 1, 8))) AS public_token,
+            CASE WHEN m.mention_type = 'PHONE' THEN 'RESTORE_ON_REQUEST' ELSE 'ALWAYS_RESTORE' END AS restore_policy FROM v_mentions m WHERE m.fingerprint IS NOT NULL) u""",
+    # a second version of some tables, with changes that may and may not be made
+    "v_later": """
+        SELECT id, CASE WHEN k % 101 = 0 THEN 'm98' ELSE matter_id END AS matter_id, CASE WHEN k % 103 = 0 THEN concat(public_token, 'Z') ELSE public_token END AS public_token, status FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS k FROM v_entities) u WHERE k % 107 <> 0""",
+    "v_later_values": """
+        SELECT id, matter_id, CASE WHEN public_token IS NULL THEN '@T-NEW' WHEN length(value) % 5 = 3 AND public_token LIKE '%7%' THEN '@T-OTHER' ELSE public_token END AS public_token FROM v_values""",
+    # proposals of a detector over v_texts, good and bad ones
+    "v_proposals": """
+        SELECT CASE WHEN l_partkey % 41 = 0 THEN 'nowhere' ELSE concat('o', CAST(l_orderkey AS STRING)) END AS block_id, CASE WHEN l_partkey % 37 = 0 THEN 'SECRET' ELSE 'PERSON' END AS mention_type, CASE WHEN l_partkey % 43 = 0 THEN 'SURE' ELSE 'EXPLICIT' END AS mention_strength,
+          CAST(l_linenumber * 9 + l_suppkey % 5 - 10 AS INT) AS start_cp, CAST(l_linenumber * 9 + l_suppkey % 5 - 10 + l_partkey % 13 AS INT) AS end_cp, CASE WHEN l_partkey % 47 = 0 THEN 'GUESS' ELSE 'NER' END AS detector, CASE WHEN l_partkey % 53 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence, l_linenumber AS n
+        FROM lineitem""",
+    # worker requests for files of up to three pages
+    "v_requests": """
+        SELECT o_orderkey AS seq, concat('j', CAST(o_orderkey % 700 AS STRING)) AS job_id, concat('d', CAST(o_orderkey % 700 AS STRING)) AS document_id, concat('f', CAST(o_custkey % 30 AS STRING)) AS path, CAST(o_orderkey % 5 AS INT) AS page_start, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey % 5 AS INT) END AS page_end FROM orders""",
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions import normalize as N
@@ -19,6 +19,7 @@ from cloakframe.operators import review as V
 from cloakframe.operators import sanitize as SZ
 from cloakframe.plans.derive import view, with_clause
 from cloakframe.sources import files
+from cloakframe.sources.store import settled
 from cloakframe.streaming import protocol
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,8 +150,6 @@ _READ = "SELECT m.*, p.page_no, b.reading_order FROM v_mentions m JOIN v_pages p
 
 @query(f"SELECT id, document_id, page_no, reading_order, start_offset, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_no, reading_order, start_offset, id) AS INTEGER) AS place FROM ({_READ}) r")
 def mentions_reading_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     m = _read_mentions(spark, d)
     return m.select("id", "document_id", "page_no", "reading_order", "start_offset", F.row_number().over(Window.partitionBy("document_id").orderBy(*V.READING)).alias("place"))
 
@@ -197,8 +196,9 @@ _IDENT = """SELECT m.id AS mention_id, m.mention_type, m.matter_id, m.document_i
   JOIN v_values v ON m.matter_id = v.matter_id AND m.value_type = v.value_type AND m.fingerprint = v.fingerprint JOIN v_links l ON l.protected_value_id = v.id JOIN v_entities e ON e.id = l.entity_id AND e.matter_id = m.matter_id AND e.status = 'ACTIVE'
   WHERE m.mention_type IN ('PHONE', 'EMAIL', 'ID_CARD', 'BANK_ACCOUNT', 'ADDRESS')"""
 _PRIM = "SELECT entity_id, alias FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at, id) AS r FROM v_aliases WHERE is_primary) z WHERE r = 1"
-_NAME = f"""SELECT m.id AS mention_id, m.mention_type, m.matter_id, m.document_id, e.id AS entity_id, e.entity_type, e.created_at FROM v_mentions m JOIN v_entities e ON e.matter_id = m.matter_id AND e.status = 'ACTIVE' AND e.entity_type = m.mention_type
-  JOIN ({_PRIM}) a ON a.entity_id = e.id AND a.alias = m.value WHERE m.mention_type IN ('PERSON', 'ORGANIZATION')"""
+_BY_NAME = "SELECT m.id AS mention_id, m.mention_type, m.matter_id, m.document_id, e.id AS entity_id, e.entity_type, e.created_at FROM v_mentions m JOIN v_entities e ON e.matter_id = m.matter_id AND e.status = 'ACTIVE' AND e.entity_type = m.mention_type"
+_NAME = f"""{_BY_NAME} JOIN ({_PRIM}) a ON a.entity_id = e.id AND a.alias = m.value WHERE m.mention_type IN ('PERSON', 'ORGANIZATION')
+  UNION {_BY_NAME} JOIN v_links l ON l.entity_id = e.id JOIN v_values v ON v.id = l.protected_value_id AND v.matter_id = m.matter_id AND v.value_type = m.value_type AND v.fingerprint = m.fingerprint WHERE m.mention_type IN ('PERSON', 'ORGANIZATION')"""
 
 
 def _identifier(spark: SparkSession, d: str) -> DataFrame:
@@ -254,16 +254,17 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     """Identifier and name candidates with flags, scores and evidence."""
     no, yes = F.lit(False), F.lit(True)
     ident = RS.constraint_flags(_identifier(spark, d), view(spark, d, "v_constraints")).withColumns({"shares": yes, "conflicts": no, "name_exact": no})
-    hit = _conflicts(spark, d).withColumn("conflicts", yes)
-    names = RS.constraint_flags(_names(spark, d), view(spark, d, "v_constraints")).join(hit, ["mention_id", "entity_id"], "left")
+    named = settled(_names(spark, d))  # used three times
+    hit = RS.id_conflicts(named, view(spark, d, "v_mentions"), view(spark, d, "v_values"), view(spark, d, "v_links")).withColumn("conflicts", yes)
+    names = RS.constraint_flags(named, view(spark, d, "v_constraints")).join(hit, ["mention_id", "entity_id"], "left")
     names = names.withColumns({"shares": no, "name_exact": yes, "user_cannot": no, "conflicts": F.coalesce("conflicts", no)})
     return RS.score(ident.unionByName(names))
 
 
 _NFLAGS = _FLAGS.replace(_IDENT, _NAME)
 _SCORED = f"""SELECT f.mention_id, f.entity_id, i.created_at, CASE WHEN user_cannot THEN 'CANNOT_LINK' WHEN user_must OR i.mention_type = 'ID_CARD' THEN 'MUST_LINK' END AS hard_rule,
-    CASE WHEN user_cannot THEN 0.0 WHEN user_must OR i.mention_type IN ('ID_CARD', 'PHONE') THEN 40.0 ELSE 0.0 END::DOUBLE AS score,
-    CASE WHEN user_cannot THEN 'USER_CANNOT_LINK' WHEN user_must THEN 'USER_MUST_LINK' WHEN i.mention_type = 'ID_CARD' THEN 'SAME_ID_CARD' WHEN i.mention_type = 'PHONE' THEN 'SAME_PHONE' ELSE '' END AS evidence
+    CASE WHEN user_cannot THEN 0.0 WHEN user_must OR i.mention_type IN ('ID_CARD', 'PHONE', 'EMAIL', 'BANK_ACCOUNT') THEN 40.0 ELSE 0.0 END::DOUBLE AS score,
+    CASE WHEN user_cannot THEN 'USER_CANNOT_LINK' WHEN user_must THEN 'USER_MUST_LINK' WHEN i.mention_type = 'ID_CARD' THEN 'SAME_ID_CARD' WHEN i.mention_type IN ('PHONE', 'EMAIL', 'BANK_ACCOUNT') THEN concat('SAME_', i.mention_type) ELSE '' END AS evidence
   FROM ({_FLAGS}) f JOIN ({_IDENT}) i ON f.mention_id = i.mention_id AND f.entity_id = i.entity_id
   UNION ALL
   SELECT n.mention_id, n.entity_id, n.created_at, CASE WHEN c.mention_id IS NOT NULL THEN 'CANNOT_LINK' WHEN f.user_must THEN 'MUST_LINK' END, CASE WHEN c.mention_id IS NOT NULL THEN 0.0 WHEN f.user_must THEN 40.0 ELSE 25.0 END::DOUBLE,
@@ -295,8 +296,6 @@ _RANKED = f"SELECT *, CAST(row_number() OVER (PARTITION BY mention_id ORDER BY s
 
 @query(f"SELECT mention_id, entity_id, rank, lead(score) OVER (PARTITION BY mention_id ORDER BY rank) AS next_score FROM ({_RANKED}) r")
 def rank_margin(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     r = RS.rank(_merged(spark, d))
     return r.select("mention_id", "entity_id", "rank", F.lead("score").over(Window.partitionBy("mention_id").orderBy("rank")).alias("next_score"))
 
@@ -443,16 +442,14 @@ def preview_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, matter_id, parse_status, CAST(row_number() OVER (PARTITION BY matter_id ORDER BY created_at, id) AS INTEGER) AS place FROM v_documents")
 def document_listing(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     return view(spark, d, "v_documents").select("id", "matter_id", "parse_status", F.row_number().over(Window.partitionBy("matter_id").orderBy("created_at", "id")).alias("place"))
 
 
-@query("SELECT id, matter_id, entity_type, CASE entity_type WHEN 'PERSON' THEN 0 ELSE 1 END AS list FROM v_entities WHERE status = 'ACTIVE'")
+@query("SELECT id, matter_id, entity_type, CASE entity_type WHEN 'PERSON' THEN 0 ELSE 1 END AS list, CAST(row_number() OVER (PARTITION BY matter_id, entity_type ORDER BY created_at, id) AS INTEGER) AS place FROM v_entities WHERE status = 'ACTIVE'")
 def entity_listing(spark: SparkSession, d: str) -> DataFrame:
     e = view(spark, d, "v_entities").filter("status = 'ACTIVE'")
     parts = [e.filter(F.col("entity_type") == t).withColumn("list", F.lit(i)) for i, t in enumerate(("PERSON", "ORGANIZATION"))]
-    return parts[0].unionByName(parts[1]).orderBy("list", "created_at", "id").select("id", "matter_id", "entity_type", "list")
+    return parts[0].unionByName(parts[1]).select("id", "matter_id", "entity_type", "list", F.row_number().over(Window.partitionBy("matter_id", "list").orderBy("created_at", "id")).alias("place"))
 
 
 _TARGET = "concat('e', lpad(CAST(CAST(substr(m.id, 2) AS BIGINT) % 120 + 1 AS STRING), 9, '0'))"
