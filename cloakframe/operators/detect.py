@@ -14,6 +14,14 @@ from cloakframe.functions.rules import STANDARD, Rule
 PROPOSAL = "block_id string, mention_type string, mention_strength string, start_cp int, end_cp int, detector string, confidence double"
 
 
+def bounded(*ids: str) -> Column:
+    """Whether none of a block's boundary ids is empty."""
+    out = F.lit(True)
+    for c in ids:
+        out = out & F.coalesce(F.trim(c) != "", F.lit(False))
+    return out
+
+
 def blocks_of_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One block for each line that is not blank: (document_id, reading_order, block_id, text)."""
     lines = documents.select(F.col(key).cast("string").alias("document_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("reading_order", "text"))
@@ -73,18 +81,18 @@ def detect_with(blocks: DataFrame, detector: Callable[[str], Sequence[dict]]) ->
     return blocks.select("block_id", "text").mapInPandas(run, PROPOSAL)
 
 
-def proposal_errors(proposals: DataFrame, blocks: DataFrame) -> DataFrame:
+def proposal_errors(proposals: DataFrame, blocks: DataFrame, *ties: str) -> DataFrame:
     """Proposals that may not be stored, with the reason.
 
     Each is checked for its block, range, confidence and enumerations, and against the
-    one before it in its block for overlaps.
+    ones before it in its block for overlaps; ``ties`` order equal ranges.
     """
     from pyspark.sql import Window
 
     from cloakframe.schemas import DETECTOR, MENTION_STRENGTH, MENTION_TYPE
 
     known = blocks.select(F.col("block_id"), F.length("text").alias("_n"))
-    order = Window.partitionBy("block_id").orderBy("start_cp", F.desc("end_cp")).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("block_id").orderBy("start_cp", F.desc("end_cp"), *ties).rowsBetween(Window.unboundedPreceding, -1)
     checked = proposals.join(known, "block_id", "left").withColumn("_reach", F.max("end_cp").over(order))
     reason = (
         F.when(F.col("_n").isNull(), "BLOCK")

@@ -143,6 +143,14 @@ def score(candidates: DataFrame) -> DataFrame:
     return out.withColumn("score", F.aggregate("evidence", F.lit(0.0), lambda a, x: a + x["score"]))
 
 
+def eligible(candidates: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Candidates that count: an active entity of the mention's matter, of a type that fits, with a finite score."""
+    m = mentions.select(F.col("id").alias("mention_id"), F.col("matter_id").alias("_mm"), F.col("mention_type").alias("_mt"))
+    e = entities.filter("status = 'ACTIVE'").select(F.col("id").alias("entity_id"), F.col("matter_id").alias("_em"), F.col("entity_type").alias("_et"))
+    fits = (F.col("_mm") == F.col("_em")) & compatible(F.col("_mt"), F.col("_et")) & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    return candidates.join(m, "mention_id").join(e, "entity_id").filter(fits).drop("_mm", "_mt", "_em", "_et")
+
+
 def merge_candidates(candidates: DataFrame) -> DataFrame:
     """One row for each mention and entity: the strictest rule, the highest score, all evidence labels in first order."""
     rank = F.when(F.col("hard_rule") == "CANNOT_LINK", 2).when(F.col("hard_rule") == "MUST_LINK", 1).otherwise(0)

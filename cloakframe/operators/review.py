@@ -35,6 +35,12 @@ def latest_completed(jobs: DataFrame) -> DataFrame:
     return latest(jobs.filter("status = 'COMPLETED'"), ["document_id", "job_type"], F.desc("finished_at"), F.desc("created_at"), F.desc("id"))
 
 
+def retryable(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Failed documents with the kind of their latest job, where that is what failed: only it may be tried again."""
+    last = latest(jobs, ["document_id"], F.desc("created_at"), F.desc("id")).filter("status = 'FAILED'")
+    return documents.filter("parse_status = 'FAILED'").join(last.select(F.col("document_id").alias("id"), "job_type"), "id")
+
+
 def latest_actors(events: DataFrame) -> DataFrame:
     """Actor of each mention's last assignment."""
     e = events.filter(F.col("event_type").isin("MENTION_ASSIGNED", "MENTION_REASSIGNED"))

@@ -171,7 +171,7 @@ VIEWS: dict[str, str] = {
     # a second version of some tables, with changes that may and may not be made
     "v_later": """
         SELECT id, CASE WHEN k % 101 = 0 THEN 'm98' ELSE matter_id END AS matter_id, CASE WHEN k % 103 = 0 THEN concat(public_token, 'Z') ELSE public_token END AS public_token, status FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS k FROM v_entities) u WHERE k % 107 <> 0""",
-    "v_later_values": """
+    "v_laterv": """
         SELECT id, matter_id, CASE WHEN public_token IS NULL THEN '@T-NEW' WHEN length(value) % 5 = 3 AND public_token LIKE '%7%' THEN '@T-OTHER' ELSE public_token END AS public_token FROM v_values""",
     # proposals of a detector over v_texts, good and bad ones
     "v_proposals": """

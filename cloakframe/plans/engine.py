@@ -161,12 +161,11 @@ class Engine:
             _checked(i, MAX_ID, "document id")
         asked = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
         d = asked.join(self.store.read("documents"), "id", "left")
-        jobs = V.latest(self.store.read("processing_jobs").join(asked.withColumnRenamed("id", "document_id"), "document_id", "left_semi"), ["document_id"], F.desc("created_at"), F.desc("id"))
-        d = d.join(jobs.select(F.col("document_id").alias("id"), F.col("job_type").alias("_job"), F.col("status").alias("_ended")), "id", "left")
+        jobs = self.store.read("processing_jobs").join(asked.withColumnRenamed("id", "document_id"), "document_id", "left_semi")
+        d = d.join(V.retryable(d, jobs).select("id", F.col("job_type").alias("_failed")), "id", "left")
         has = lambda t: self.store.read(t).groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias(f"_{t}"))
         d = d.join(has("document_pages"), "id", "left").join(has("mentions"), "id", "left")
-        again = (F.col("parse_status") == "FAILED") & (F.col("_job") == kind) & (F.col("_ended") == "FAILED")
-        ready = F.coalesce((F.col("parse_status") == stage.before) | again, F.lit(False))
+        ready = F.coalesce((F.col("parse_status") == stage.before) | F.coalesce(F.col("_failed") == kind, F.lit(False)), F.lit(False))
         problem = F.when(F.col("matter_id").isNull(), "NOT_FOUND").when(F.col("parse_status").isin(*stage.done), "DONE").when(~ready, "INVALID_STATE")
         if kind == "PARSE":
             problem = problem.when(F.col("_document_pages") > 0, "INVALID_STATE")
@@ -283,7 +282,7 @@ class Engine:
         """DETECT: mentions that the rules, and a detector of one's own, find; done once.  Codes of documents not done."""
 
         def work(batch: DataFrame, scopes: list[str], now: int) -> tuple:
-            blocks = settled(self._blocks(batch, scopes))
+            blocks = settled(self._blocks(batch, scopes).filter(D.bounded("document_id", "page_id", "block_id")))
             found = D.detect(blocks, rules).select("block_id", "mention_type", "mention_strength", "start_cp", "end_cp", "detector", "confidence")
             if detector is not None:
                 found = D.detect_with(blocks, detector)
@@ -341,7 +340,8 @@ class Engine:
             hit = R.id_conflicts(names, m, values, links).withColumn("conflicts", yes)
             flagged = R.constraint_flags(ident, constraints).withColumn("conflicts", no)
             named = R.constraint_flags(names, constraints).join(hit, ["mention_id", "entity_id"], "left").withColumns({"user_cannot": no, "conflicts": F.coalesce("conflicts", no)})
-            scored = settled(R.score(flagged.unionByName(named)).withColumn("position", F.col("created_at")).withColumn("labels", F.transform("evidence", lambda e: e["type"])))
+            both = R.eligible(R.score(flagged.unionByName(named)), open_, entities)
+            scored = settled(both.withColumn("position", F.col("created_at")).withColumn("labels", F.transform("evidence", lambda e: e["type"])))
             ranked = settled(R.rank(R.merge_candidates(scored)).withColumn("id", F.uuid()))
             of = m.select(F.col("id").alias("mention_id"), F.col("matter_id").alias("scope"), F.col("mention_type").alias("entity_type"))
             decided = settled(R.decide(open_, ranked))
