@@ -7,6 +7,7 @@ built-in functions; envelopes are AES-256-GCM with the row's context as associat
 from __future__ import annotations
 
 import hmac as _hmac
+import json
 import os
 import secrets
 import time
@@ -72,6 +73,20 @@ def random_hex(digits: int = 16) -> Column:
     return F.substring(F.replace(F.concat(F.uuid(), F.uuid()), F.lit("-"), F.lit("")), 1, digits)
 
 
+def row_id(ms: Column) -> Column:
+    """Time-ordered id of version 7 for each row; write it before using it twice."""
+    r = F.replace(F.uuid(), F.lit("-"), F.lit(""))
+    part = lambda at, n: F.substring(r, at, n)  # noqa: E731  digits 13 and 17 of a random id are not random
+    time_ = F.lpad(F.lower(F.hex(ms.cast("long"))), 12, "0")
+    variant = F.substring(F.lit("89ab"), (F.conv(part(1, 1), 16, 10).cast("int") % 4 + 1), F.lit(1))
+    return F.concat(F.substring(time_, 1, 8), F.lit("-"), F.substring(time_, 9, 4), F.lit("-7"), part(2, 3), F.lit("-"), variant, part(5, 3), F.lit("-"), part(20, 12))
+
+
+def synthetic_alias(entity_type: Column, random: Column) -> Column:
+    """Alias of an entity that nobody has named."""
+    return F.concat(F.initcap(entity_type), F.lit(" "), F.upper(random))
+
+
 # -- on the driver
 
 
@@ -97,6 +112,29 @@ def keys_from_environment(persistence: str = "CLOAKFRAME_PERSISTENCE_KEY", searc
     return found
 
 
+def keys_from_file(path: str) -> tuple[str, str]:
+    """Keys of a key file, made with two new ones if there is none.
+
+    Only its owner may read it, or it is refused; so is one of another form.
+    """
+    if not os.path.exists(path):
+        made = json.dumps({"version": 1, "persistence": generate_key(), "search": generate_key()})
+        with os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "w") as f:
+            f.write(made + "\n")
+    if os.stat(path).st_mode & 0o077:
+        raise RuntimeError("the key file is open to others")
+    with open(path) as f:
+        text = f.read()
+    try:
+        found = json.loads(text)
+        if found["version"] != 1:
+            raise ValueError
+        check_keys(found["persistence"], found["search"])
+    except (ValueError, KeyError, TypeError) as e:
+        raise RuntimeError("the key file could not be read") from e
+    return found["persistence"], found["search"]
+
+
 def uuid7(ms: int | None = None) -> str:
     """Time-ordered id of version 7."""
     ms = time.time_ns() // 1_000_000 if ms is None else ms

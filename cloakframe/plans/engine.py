@@ -123,7 +123,7 @@ class Engine:
         if self.store.read("matters").filter(F.col("id") == matter_id).isEmpty():
             raise EngineError("NOT_FOUND", "no such matter")
         now = self.clock()
-        found = settled(files.inspect(self.spark, path).dropDuplicates(["file_hash"]).withColumn("id", F.uuid()))
+        found = settled(files.inspect(self.spark, path).dropDuplicates(["file_hash"]).withColumn("id", S.row_id(F.lit(now))))
         old = self.store.read("documents", [matter_id]).select("file_hash")
         if not found.join(old, "file_hash", "left_semi").isEmpty():
             raise EngineError("DUPLICATE_DOCUMENT", "the matter has this content already")
@@ -208,7 +208,7 @@ class Engine:
         base = self.store.version()
         gate = settled(self._gate(kind, ids))
         refused = {r.id: r.problem for r in gate.filter("problem is not null").collect()}  # of the ids asked for
-        batch = settled(gate.filter("problem is null").select("id", "matter_id").withColumn("job_id", F.uuid()))
+        batch = settled(gate.filter("problem is null").select("id", "matter_id").withColumn("job_id", S.row_id(F.lit(self._now))))
         scopes = [r.matter_id for r in batch.select("matter_id").distinct().collect()]
         if not scopes:
             return refused
@@ -249,14 +249,14 @@ class Engine:
             doc = doc.select("file_hash", "matter_id", self._open(F.col("source_path_cipher"), F.col("id"), "document.sourcePath").alias("path")).first()
             unchanged(doc.path, doc.file_hash)
             raw = settled(source.pages(self.spark, doc.path))
-            pages = settled(raw.select("page_no", "original_width", "original_height", "rotation", files.page_source_type(F.exists("items", lambda i: (i["kind"] == "text") & (F.trim(i["text"]) != "")), F.exists("items", lambda i: i["kind"] == "image")).alias("source_type")).withColumn("id", F.uuid()))
+            pages = settled(raw.select("page_no", "original_width", "original_height", "rotation", files.page_source_type(F.exists("items", lambda i: (i["kind"] == "text") & (F.trim(i["text"]) != "")), F.exists("items", lambda i: i["kind"] == "image")).alias("source_type")).withColumn("id", S.row_id(F.lit(now))))
             n = pages.count()
             here = [F.lit(document_id).alias("document_id"), F.lit(doc.matter_id).alias("scope"), F.lit(now).alias("created_at")]
             rows = pages.select("id", "page_no", "original_width", "original_height", "rotation", "source_type", *here)
             counted = self.spark.createDataFrame([(document_id, n)], "id string, page_count int")
             if n < 1 or not I.page_sequence(counted, rows).isEmpty():
                 raise EngineError("INCOMPLETE_PAGES", "the pages are not complete")
-            b = files.page_blocks(raw).filter("reading_order is not null").join(pages.select("page_no", F.col("id").alias("page_id")), "page_no").withColumn("id", F.uuid())
+            b = files.page_blocks(raw).filter("reading_order is not null").join(pages.select("page_no", F.col("id").alias("page_id")), "page_no").withColumn("id", S.row_id(F.lit(now)))
             b = settled(b).select("id", "page_id", F.lit("TEXT").alias("block_type"), self._seal(F.col("text"), F.col("id"), "documentBlock.text").alias("text_cipher"), F.lit("NATIVE").alias("source"), F.lit(None).alias("confidence"), "x", "y", "width", "height", "reading_order", *here)
             unchanged(doc.path, doc.file_hash)
             return {"document_pages": rows, "document_blocks": settled(b)}, {}, None, {"page_count": counted}
@@ -291,7 +291,7 @@ class Engine:
             found = found.join(blocks, "block_id").join(batch.select(F.col("id").alias("document_id"), "matter_id"), "document_id")
             units = lambda k: D.spans.utf16_length(F.substring("text", F.lit(1), F.col(k)))
             found = found.withColumns({"start_offset": units("start_cp"), "end_offset": units("end_cp"), "value": D.spans.span_text("text", F.col("start_cp"), F.col("end_cp"))})
-            found = settled(found.withColumn("id", F.uuid()))
+            found = settled(found.withColumn("id", S.row_id(F.lit(now))))
             m = found.select(
                 "id",
                 "matter_id",
@@ -328,7 +328,7 @@ class Engine:
             values = read("protected_values").withColumn("fingerprint", F.lower(F.hex("fingerprint")))
             links, entities, aliases, constraints = (read(t) for t in ("entity_protected_values", "entities", "entity_aliases", "entity_constraints"))
             m = settled(R.with_values(self._mentions(batch, scopes).drop("fingerprint"), self._search, day))
-            planned = settled(R.plan_values(m).withColumn("id", F.uuid()))
+            planned = settled(R.plan_values(m).withColumn("id", S.row_id(F.lit(now))))
             keys = ["matter_id", "value_type", "fingerprint"]
             upsert = settled(R.upsert_values(planned, values).join(planned.select(*keys, "value"), keys))
             m = settled(m.drop("protected_value_id").join(upsert.select(*keys, F.col("id").alias("protected_value_id")), keys, "left"))
@@ -342,17 +342,17 @@ class Engine:
             named = R.constraint_flags(names, constraints).join(hit, ["mention_id", "entity_id"], "left").withColumns({"user_cannot": no, "conflicts": F.coalesce("conflicts", no)})
             both = R.eligible(R.score(flagged.unionByName(named)), open_, entities)
             scored = settled(both.withColumn("position", F.col("created_at")).withColumn("labels", F.transform("evidence", lambda e: e["type"])))
-            ranked = settled(R.rank(R.merge_candidates(scored)).withColumn("id", F.uuid()))
+            ranked = settled(R.rank(R.merge_candidates(scored)).withColumn("id", S.row_id(F.lit(now))))
             of = m.select(F.col("id").alias("mention_id"), F.col("matter_id").alias("scope"), F.col("mention_type").alias("entity_type"))
             decided = settled(R.decide(open_, ranked))
             states = R.candidate_states(ranked, decided, F.lit(now)).join(of, "mention_id")
             candidates = states.select("id", "mention_id", F.col("entity_id").alias("candidate_entity_id"), "score", "state", "algorithm_version", F.lit(now).alias("created_at"), "resolved_at", "scope")
             evidence = scored.join(ranked.select("mention_id", "entity_id", F.col("id").alias("candidate_id")), ["mention_id", "entity_id"]).select("mention_id", "candidate_id", F.explode("evidence").alias("e")).distinct().join(of, "mention_id")
-            evidence = evidence.select(F.uuid().alias("id"), "candidate_id", F.col("e.type").alias("evidence_type"), F.col("e.weight").alias("weight"), F.col("e.score").alias("score"), F.lit(None).alias("details_cipher"), F.lit(now).alias("created_at"), "scope")
+            evidence = evidence.select(S.row_id(F.lit(now)).alias("id"), "candidate_id", F.col("e.type").alias("evidence_type"), F.col("e.weight").alias("weight"), F.col("e.score").alias("score"), F.lit(None).alias("details_cipher"), F.lit(now).alias("created_at"), "scope")
             made = decided.filter("decision = 'NEW_ENTITY'").select("mention_id").join(of, "mention_id")
-            made = settled(made.withColumn("entity_id", F.uuid()).withColumn("hex", S.random_hex()).withColumn("hex2", S.random_hex()))
+            made = settled(made.withColumn("entity_id", S.row_id(F.lit(now))).withColumn("hex", S.random_hex()).withColumn("hex2", S.random_hex()))
             new_entities = made.select(F.col("entity_id").alias("id"), F.col("scope").alias("matter_id"), "entity_type", S.token(choose(F.col("entity_type"), S.ENTITY_LETTERS), F.col("hex")).alias("public_token"), F.lit("ACTIVE").alias("status"), F.lit(None).alias("merged_into_entity_id"), F.lit(None).alias("resolution_confidence"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"))
-            new_aliases = made.select(F.uuid().alias("id"), F.col("scope").alias("matter_id"), "entity_id", F.concat(F.initcap("entity_type"), F.lit(" "), F.upper("hex2")).alias("alias"), F.lit("PRIMARY").alias("alias_type"), F.lit(None).alias("role"), F.lit(True).alias("is_primary"), F.lit(now).alias("created_at"))
+            new_aliases = made.select(S.row_id(F.lit(now)).alias("id"), F.col("scope").alias("matter_id"), "entity_id", S.synthetic_alias(F.col("entity_type"), F.col("hex2")).alias("alias"), F.lit("PRIMARY").alias("alias_type"), F.lit(None).alias("role"), F.lit(True).alias("is_primary"), F.lit(now).alias("created_at"))
             won = settled(decided.filter("decision = 'AUTO_LINK'").select("mention_id", "entity_id").union(made.select("mention_id", "entity_id")))
             all_mentions = settled(self._assigned(m, won, scopes))
             linked = all_mentions.join(batch.select(F.col("id").alias("document_id")), "document_id", "left_semi").filter("entity_id is not null and protected_value_id is not null")
@@ -396,7 +396,7 @@ class Engine:
     def _events(self, rows: DataFrame, actor: str, now: int) -> DataFrame:
         """Audit events of rows (matter_id, event_type, entity_id, mention_id)."""
         payload = F.to_json(F.struct("event_type", "entity_id", "mention_id"))
-        rows = settled(rows.withColumn("id", F.uuid()))
+        rows = settled(rows.withColumn("id", S.row_id(F.lit(now))))
         return rows.select("id", "matter_id", "event_type", "entity_id", "mention_id", F.lit(actor).alias("actor"), self._seal(payload, F.col("id"), "resolutionEvent.payload").alias("payload_cipher"), F.lit(now).alias("created_at"))
 
     # -- reviewing
@@ -537,19 +537,19 @@ class Engine:
 
         def work(batch: DataFrame, scopes: list[str], now: int) -> tuple:
             context, blocks = settled(self._context(batch, scopes)), settled(self._blocks(batch, scopes))
-            done = settled(SZ.sanitize_blocks(blocks, context).withColumn("id", F.uuid()))
+            done = settled(SZ.sanitize_blocks(blocks, context).withColumn("id", S.row_id(F.lit(now))))
             errors = SZ.document_errors(done).withColumnRenamed("document_id", "id")
             gaps = SZ.coverage_gaps(blocks.select("document_id", "block_id"), done.select("document_id", "block_id"), ["document_id", "block_id"])
             sound = context.join(errors.select(F.col("id").alias("document_id")), "document_id", "left_anti")
             maps = settled(SZ.mappings(sound))
             gaps = gaps.select("document_id").union(SZ.coverage_gaps(sound.select("document_id", F.col("id").alias("mention_id")), maps.select("document_id", "mention_id"), ["document_id", "mention_id"]).select("document_id"))
             errors = settled(errors.union(gaps.distinct().select(F.col("document_id").alias("id"), F.lit("INCOMPLETE").alias("error"))).groupBy("id").agg(F.min("error").alias("error")))
-            good = settled(batch.join(errors.select("id"), "id", "left_anti").withColumn("sid", F.uuid()).withColumnRenamed("id", "document_id"))
+            good = settled(batch.join(errors.select("id"), "id", "left_anti").withColumn("sid", S.row_id(F.lit(now))).withColumnRenamed("id", "document_id"))
             here = [F.col("matter_id").alias("scope"), F.lit(now).alias("created_at")]
             docs = good.select(F.col("sid").alias("id"), "matter_id", "document_id", "job_id", *here)
             kept = SZ.complete_documents(done).join(good.drop("job_id"), "document_id").join(blocks.select("block_id", "page_id"), "block_id")
             kept = kept.select("id", F.col("sid").alias("sanitized_document_id"), "document_id", "page_id", "block_id", self._seal(F.col("sanitized"), F.col("id"), "sanitizedBlock.text").alias("text_cipher"), *here)
-            mapped = maps.join(good.drop("job_id"), "document_id").select(F.uuid().alias("id"), "matter_id", F.col("sid").alias("sanitized_document_id"), "mention_id", "entity_id", "public_token", "alias", "restore_policy", *here)
+            mapped = maps.join(good.drop("job_id"), "document_id").select(S.row_id(F.lit(now)).alias("id"), "matter_id", F.col("sid").alias("sanitized_document_id"), "mention_id", "entity_id", "public_token", "alias", "restore_policy", *here)
             return {"sanitized_documents": docs, "sanitized_blocks": kept, "sanitization_mappings": mapped}, {}, errors, {}
 
         return self._stage("SANITIZE", ids, work)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cloakframe.functions import normalize as N
+from cloakframe.functions import pseudonyms as P
+from cloakframe.functions import security as S
 from cloakframe.functions import spans
 from cloakframe.operators import detect as D
 from cloakframe.operators import integrity as I
@@ -14,7 +16,7 @@ from cloakframe.operators import review as V
 from cloakframe.operators import sanitize as SZ
 from cloakframe.plans.derive import view
 from cloakframe.plans.queries import query
-from cloakframe.sources.store import guarded_update
+from cloakframe.sources.store import guarded_update, settled
 from cloakframe.streaming import protocol
 
 # -- sanitizing of whole blocks, with several replacements each -----------------
@@ -236,6 +238,49 @@ def merge_entity(spark: SparkSession, d: str) -> DataFrame:
     return I.merge_entity(e, m).select("id", "status", "merged_into_entity_id", "updated_at")
 
 
+# -- envelopes, ids and tokens ------------------------------------------------------
+
+
+@query("SELECT id, value AS opened, CAST(30 + strlen(value) AS INTEGER) AS size, true AS headed, CAST(NULL AS VARCHAR) AS elsewhere, CAST(NULL AS VARCHAR) AS tampered FROM v_values")
+def envelopes(spark: SparkSession, d: str) -> DataFrame:
+    key = F.unhex(F.lit("09" * 32))
+    v = view(spark, d, "v_values").select("id", "value").withColumn("e", S.sealed(F.col("value"), key, S.context(F.col("id"), "protectedValue.value")))
+    back = lambda e, field: S.opened(e, key, S.context(F.col("id"), field)).cast("string")
+    return settled(v).select(
+        "id",
+        back(F.col("e"), "protectedValue.value").alias("opened"),
+        F.length("e").alias("size"),
+        (F.hex(F.substring("e", F.lit(1), F.lit(2))) == S.HEADER).alias("headed"),
+        back(F.col("e"), "mention.text").alias("elsewhere"),
+        back(F.substring("e", F.lit(1), F.length("e") - 1), "protectedValue.value").alias("tampered"),
+    )
+
+
+@query("SELECT id, created_at AS ms, '7' AS version, true AS variant, true AS formed FROM v_entities")
+def row_ids(spark: SparkSession, d: str) -> DataFrame:
+    e = settled(view(spark, d, "v_entities").select("id", "created_at").withColumn("u", S.row_id(F.col("created_at"))))
+    ms = F.conv(F.concat(F.substring("u", 1, 8), F.substring("u", 10, 4)), 16, 10).cast("long")
+    formed = F.col("u").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return e.select("id", ms.alias("ms"), F.substring("u", 15, 1).alias("version"), F.substring("u", 20, 1).isin("8", "9", "a", "b").alias("variant"), formed.alias("formed"))
+
+
+@query(
+    """SELECT id, CASE entity_type WHEN 'PERSON' THEN '@P-' ELSE '@O-' END AS head, CAST(19 AS INTEGER) AS size, true AS formed, concat(CASE entity_type WHEN 'PERSON' THEN 'Person ' ELSE 'Organization ' END) AS named FROM v_entities"""
+)
+def entity_tokens(spark: SparkSession, d: str) -> DataFrame:
+    e = settled(view(spark, d, "v_entities").select("id", "entity_type").withColumns({"a": S.random_hex(), "b": S.random_hex()}))
+    token, alias = S.token(N.choose(F.col("entity_type"), S.ENTITY_LETTERS), F.col("a")), S.synthetic_alias(F.col("entity_type"), F.col("b"))
+    formed = token.rlike(P.STORED_TOKEN_FORM) & alias.rlike("^[A-Z][a-z]+ [0-9A-F]{16}$")
+    return e.select("id", F.substring(token, 1, 3).alias("head"), F.length(token).alias("size"), formed.alias("formed"), F.regexp_replace(alias, "[0-9A-F]{16}$", "").alias("named"))
+
+
+@query("SELECT id, CAST(row_number() OVER (ORDER BY created_at, id) AS INTEGER) AS place FROM (SELECT concat('m', lpad(CAST(n_nationkey AS VARCHAR), 2, '0')) AS id, n_nationkey % 4 AS created_at FROM nation) m")
+def matter_listing(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    m = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("m"), F.lpad(n.cast("string"), 2, "0")).alias("id"), (n % 4).alias("created_at"))
+    return m.select("id", F.row_number().over(Window.orderBy("created_at", "id")).alias("place"))  # a row a matter
+
+
 # -- worker requests and what a worker answers --------------------------------------
 
 _VALID = "page_start >= 1 AND (page_end IS NULL OR page_end >= page_start)"

@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import os
 import re
 
 import pytest
@@ -199,3 +200,17 @@ def test_keys_and_envelopes(spark):
         with pytest.raises(ValueError):
             S.check_keys(*pair)
     assert S.uuid7(5) < S.uuid7(6) and S.uuid7()[14] == "7"
+
+
+def test_key_file(tmp_path):
+    path = str(tmp_path / "keys.json")
+    first = S.keys_from_file(path)
+    assert first == S.keys_from_file(path) and first[0] != first[1] and os.stat(path).st_mode & 0o777 == 0o600
+    for text in ("{", "[]", '{"version": 2}', f'{{"version": 1, "persistence": "{first[0]}", "search": "{first[0]}"}}', '{"version": 1, "persistence": "07", "search": "08"}'):
+        with open(path, "w") as f:
+            f.write(text)
+        with pytest.raises(RuntimeError):
+            S.keys_from_file(path)
+    os.chmod(path, 0o644)
+    with pytest.raises(RuntimeError, match="open to others"):
+        S.keys_from_file(path)
