@@ -225,9 +225,9 @@ def commit_violations(old: Callable[[str], DataFrame], new: Callable[[str], Data
         parts.append(uniqueness({t: new(t) for t in added}))
     for t in replaced:
         if t in S.IMMUTABLE:
-            parts.append(changed_columns(old(t), added[t], S.IMMUTABLE[t], t))
+            parts.append(changed_columns(old(t), new(t), S.IMMUTABLE[t], t))
         if t in S.ONCE_SET:
-            parts.append(changed_columns(old(t), added[t], S.ONCE_SET[t], t, once_set=True))
+            parts.append(changed_columns(old(t), new(t), S.ONCE_SET[t], t, once_set=True))
         if "id" in S.TABLES[t].names:
             parts.append(lost(old(t), new(t), t))
     if "entities" in added:
