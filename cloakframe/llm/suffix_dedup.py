@@ -601,6 +601,18 @@ def _removed(n: int, covers: list[bytes]) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
+def dealt(df: DataFrame, number: str, parts: int) -> DataFrame:
+    """``df`` in ``parts`` partitions, rows by their number from 0 to parts - 1, each in a partition of its own.
+
+    Numbers themselves would be hashed, and several meet in one partition; each gets a
+    stand-in that is hashed to its place.  There are as many stand-ins as partitions.
+    """
+    tried = df.sparkSession.range(16 * parts + 64).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p"))
+    found = {r.p: r.id for r in tried.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    listed = F.split(F.lit(",".join(str(found.get(p, p)) for p in range(parts))), ",").cast("array<bigint>")
+    return df.withColumn("at", F.get(listed, F.col(number).cast("int"))).repartition(parts, "at").drop("at")
+
+
 def removals(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataFrame:
     """(text, rest, covers) for each row of ``docs``; rest is a struct of the other columns.
 
@@ -613,11 +625,11 @@ def removals(docs: DataFrame, parts: int | None = None, hot: int = HOT) -> DataF
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.hash("text").alias("t"), F.col("text"), F.struct(*[c for c, name in zip(columns(docs), docs.columns, strict=True) if name != "text"], F.lit(0).alias(fresh(docs, "_")[0])).alias("rest"))
     asked = rows.mapInArrow(tidy(ask(parts)), "p long, blob binary")
-    answered = asked.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(tidy(by_partition(parts, hot)), "block long, blob binary")
+    answered = dealt(asked, "p", parts).sortWithinPartitions("p").mapInArrow(tidy(by_partition(parts, hot)), "block long, blob binary")
     shared = answered.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(settle()), "d long, t int, data binary")
     numbers = shared.groupBy("d", "t").agg(F.collect_list("data").alias("numbers"))
     around = rows.join(numbers, ["d", "t"]).select("d", "t", "text", "numbers", "rest").mapInArrow(tidy(contexts(parts)), "q long, blob binary")
-    found = around.repartition(parts, "q").mapInArrow(tidy(resolve()), "d long, t int, data binary")
+    found = dealt(around, "q", parts).mapInArrow(tidy(resolve()), "d long, t int, data binary")
     covers = found.groupBy("d", "t").agg(F.collect_list("data").alias("covers"))
     joined = rows.join(covers, ["d", "t"], "left")
     return joined.select("text", "rest", "covers")

@@ -105,3 +105,8 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(1, long), (2, "z" + long[:2_000_000] + "y"), (3, long[500:600])], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in sd.deduplicate(df).collect()}
     assert got == {1: (0, long.encode()), 2: (2_000_000, b"zy"), 3: (100, b"")}
+
+
+def test_partitions_are_dealt_one_number_each(spark):
+    rows = sd.dealt(spark.range(700).selectExpr("id % 37 as q", "id"), "q", 37).select("q", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len(rows) == 37 and len({r.part for r in rows}) == 37
