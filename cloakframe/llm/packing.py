@@ -44,9 +44,9 @@ from cloakframe.llm.streams import texts, tidy
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 500_000
 #: Signs that may follow a word of letters and then are a piece of their own.
-_TAIL = b'.,!?;:#$%&*|"()-'
+_TAIL = '.,!?;:#$%&*|"()-'
 #: Documents of one length and salt.
 CELL = 50_000
 #: Tokens that a combination may leave open in a window of 4096, and as a share of others.
@@ -57,6 +57,32 @@ PARTNERS = 6
 SWEEPS, SETTLED = 200, 0.01
 
 
+class Cache:
+    """Values by key in two generations; when the young one is full the old one goes, so what is in use stays."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size // 2, {}, {}
+
+    def found(self, keys: set) -> tuple[dict, list]:
+        """The values that are there, and the keys that are not."""
+        young, old, out, missing = self.young, self.old, {}, []
+        for k in keys:
+            v = young.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                young[k] = v
+            out[k] = v
+        return out, missing
+
+    def add(self, values: dict) -> None:
+        self.young.update(values)
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class WordTokenizer:
     """Ids of texts, with those of words kept, for tokenizers that never join across white space."""
 
@@ -66,8 +92,8 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[bytes, bytes] = {b"": b""}
-        self.letters: dict[str, bytes] = {}
+        self.words, self.letters = Cache(CACHE), Cache(CACHE // 2)
+        self.tails: dict[str, bytes] = {"": b""}
         # tokens that end a piece
         self.last = np.zeros(self.inner.get_vocab_size(), bool)
         for token, number in self.inner.get_vocab().items():
@@ -78,21 +104,18 @@ class WordTokenizer:
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Put the ids of ``new`` words into the cache."""
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not in the cache."""
         # a word of letters is one piece, whatever its case; what follows it is another
         whole, parts = [], {}
-        for w in new:
-            core = w.rstrip(_TAIL)
-            text = core.decode().replace("Σ", "σ").lower()  # as a single letter
-            if text.isalpha():
-                parts[w] = (text, w[len(core) :])
+        lowered = b"\n".join(new).decode().replace("Σ", "σ").lower().split("\n")  # as single letters; words hold no line feed
+        for w, text in zip(new, lowered, strict=True):
+            core = text.rstrip(_TAIL)
+            if core.isalpha():
+                parts[w] = (core, text[len(core) :])
             else:
                 whole.append(w)
-        letters = list({c for c, _ in parts.values() if c not in self.letters})
-        if len(self.letters) + len(letters) > CACHE:
-            self.letters = {}
-            letters = list({c for c, _ in parts.values()})
+        known, letters = self.letters.found({c for c, _ in parts.values()})
         for at in range(0, len(letters), 4000):
             part = letters[at : at + 4000]
             ids = np.array(self.inner.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
@@ -100,24 +123,29 @@ class WordTokenizer:
             if len(ends) == len(part):
                 raw, size = ids.tobytes(), self.dtype.itemsize
                 cuts = [0, *(ends * size).tolist()]
-                self.letters.update((w, raw[s:e]) for w, s, e in zip(part, cuts, cuts[1:], strict=False))
+                got = {w: raw[s:e] for w, s, e in zip(part, cuts, cuts[1:], strict=False)}
             else:
-                self.letters.update((w, self._pack(self.inner.encode(w, add_special_tokens=False).ids)) for w in part)
-        tails = {t for _, t in parts.values() if t not in self.words}
-        for x in (*whole, *tails):
-            self.words[x] = self._pack(self.inner.encode(x.decode(), add_special_tokens=False).ids)
-        for w, (c, t) in parts.items():
-            self.words[w] = self.letters[c] + self.words[t] if t else self.letters[c]
+                got = {w: self._pack(self.inner.encode(w, add_special_tokens=False).ids) for w in part}
+            known |= got
+            self.letters.add(got)
+        for t in {t for _, t in parts.values()} - self.tails.keys():
+            self.tails[t] = self._pack(self.inner.encode(t, add_special_tokens=False).ids)
+        out = {w: known[c] + self.tails[t] for w, (c, t) in parts.items()}
+        out.update((w, self._pack(self.inner.encode(w.decode(), add_special_tokens=False).ids)) for w in whole)
+        return out
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
         split = [None if any(a in t for a in self.added) else t.split() for t in batch]
-        new = {w for words in split if words is not None for w in words if w not in self.words}
-        if len(self.words) + len(new) > CACHE:
-            self.words = {}
-            new = {w for words in split if words is not None for w in words}
-        self._learn(list(new))
-        get = self.words.__getitem__
+        asked = set().union(*(words for words in split if words is not None))
+        ids, missing = self.words.found(asked)
+        if missing:
+            new = self._learn(missing)
+            self.words.add(new)
+            ids.update(new)
+        get = ids.__getitem__
+        if len(self.tails) > CACHE:
+            self.tails = {"": b""}
         return [self._pack(self.inner.encode(t.decode(), add_special_tokens=False).ids) if words is None else b"".join(map(get, words)) for t, words in zip(batch, split, strict=True)]
 
 
