@@ -6,9 +6,9 @@ sketch).  Sketches of parts merge to the sketch of the whole.  From two sketches
 estimates of resemblance and containment, from one the number of distinct shingles;
 below ``K`` hashes the answers are exact.
 
-Words are runs of other than white space; hashes are the upper 40 bits of XXH64.  Null
-texts are empty texts.  Two empty sketches resemble each other wholly, an empty and
-another one not at all.  A null doc_id comes last in descending order, repeated rows and
+Words are runs of other than white space; hashes are the upper 40 bits of XXH64 (seed 42)
+of a shingle's words, joined by spaces.  Null texts are empty texts.  Two empty sketches
+resemble each other wholly, an empty and another one not at all.  A null doc_id comes last in descending order, repeated rows and
 rows of one id are told apart by their texts, ties cannot occur otherwise.  Very long
 texts are hashed as a whole, with memory in proportion.  Further columns are left out
 whatever their names.  An empty table gives an empty result.
@@ -34,8 +34,9 @@ def words(text: Column) -> Column:
 
 def _of_words(w: Column, k: int, width: int) -> Column:
     n = F.size(w)
-    many = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(w, i, width)), 64 - BITS))
-    one = F.array(F.shiftrightunsigned(F.xxhash64(w), 64 - BITS))
+    hashed = lambda words: F.shiftrightunsigned(F.xxhash64(F.array_join(words, " ")), 64 - BITS)
+    many = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: hashed(F.slice(w, i, width)))
+    one = F.array(hashed(w))
     hashes = F.when(n >= width, many).when(n > 0, one).otherwise(F.array().cast("array<bigint>"))
     return bottom(hashes, k)
 
@@ -82,9 +83,9 @@ def distinct_count(sketch: Column, k: int = K) -> Column:
 
 
 def encoded(sketch: Column) -> Column:
-    """The sketch as text."""
+    """The sketch as text, on one line."""
     digits = F.transform(sketch, lambda h: F.lpad(F.hex(h), BITS // 4, "0"))
-    return F.base64(F.unhex(F.array_join(digits, "")))
+    return F.translate(F.base64(F.unhex(F.array_join(digits, ""))), "\r\n", "")
 
 
 def decoded(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.scratch import materialize
+from cloakframe.llm.scratch import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns ``a``, ``b``, long).
 
-    ``component`` is the smallest node reachable.  Self loops, repeated edges and
-    either direction are allowed; a null end drops the edge; no edges give no rows.
-    Raises after ``rounds`` rounds, far above the logarithmic number needed.
+    ``component`` is the smallest node reachable.  Self loops, repeated edges and either
+    direction are allowed; a null end drops the edge; no edges give no rows.  Only the
+    last round's edges stay written.  Raises after ``rounds`` rounds, far above the logarithmic number needed.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = materialize(e.filter("a <> b").distinct(), "edges")
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        e = materialize(_small_star(_large_star(e)), "edges")
+        old, e = e, materialize(_small_star(_large_star(e)), "edges")
+        discard(old)
         after = mark(e)
         if after == before:
             break

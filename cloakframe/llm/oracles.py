@@ -1,12 +1,126 @@
 """SQL of the operators that SQL can express, for DuckDB over the same tables.
 
-Hash sketches (op2, op4), the tokenizer (op6) and trained fields (op3, op7) are left out;
-tests hold these against brute force, exact round trips and held-out accuracy.
+The tokenizer (op6) and trained fields (op3, op7) are left out; tests hold these against
+exact round trips and held-out accuracy.
 """
 
 from __future__ import annotations
 
-from cloakframe.llm import chat_format, mixing, sentence_spans
+from cloakframe.llm import bottomk, chat_format, mixing, sentence_spans
+
+# -- XXH64 of strings, in numbers of 128 bits that are cut to 64 ----------------
+
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_WIDE = 1 << 64
+
+
+def _u(x: int) -> str:
+    return f"{x % _WIDE}::UHUGEINT"
+
+
+def _mul(a: str, b: str) -> str:
+    return f"(({a}) * ({b}) % {_WIDE}::UHUGEINT)"
+
+
+def _add(a: str, b: str) -> str:
+    return f"((({a}) + ({b})) % {_WIDE}::UHUGEINT)"
+
+
+def _rotated(x: str, r: int) -> str:
+    return f"(({x}) * {1 << r}::UHUGEINT % {_WIDE}::UHUGEINT + ({x}) // {1 << 64 - r}::UHUGEINT)"
+
+
+def _round(acc: str, x: str) -> str:
+    return _mul(_rotated(_add(acc, _mul(x, _u(_P2))), 31), _u(_P1))
+
+
+def _word(size: int, at: str) -> str:
+    """The little-endian number of ``size`` bytes at a place of the hex string h."""
+    return "CAST(concat('0x', " + ", ".join(f"substr(h, CAST(2 * ({at}) + {2 * k + 1} AS BIGINT), 2)" for k in range(size - 1, -1, -1)) + ") AS UBIGINT)::UHUGEINT"
+
+
+def _xxh64(source: str, seed: int = 42) -> str:
+    """Table expressions from ``source`` (s) to xxh_out (s, hash), hash unsigned."""
+
+    def lane(k: int, start: int) -> str:
+        return f"list_reduce(list_concat([{_u(start)}], list_transform(range(0, n // 32), lambda k: {_word(8, f'k * 32 + {8 * k}')})), lambda a, x: {_round('a', 'x')})"
+
+    lanes = ", ".join(f"{lane(k, v)} AS v{k}" for k, v in enumerate((seed + _P1 + _P2, seed + _P2, seed, seed - _P1)))
+    together = _add(_add(_add(_rotated("v0", 1), _rotated("v1", 7)), _rotated("v2", 12)), _rotated("v3", 18))
+    merged = _add(_mul(f"xor(a, {_round('0::UHUGEINT', 'x')})", _u(_P1)), _u(_P4))
+    eight = _add(_mul(_rotated(f"xor(a, {_round('0::UHUGEINT', 'x')})", 27), _u(_P1)), _u(_P4))
+    four = _add(_mul(_rotated(f"xor(c, {_mul(_word(4, 'n // 8 * 8'), _u(_P1))})", 23), _u(_P2)), _u(_P3))
+    one = _mul(_rotated(f"xor(a, {_mul('x', _u(_P5))})", 11), _u(_P1))
+    last = lambda shift, times: _mul(f"xor(z, z // {1 << shift}::UHUGEINT)", _u(times))
+    return f"""xxh_a AS (SELECT s, hex(encode(s)) AS h, strlen(s) AS n FROM {source}),
+xxh_b AS (SELECT *, {lanes} FROM xxh_a),
+xxh_c AS (SELECT *, CASE WHEN n >= 32 THEN list_reduce([{together}, v0, v1, v2, v3], lambda a, x: {merged}) ELSE {_u(seed + _P5)} END AS b FROM xxh_b),
+xxh_d AS (SELECT *, list_reduce(list_concat([{_add('b', 'n::UHUGEINT')}], list_transform(range(n // 32 * 32, n // 8 * 8, 8), lambda k: {_word(8, 'k')})), lambda a, x: {eight}) AS c FROM xxh_c),
+xxh_e AS (SELECT *, CASE WHEN n % 8 >= 4 THEN {four} ELSE c END AS d FROM xxh_d),
+xxh_f AS (SELECT s, list_reduce(list_concat([d], list_transform(range(n // 4 * 4, n), lambda k: {_word(1, 'k')})), lambda a, x: {one}) AS z FROM xxh_e),
+xxh_g AS (SELECT s, {last(33, _P2)} AS z FROM xxh_f),
+xxh_h AS (SELECT s, {last(29, _P3)} AS z FROM xxh_g),
+xxh_out AS (SELECT s, CAST(xor(z, z // {1 << 32}::UHUGEINT) AS UBIGINT) AS hash FROM xxh_h)"""
+
+
+def _split(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '[\\t-\\r ]+'), lambda x: x <> '')"
+
+
+def _shingles(words: str, width: int) -> str:
+    joined = f"list_transform(range(1, len({words}) - {width - 2}), lambda i: array_to_string({words}[i:i + {width - 1}], ' '))"
+    return f"CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) <= {width} THEN [array_to_string({words}, ' ')] ELSE {joined} END"
+
+
+# -- op2: bits by majority, all pairs, components by recursion -------------------
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_OP2 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_split(f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')")} AS w FROM documents),
+e AS (SELECT doc_id, unnest({_shingles('w', 3)}) AS s FROM w),
+t AS (SELECT DISTINCT s FROM e),
+{_xxh64('t')},
+b AS (SELECT doc_id, count(*) AS n, {', '.join(f'sum((hash >> {k}) & 1) AS b{k}' for k in range(64))} FROM e JOIN xxh_out USING (s) GROUP BY doc_id),
+f AS (SELECT w.doc_id, CAST(coalesce({' + '.join(f'CASE WHEN 2 * b{k} > n THEN {1 << k}::UHUGEINT ELSE 0::UHUGEINT END' for k in range(64))}, 0::UHUGEINT) AS UBIGINT) AS fp FROM w LEFT JOIN b USING (doc_id)),
+q AS (SELECT fp, min(doc_id) AS d FROM f GROUP BY fp),
+l AS (SELECT a.fp AS a, b.fp AS b FROM q a JOIN q b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 2),
+r(n, c) AS (SELECT fp, d FROM q UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.n),
+m AS (SELECT n, min(c) AS c FROM r GROUP BY n)
+SELECT f.doc_id, lpad(lower(to_hex(f.fp)), 16, '0') AS fingerprint, m.c AS component_id FROM f JOIN m ON m.n = f.fp"""
+
+# -- op4: bottom hashes as sorted lists -------------------------------------------
+
+_K, _TOP = bottomk.K, 1 << bottomk.BITS
+
+
+def _bottom(hashes: str) -> str:
+    return f"list_sort(list_distinct({hashes}))[1:{_K}]"
+
+
+def _count(sketch: str) -> str:
+    return f"CASE WHEN len({sketch}) < {_K} THEN len({sketch})::DOUBLE ELSE {float((_K - 1) * _TOP)!r}::DOUBLE / ({sketch}[len({sketch})] + 1) END"
+
+
+def _near(a: str, b: str) -> str:
+    union = _bottom(f"list_concat({a}, {b})")
+    return f"CASE WHEN len({union}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_intersect({a}, {b}), {union}))::DOUBLE / len({union}) END"
+
+
+def _text_form(sketch: str) -> str:
+    return f"coalesce(base64(unhex(array_to_string(list_transform({sketch}, lambda x: lpad(to_hex(x), {bottomk.BITS // 4}, '0')), ''))), '')"
+
+
+_OP4 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER w, CASE WHEN lead(doc_id) OVER w IS NULL THEN first_value(text) OVER w END, '') AS nxt FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT doc_id, text, nxt, length(text) AS n, concat(substr(text, 1, length(text) - length(text) // 3), substr(nxt, 1, length(text) // 3)) AS edited FROM d),
+a AS (SELECT DISTINCT text AS body FROM c UNION SELECT nxt FROM c UNION SELECT edited FROM c),
+w AS (SELECT body, {_split('body')} AS w FROM a),
+e AS (SELECT DISTINCT body, unnest({_shingles('w', bottomk.WIDTH)}) AS s FROM w),
+t AS (SELECT DISTINCT s FROM e),
+{_xxh64('t')},
+k AS (SELECT body, {_bottom(f'list(CAST(hash >> {64 - bottomk.BITS} AS BIGINT))')} AS sk FROM e JOIN xxh_out USING (s) GROUP BY body),
+j AS (SELECT c.*, coalesce(k.sk, []) AS x, coalesce(y.sk, []) AS y, coalesce(z.sk, []) AS z FROM c LEFT JOIN k ON k.body = c.text LEFT JOIN k y ON y.body = c.edited LEFT JOIN k z ON z.body = c.nxt)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, {_text_form('x')} AS fingerprint, {_text_form('y')} AS edited_fingerprint, {_near('x', 'y')} AS near_edited, {_near('x', 'z')} AS near_next, {_count('x')} AS distinct_shingles,
+  CASE WHEN len(y) = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, ({_near('y', 'x')}) * ({_count(_bottom('list_concat(y, x)'))}) / ({_count('y')})) END AS edited_contained FROM j"""
 
 # -- op1: pieces, their spans, and what is left --------------------------------
 
@@ -88,4 +202,4 @@ r(n, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, r.c FROM r JOIN l ON
 m AS (SELECT n, min(c) AS c FROM r GROUP BY n), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(k.n, 0) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON m.n = v.vec_id LEFT JOIN k ON k.a = v.vec_id"""
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op5_suffix_array_dedup": _OP5, "op8_chat_formatting": _op8(), "op9_source_mixing": _OP9, "op10_embedding_near_dedup": _OP10}
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_simhash_near_dedup": _OP2, "op4_document_fingerprints": _OP4, "op5_suffix_array_dedup": _OP5, "op8_chat_formatting": _op8(), "op9_source_mixing": _OP9, "op10_embedding_near_dedup": _OP10}

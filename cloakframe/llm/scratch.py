@@ -50,7 +50,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{folder(spark)}/cloakframe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing unfinished reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_scratch_path", None)
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    if path in held:
+        held.remove(path)
+        drop(path, spark)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -81,10 +92,19 @@ def drop(df_or_path: str, spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table this application wrote; results that read them must be saved first."""
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        drop(path, spark)
+def mark(spark: SparkSession) -> int:
+    """How many tables there are; for ``release``."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Delete the tables that this application wrote after a mark, except one; results that read them must be saved first."""
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    kept = [p for p in held[since:] if but is not None and p == getattr(but, "_scratch_path", None)]
+    for path in held[since:]:
+        if path not in kept:
+            drop(path, spark)
+    held[since:] = kept
 
 
 @atexit.register
