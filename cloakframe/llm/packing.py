@@ -28,13 +28,16 @@ from __future__ import annotations
 
 import math
 import os
+import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ END_ID = 2
 CACHE = 500_000
 #: Signs that may follow a word of letters and then are a piece of their own.
 _TAIL = '.,!?;:#$%&*|"()-'
+#: Each line as letters and such signs, or as nothing if it is not of that form.
+_PARTS = re.compile(rf"^(?:([^\W\d_]+)([{re.escape(_TAIL)}]*)|.*)$", re.MULTILINE)
 #: Documents of one length and salt.
 CELL = 50_000
 #: Tokens that a combination may leave open in a window of 4096, and as a share of others.
@@ -63,7 +68,7 @@ class Cache:
     def __init__(self, size: int) -> None:
         self.size, self.young, self.old = size // 2, {}, {}
 
-    def found(self, keys: set) -> tuple[dict, list]:
+    def found(self, keys: Iterable) -> tuple[dict, list]:
         """The values that are there, and the keys that are not."""
         young, old, out, missing = self.young, self.old, {}, []
         for k in keys:
@@ -91,6 +96,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.piece = self.inner.model.tokenize
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words, self.letters = Cache(CACHE), Cache(CACHE // 2)
         self.tails: dict[str, bytes] = {"": b""}
@@ -102,32 +108,38 @@ class WordTokenizer:
         self.added = [t.content.encode() for t in self.inner.get_added_tokens_decoder().values()]
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.dtype.char}", *ids)
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """The ids of words that are not in the cache."""
         # a word of letters is one piece, whatever its case; what follows it is another
+        lowered = b"\n".join(new).decode().replace("Σ", "σ").lower()  # as single letters; words hold no line feed
         whole, parts = [], {}
-        lowered = b"\n".join(new).decode().replace("Σ", "σ").lower().split("\n")  # as single letters; words hold no line feed
-        for w, text in zip(new, lowered, strict=True):
-            core = text.rstrip(_TAIL)
-            if core.isalpha():
-                parts[w] = (core, text[len(core) :])
+        for w, part in zip(new, _PARTS.findall(lowered), strict=True):
+            if part[0] and (part[0].isascii() or part[0].isalpha()):
+                parts[w] = part
             else:
                 whole.append(w)
         known, letters = self.letters.found({c for c, _ in parts.values()})
-        for at in range(0, len(letters), 4000):
-            part = letters[at : at + 4000]
+        got, other = {}, []
+        for c in letters:
+            # a piece of plain letters goes to the model as it is
+            if c.isascii():
+                got[c] = self._pack([t.id for t in self.piece(c)])
+            else:
+                other.append(c)
+        for at in range(0, len(other), 4000):
+            part = other[at : at + 4000]
             ids = np.array(self.inner.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
                 raw, size = ids.tobytes(), self.dtype.itemsize
                 cuts = [0, *(ends * size).tolist()]
-                got = {w: raw[s:e] for w, s, e in zip(part, cuts, cuts[1:], strict=False)}
+                got.update((w, raw[s:e]) for w, s, e in zip(part, cuts, cuts[1:], strict=False))
             else:
-                got = {w: self._pack(self.inner.encode(w, add_special_tokens=False).ids) for w in part}
-            known |= got
-            self.letters.add(got)
+                got.update((w, self._pack(self.inner.encode(w, add_special_tokens=False).ids)) for w in part)
+        known.update(got)
+        self.letters.add(got)
         for t in {t for _, t in parts.values()} - self.tails.keys():
             self.tails[t] = self._pack(self.inner.encode(t, add_special_tokens=False).ids)
         out = {w: known[c] + self.tails[t] for w, (c, t) in parts.items()}
@@ -135,18 +147,37 @@ class WordTokenizer:
         return out
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Packed ids of each text."""
-        split = [None if any(a in t for a in self.added) else t.split() for t in batch]
-        asked = set().union(*(words for words in split if words is not None))
+        """Packed ids of each text.
+
+        Distinct words are found by Arrow; only they go through Python.
+        """
+        odd = [k for k, t in enumerate(batch) if any(a in t for a in self.added)]
+        plain = list(batch)
+        for k in odd:
+            plain[k] = b""
+        split = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string()))
+        words = split.flatten().dictionary_encode()
+        asked = words.dictionary.cast(pa.binary()).to_pylist()
         ids, missing = self.words.found(asked)
         if missing:
             new = self._learn(missing)
             self.words.add(new)
             ids.update(new)
-        get = ids.__getitem__
+        values = [ids[w] for w in asked]
+        length = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        start = np.cumsum(length) - length
+        flat = np.frombuffer(b"".join(values), self.dtype)
+        at = words.indices.to_numpy(zero_copy_only=False)
+        n = length[at]
+        end = np.cumsum(n)
+        out = flat[np.repeat(start[at] - (end - n), n) + np.arange(int(n.sum()))]
+        edges = np.concatenate(([0], end))[np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
+        packed = [out[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+        for k in odd:
+            packed[k] = self._pack(self.inner.encode(batch[k].decode(), add_special_tokens=False).ids)
         if len(self.tails) > CACHE:
             self.tails = {"": b""}
-        return [self._pack(self.inner.encode(t.decode(), add_special_tokens=False).ids) if words is None else b"".join(map(get, words)) for t, words in zip(batch, split, strict=True)]
+        return packed
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -166,10 +197,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         end = np.array([end_id], t.dtype).tobytes()
         for b in batches:
             whole = texts(b.column(1))
-            for at in range(0, len(whole), 512):
-                ids = [x + end for x in t.encode(whole[at : at + 512])]
+            for at in range(0, len(whole), 1024):
+                ids = [x + end for x in t.encode(whole[at : at + 1024])]
                 n = [len(x) // t.dtype.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1024), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n long, ids binary")
 
