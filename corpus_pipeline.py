@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.llm import mixing, near_copies, packing, suffix_dedup, toxicity
 from cloakframe.llm.queries import tokenizer_path
-from cloakframe.llm.scratch import materialize
+from cloakframe.llm.scratch import mark, materialize, release
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, over all documents."""
-    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows, over all documents; what a stage has written on its way goes with its end."""
+    out, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark(spark)
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, out, sf_dir)
         if k < len(STAGES) - 1:
             out = materialize(out, name)
+            release(spark, began, but=out)
     return out
