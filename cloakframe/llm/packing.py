@@ -146,10 +146,62 @@ class WordTokenizer:
         out.update((w, self._pack(self.inner.encode(w.decode(), add_special_tokens=False).ids)) for w in whole)
         return out
 
+    def _pieces(self, words: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(ids of pieces, first and second piece of each distinct word).
+
+        A word of plain letters with or without signs behind it is its letters in lower case
+        and the signs, found by Arrow; other words are one piece here.
+        """
+        low = pc.ascii_lower(words)
+        core = pc.ascii_rtrim(low, characters=_TAIL)
+        plain = pc.and_(pc.string_is_ascii(words), pc.ascii_is_alpha(core))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        letters = core.filter(plain).dictionary_encode()
+        asked = letters.dictionary.to_pylist()
+        known, missing = self.letters.found(asked)
+        if missing:
+            got = {c: self._pack([t.id for t in self.piece(c)]) for c in missing}
+            self.letters.add(got)
+            known.update(got)
+        other = words.filter(pc.invert(plain)).cast(pa.binary()).to_pylist()
+        ids, missing = self.words.found(other)
+        if missing:
+            new = self._learn(missing)
+            self.words.add(new)
+            ids.update(new)
+        values = [known[c] for c in asked] + [ids[w] for w in other]
+        first = np.empty(len(words), np.int64)
+        first[is_plain] = letters.indices.to_numpy(zero_copy_only=False)
+        first[~is_plain] = len(asked) + np.arange(len(other))
+        # signs by their bytes
+        signs = (np.asarray(pc.binary_length(low)) - np.asarray(pc.binary_length(core))) * is_plain
+        second, numbers = np.full(len(words), -1, np.int64), {}
+        rows = np.flatnonzero(signs)
+        for k, tail in zip(rows.tolist(), self._tails_of(low, rows, signs[rows]), strict=True):
+            second[k] = numbers.setdefault(tail, len(values) + len(numbers))
+        for tail in numbers:
+            if tail not in self.tails:
+                self.tails[tail] = self._pack(self.inner.encode(tail, add_special_tokens=False).ids)
+            values.append(self.tails[tail])
+        values.append(b"")
+        second[second < 0] = len(values) - 1
+        return values, first, second
+
+    @staticmethod
+    def _tails_of(low: pa.StringArray, rows: np.ndarray, size: np.ndarray) -> list[str]:
+        """The last letters of some rows."""
+        out = [""] * len(rows)
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            for k, tail in zip(at.tolist(), pc.utf8_slice_codeunits(low.take(pa.array(rows[at])), -n).to_pylist(), strict=True):
+                out[k] = tail
+        return out
+
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Packed ids of each text.
 
-        Distinct words are found by Arrow; only they go through Python.
+        Distinct words and their parts are found by Arrow; only what the caches do not
+        hold goes to the tokenizer.
         """
         odd = [k for k, t in enumerate(batch) if any(a in t for a in self.added)]
         plain = list(batch)
@@ -157,21 +209,17 @@ class WordTokenizer:
             plain[k] = b""
         split = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string()))
         words = split.flatten().dictionary_encode()
-        asked = words.dictionary.cast(pa.binary()).to_pylist()
-        ids, missing = self.words.found(asked)
-        if missing:
-            new = self._learn(missing)
-            self.words.add(new)
-            ids.update(new)
-        values = [ids[w] for w in asked]
+        values, first, second = self._pieces(words.dictionary)
+        at = words.indices.to_numpy(zero_copy_only=False)
+        piece = np.empty(2 * len(at), np.int64)
+        piece[0::2], piece[1::2] = first[at], second[at]
         length = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
         start = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(values), self.dtype)
-        at = words.indices.to_numpy(zero_copy_only=False)
-        n = length[at]
+        n = length[piece]
         end = np.cumsum(n)
-        out = flat[np.repeat(start[at] - (end - n), n) + np.arange(int(n.sum()))]
-        edges = np.concatenate(([0], end))[np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
+        out = flat[np.repeat(start[piece] - (end - n), n) + np.arange(int(n.sum()))]
+        edges = np.concatenate(([0], end[1::2]))[np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
         packed = [out[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
         for k in odd:
             packed[k] = self._pack(self.inner.encode(batch[k].decode(), add_special_tokens=False).ids)
