@@ -160,11 +160,12 @@ class Engine:
         for i in ids:
             _checked(i, MAX_ID, "document id")
         asked = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
-        d = asked.join(self.store.read("documents"), "id", "left")
-        jobs = self.store.read("processing_jobs").join(asked.withColumnRenamed("id", "document_id"), "document_id", "left_semi")
-        d = d.join(V.retryable(d, jobs).select("id", F.col("job_type").alias("_failed")), "id", "left")
-        has = lambda t: self.store.read(t).groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias(f"_{t}"))
-        d = d.join(has("document_pages"), "id", "left").join(has("mentions"), "id", "left")
+        d = settled(asked.join(self.store.read("documents"), "id", "left"))
+        scopes = [r.matter_id for r in d.filter("matter_id is not null").select("matter_id").distinct().collect()]
+        of = lambda t: self.store.read(t, scopes).join(asked.withColumnRenamed("id", "document_id"), "document_id", "left_semi")
+        d = d.join(V.retryable(d, of("processing_jobs")).select("id", F.col("job_type").alias("_failed")), "id", "left")
+        for t in ("document_pages", "mentions"):
+            d = d.join(of(t).groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias(f"_{t}")), "id", "left")
         ready = F.coalesce((F.col("parse_status") == stage.before) | F.coalesce(F.col("_failed") == kind, F.lit(False)), F.lit(False))
         problem = F.when(F.col("matter_id").isNull(), "NOT_FOUND").when(F.col("parse_status").isin(*stage.done), "DONE").when(~ready, "INVALID_STATE")
         if kind == "PARSE":
