@@ -47,7 +47,7 @@ from cloakframe.llm.streams import texts, tidy
 WINDOW = 4096
 END_ID = 2
 #: Words whose ids a worker keeps.
-CACHE = 500_000
+CACHE = 300_000
 #: Signs that may follow a word of letters and then are a piece of their own.
 _TAIL = '.,!?;:#$%&*|"()-'
 #: Each line as letters and such signs, or as nothing if it is not of that form.
@@ -98,7 +98,7 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.piece = self.inner.model.tokenize
         self.dtype = np.dtype("<u2") if self.inner.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words, self.letters = Cache(CACHE), Cache(CACHE // 2)
+        self.words, self.letters = Cache(CACHE // 2), Cache(CACHE)
         self.tails: dict[str, bytes] = {"": b""}
         # tokens that end a piece
         self.last = np.zeros(self.inner.get_vocab_size(), bool)
