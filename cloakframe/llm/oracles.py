@@ -1,7 +1,7 @@
 """SQL of the operators that SQL can express, for DuckDB over the same tables.
 
-The tokenizer (op6) and trained fields (op3, op7) are left out; tests hold these against
-exact round trips and held-out accuracy.
+The tokenizers (op6, op13) and trained fields (op3, op7) are left out; tests hold these against
+the tokenizers' libraries, exact round trips and held-out accuracy.
 """
 
 from __future__ import annotations
@@ -202,4 +202,46 @@ r(n, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, r.c FROM r JOIN l ON
 m AS (SELECT n, min(c) AS c FROM r GROUP BY n), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(k.n, 0) AS n_links, m.c AS component_id, v.vec_id = m.c AS kept FROM v JOIN m ON m.n = v.vec_id LEFT JOIN k ON k.a = v.vec_id"""
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_simhash_near_dedup": _OP2, "op4_document_fingerprints": _OP4, "op5_suffix_array_dedup": _OP5, "op8_chat_formatting": _op8(), "op9_source_mixing": _OP9, "op10_embedding_near_dedup": _OP10}
+# -- op11: stretches of equal triples at each distance ---------------------------
+
+_OP11 = """WITH c AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\t-\\r ]+'), lambda x: x <> '') AS w,
+    list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: ascii(substr(CAST(doc_id AS VARCHAR), CAST(k AS BIGINT), 1))::UBIGINT)), lambda r, b: list_reduce(list_concat([xor(r, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))) AS r FROM documents),
+h AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, CAST(xor(r, 4294967295::UBIGINT) AS BIGINT) AS h FROM c),
+p AS (SELECT *, (h // 10) % greatest(n, 1) AS a, h % 10 = 0 AND n > 0 AS planted FROM h),
+e AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1]) ELSE w END AS w FROM p),
+x AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS s FROM e),
+t AS (SELECT doc_id, n, i, concat(s, ' ', lead(s, 1) OVER o, ' ', lead(s, 2) OVER o) AS g FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(s, 2) OVER o IS NOT NULL),
+m AS (SELECT doc_id, n, i, g FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, g) >= 3),
+j AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.g = b.g AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+k AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island, i FROM j),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length FROM k GROUP BY doc_id, q, island),
+u AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM u GROUP BY doc_id),
+f AS (SELECT doc_id, start, length, period FROM u a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period::DOUBLE DESC, start, period) = 1),
+o AS (SELECT x.doc_id, string_agg(x.s, ' ' ORDER BY x.i) AS kept FROM x WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = x.doc_id AND x.i >= u.start + u.period AND x.i < u.start + u.length) GROUP BY x.doc_id)
+SELECT e.doc_id, coalesce(b.n_runs, 0) AS n_runs, f.start, f.length, f.period, 1000 * f.length // f.period AS exponent_milli, sha256(coalesce(b.listed, '')) AS runs_sha256, sha256(coalesce(o.kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+# -- op12: two rounds over all parts, then codes ---------------------------------
+
+
+def _op12(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def assigned(book: str) -> str:
+        # far and entry in one number: the least of it is the nearest entry, the lower of equals
+        return f"SELECT p.vec_id, p.label, p.pos, p.x, min(list_sum(list_transform(range(1, len(p.x) + 1), lambda k: (p.x[k] - b.x[k]) * (p.x[k] - b.x[k])))::HUGEINT * {entries} + b.entry) AS near FROM p JOIN {book} b USING (pos) GROUP BY ALL"
+
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS ({assigned(f'b{r}')})")
+        steps.append(f"s{r} AS (SELECT pos, near % {entries} AS entry, k, CAST(floor(sum(v)::DOUBLE / count(*)) AS BIGINT) AS m FROM (SELECT pos, near, unnest(x) AS v, unnest(range(len(x))) AS k FROM a{r}) q GROUP BY ALL)")
+        steps.append(f"b{r + 1} AS (SELECT b.pos, b.entry, coalesce(n.x, b.x) AS x FROM b{r} b LEFT JOIN (SELECT pos, entry, list(m ORDER BY k) AS x FROM s{r} GROUP BY ALL) n ON n.pos = b.pos AND n.entry = b.entry)")
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({256} * x::DOUBLE) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, pos, list_slice(e, pos * (len(e) // {parts}) + 1, (pos + 1) * (len(e) // {parts})) AS x FROM v, (SELECT unnest(range({parts})) AS pos) q),
+b0 AS (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < {entries}),
+{", ".join(steps)},
+z AS ({assigned(f'b{rounds}')}),
+c AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(near % {entries} AS INTEGER)), '' ORDER BY pos) AS code, CAST(sum(near // {entries}) AS BIGINT) AS error FROM z GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY pos, entry)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op2_simhash_near_dedup": _OP2, "op4_document_fingerprints": _OP4, "op5_suffix_array_dedup": _OP5, "op8_chat_formatting": _op8(), "op9_source_mixing": _OP9, "op10_embedding_near_dedup": _OP10, "op11_periodic_runs": _OP11, "op12_vector_codes": _op12()}

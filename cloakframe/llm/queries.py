@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import bottomk, chat_format, embedding_dedup, html_extract, mixing, packing, sentence_spans, simhash, suffix_dedup, toxicity
+from cloakframe.llm import bottomk, byte_bpe, chat_format, embedding_dedup, html_extract, mixing, packing, sentence_spans, simhash, suffix_dedup, toxicity, vector_codes, word_runs
 from cloakframe.llm.oracles import ORACLES
 
 
@@ -67,6 +67,34 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.find_runs(word_runs.with_planted_periods(_read(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", word_runs.greatest(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+    coded = coded.select("vec_id", "label", vector_codes.hex_codes(F.col("codes")).alias("code"), "error")
+    return vector_codes.with_label_errors(coded).withColumn("codebooks_sha256", F.lit(vector_codes.books_digest(books)))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    decoded = byte_bpe.decode(byte_bpe.encode(_read(spark, sf_dir, "documents"), ranks), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -78,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_source_mixing": op9_source_mixing,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_path"]
