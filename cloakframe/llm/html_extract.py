@@ -2,7 +2,7 @@
 
 A page is parsed to its leaf blocks: runs of text inside the innermost block elements, in
 page order, with character references decoded and white space made even.  Scripts,
-styles and comments give no block.  Each block has features of its ancestor tags, of
+styles and comments give no block.  Each block has features of all its ancestors' tags, of
 their class, id and role words, and of its own text and its neighbours'; the field tags
 it as main text or not, and Viterbi decoding takes the most probable labels of a page.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -45,8 +45,6 @@ BLOCK = frozenset(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that an implied end does not reach beyond.
 SCOPE = frozenset("ul ol dl table html body".split())
-#: Ancestors that features look at, from the block outwards.
-DEPTH = 12
 SEED = 11
 #: Elements that a paragraph does not end beyond.
 _P_SCOPE = SCOPE | {"td", "th", "button"}
@@ -55,20 +53,24 @@ _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 
 
-Block = tuple[tuple[tuple[str, tuple[str, ...]], ...], str, int]
+#: Innermost block element and feature names of all ancestors, text, letters inside links.
+Block = tuple[tuple[str, frozenset[str]], str, int]
 
 
 class _Blocks(HTMLParser):
-    """Collects (ancestors, text, letters inside links) of leaf blocks from a page fed at once.
+    """Collects the leaf blocks of a page fed at once.
 
-    Ancestors are the last DEPTH open elements, with the innermost block element before
-    them if it lies further out.  Open elements are found by name, so a page takes time
-    and memory in proportion to its length, however deep it nests.
+    Each open element holds the feature names of itself and all elements around it, and
+    shares them with the one outside where it adds none.  ``known`` leaves out names that
+    the field has no weight for, so there are only so many sets that differ on a way inwards.  Open
+    elements are found by name, so a page takes time and memory in proportion to its
+    length, however deep it nests.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, known: Collection[str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.known = known
+        self.stack: list[tuple[str, frozenset[str]]] = []
         self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.outer: list[int] = []
         self.found: list[Block] = []
@@ -108,10 +110,8 @@ class _Blocks(HTMLParser):
         if self.text:
             t = _SPACE.sub(" ", "".join(self.text)).strip()
             if t:
-                near = self.stack[-DEPTH:]
-                if self.outer and self.outer[-1] < len(self.stack) - DEPTH:
-                    near.insert(0, self.stack[self.outer[-1]])
-                self.found.append((tuple(near), t, self.linked))
+                own = self.stack[self.outer[-1]][0] if self.outer else "none"
+                self.found.append(((own, self.stack[-1][1] if self.stack else frozenset()), t, self.linked))
         self.text, self.linked = [], 0
 
     def _innermost(self, names: set[str] | frozenset[str]) -> int:
@@ -153,7 +153,9 @@ class _Blocks(HTMLParser):
         if tag in BLOCK:
             self.outer.append(len(self.stack))
         self.places[tag].append(len(self.stack))
-        self.stack.append((tag, tuple(dict.fromkeys(words))))
+        around = self.stack[-1][1] if self.stack else frozenset()
+        new = {x for x in (f"in={tag}", *(f"w={w}" for w in words)) if x not in around and (self.known is None or x in self.known)}
+        self.stack.append((tag, around | new if new else around))
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -172,9 +174,9 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks(html: str) -> list[Block]:
-    """Leaf blocks of a page in order: (ancestors, text, letters inside links)."""
-    p = _Blocks()
+def blocks(html: str, known: Collection[str] | None = None) -> list[Block]:
+    """Leaf blocks of a page in order, with those names of their ancestors that are ``known``."""
+    p = _Blocks(known)
     p.feed(html)
     p.close()
     p.flush()
@@ -199,15 +201,11 @@ def _shape(text: str) -> list[str]:
 def features(found: list[Block]) -> Iterator[list[str]]:
     """Feature names of each block, one after another."""
     shapes = [_shape(t) for _, t, _ in found]
-    own_tags = [next((t for t, _ in reversed(a) if t in BLOCK), "none") for a, _, _ in found]
-    for i, (ancestors, text, linked) in enumerate(found):
+    own_tags = [own for (own, _), _, _ in found]
+    for i, ((_, names), text, linked) in enumerate(found):
         f = [f"own={own_tags[i]}", *(f"s={x}" for x in shapes[i]), f"tag={own_tags[i]}&len{min(8, len(text).bit_length())}"]
         share = linked / max(1, len(text))
         f.append("linked" if share > 0.6 else "some links" if share > 0.15 else "unlinked")
-        names: set[str] = set()
-        for tag, words in ancestors[-DEPTH:]:
-            names.add(f"in={tag}")
-            names.update(f"w={w}" for w in words)
         f += sorted(names)
         f.append(f"before={own_tags[i - 1]}" if i else "first")
         f.append(f"after={own_tags[i + 1]}" if i + 1 < len(found) else "last")
@@ -423,7 +421,7 @@ def train(n: int = 800, seed: int = SEED) -> crf.Model:
 
 def main_text(pages: list[str], model: crf.Model) -> list[str]:
     """Main text of each page: its main blocks, joined by empty lines."""
-    found = [blocks(p) for p in pages]
+    found = [blocks(p, model.weights) for p in pages]
     get = model.weights.get
     scores = [np.array([model.bias + sum(get(f, 0.0) for f in fs) for fs in features(b)]) for b in found]
     lengths = np.array([len(s) for s in scores], np.int64)

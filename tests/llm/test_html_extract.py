@@ -17,7 +17,8 @@ def test_blocks():
       three&amp;&nbsp;four<br>five<p>six<ul><li>a<li>b <a href=x>link</a></ul></div>tail<!-- <p>gone</p> --></body>"""
     assert [t for _, t, _ in he.blocks(html)] == ["before", "one two three& four five", "six", "a", "b link", "tail"]
     assert he.blocks(html)[4][2] == len("link")
-    assert [t for t, _ in he.blocks(html)[3][0]][-2:] == ["ul", "li"]
+    own, names = he.blocks(html)[3][0]
+    assert own == "li" and names == {"in=html", "in=body", "in=div", "in=ul", "in=li"}
     for broken in ("", "<", "<p", "</p></div>", "&#xZZ;", "<p>a<table><tr><td>b<td>c</table>d", "<![CDATA[x]]>", "<style>p{", "<!--"):
         he.blocks(broken)
 
@@ -70,12 +71,29 @@ def test_deep_and_broken_pages_are_linear(page, n):
     began = time.time()
     found = he.blocks(page)
     assert time.time() - began < 8 and len(found) == n
-    assert all(len(a) <= he.DEPTH + 1 for a, _, _ in found)
 
 
-def test_ancestors_hold_the_innermost_block():
-    ancestors = he.blocks("<section>" + "<b>" * 30 + "x")[0][0]
-    assert ancestors[0][0] == "section" and [t for t, _ in ancestors[1:]] == ["b"] * he.DEPTH
+def test_all_ancestors_count_however_far_out():
+    own, names = he.blocks("<article class='post x'><section>" + "<b>" * 300 + "x")[0][0]
+    assert own == "section" and names == {"in=article", "w=post", "w=x", "in=section", "in=b"}
+    assert he.blocks("<article class='post x'><b>y", {"in=article", "w=post"})[0][0][1] == {"in=article", "w=post"}
+    # words without a weight are not gathered on the way inwards
+    began = time.time()
+    assert len(he.blocks("".join(f"<div class='{'abcdefghij'[k % 10] * (k % 500)}'>z" for k in range(50_000)), {"in=div"})) == 50_000
+    assert time.time() - began < 8
+
+
+PARAGRAPHS = ["The river rose by two metres in one night.", "Most houses near the bridge were empty by then.", "The council will meet again on Tuesday to talk about a new wall.", "Nobody knows yet what it will cost.", "Volunteers carried sand until the morning came."]
+
+
+@pytest.mark.parametrize("deep", [0, 5, 11, 15, 30, 80])
+def test_deep_layouts(model, deep):
+    o, c = "<div>" * deep, "</div>" * deep
+    nav = f'<nav>{o}<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul>{c}</nav>'
+    aside = f'<aside class="sidebar">{o}<h3>Most read</h3><p><a href="/1">Council votes on bridge</a></p><p>Send us your own pictures of the river today.</p>{c}</aside>'
+    article = f"<article>{o}" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS) + f"{c}</article>"
+    page = f'<html><body>{nav}{article}{aside}<footer>{o}<p>&copy; River Post. All rights reserved.</p>{c}</footer></body></html>'
+    assert he.main_text([page], model)[0].split("\n\n") == PARAGRAPHS
 
 
 # Pages written by hand, main blocks marked by a star.
