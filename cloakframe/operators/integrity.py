@@ -136,8 +136,21 @@ def checks() -> dict[str, dict[str, Column]]:
         " or (status = 'CANCELLED' and started_at is not null and finished_at is not null)"
     )
     confidence = (c("confidence") >= 0) & (c("confidence") <= 1) & ~F.isnan("confidence")
+    times = c("updated_at") >= c("created_at")
+    said = lambda x: F.length(F.trim(x)) > 0
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
     return {
-        "documents": {"page count": c("page_count").isNull() | (c("page_count") >= 1), "parse status": c("parse_status").isin(*S.PARSE_STATUS)},
+        "matters": {"status": c("status").isin(*S.MATTER_STATUS), "times": times},
+        "protected_values": {"type": c("value_type").isin(*S.VALUE_TYPE), "policy": c("restore_policy").isin(*S.RESTORE_POLICY), "token": c("public_token").isNull() | said("public_token"), "fingerprint": F.length("fingerprint") > 0},
+        "entity_aliases": {"alias": said("alias"), "type": c("alias_type").isin(*S.ALIAS_TYPE)},
+        "entity_protected_values": {"type": said("relationship_type"), "confidence": confidence},
+        "entity_relationships": {"type": said("relation_type"), "confidence": confidence},
+        "resolution_candidates": {"score": finite("score"), "state": c("state").isin(*S.CANDIDATE_STATE)},
+        "resolution_evidence": {"type": said("evidence_type"), "weight": finite("weight"), "score": finite("score")},
+        "resolution_events": {"type": c("event_type").isin(*S.EVENT_TYPE), "actor": c("actor").isin(*S.ACTOR)},
+        "sanitized_documents": {"created": c("created_at") >= 0},
+        "sanitized_blocks": {"created": c("created_at") >= 0, "text": F.length("text_cipher") > 0},
+        "documents": {"page count": c("page_count").isNull() | (c("page_count") >= 1), "parse status": c("parse_status").isin(*S.PARSE_STATUS), "times": times},
         "document_pages": {"page number": c("page_no") >= 1, "size": (c("original_width") > 0) & (c("original_height") > 0), "source type": c("source_type").isin(*S.SOURCE_TYPE)},
         "document_blocks": {"box": _box(), "confidence": c("confidence").isNull() | confidence, "reading order": c("reading_order") >= 0},
         "mentions": {
@@ -146,7 +159,7 @@ def checks() -> dict[str, dict[str, Column]]:
             "type": c("mention_type").isin(*S.MENTION_TYPE),
             "box": F.expr("x is null and y is null and width is null and height is null") | F.coalesce(_box(), F.lit(False)),
         },
-        "entities": {"type": c("entity_type").isin(*S.ENTITY_TYPE), "status": c("status").isin(*S.ENTITY_STATUS)},
+        "entities": {"type": c("entity_type").isin(*S.ENTITY_TYPE), "status": c("status").isin(*S.ENTITY_STATUS), "times": times, "confidence": c("resolution_confidence").isNull() | ((c("resolution_confidence") >= 0) & (c("resolution_confidence") <= 1))},
         "entity_constraints": {"one entity twice": c("entity_a_id") != c("entity_b_id"), "pair order": c("entity_a_id") < c("entity_b_id")},
         "processing_jobs": {
             "progress": (c("progress") >= 0) & (c("progress") <= 1),
@@ -155,15 +168,16 @@ def checks() -> dict[str, dict[str, Column]]:
             "times": F.expr("started_at is null or (started_at >= created_at and (finished_at is null or finished_at >= started_at))"),
             "life cycle": F.expr(life),
         },
-        "sanitization_mappings": {"policy": c("restore_policy").isin(*S.RESTORE_POLICY)},
+        "sanitization_mappings": {"policy": c("restore_policy").isin(*S.RESTORE_POLICY), "token": said("public_token"), "alias": said("alias")},
     }
 
 
 def check_rows(df: DataFrame, table: str) -> DataFrame:
     """Rows that break rules of single rows, in one scan: each broken rule is a row."""
     rules = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks()[table].items()])
-    broken = df.select("id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
-    return broken.select(F.lit(table).alias("table"), F.col("id").cast("string").alias("id"), "rule")
+    key = F.col("id") if "id" in df.columns else F.concat_ws("|", *df.columns[:2])
+    broken = df.select(key.cast("string").alias("id"), F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
+    return broken.select(F.lit(table).alias("table"), "id", "rule")
 
 
 def page_sequence(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -192,7 +206,6 @@ def artifact_scope(documents: DataFrame, blocks: DataFrame, maps: DataFrame, sou
     """
     jobs = source["processing_jobs"].filter("job_type = 'SANITIZE'")
     of = {"document_id": "document_id"}
-    here = maps.join(source["mentions"].select(F.col("id").alias("mention_id"), F.col("document_id").alias("document_id")), "mention_id")
     return union(
         [
             missing_reference(documents, "document_id", source["documents"], "sanitized_documents", {"matter_id": "matter_id"}),
@@ -201,11 +214,17 @@ def artifact_scope(documents: DataFrame, blocks: DataFrame, maps: DataFrame, sou
             missing_reference(blocks, "sanitized_document_id", documents, "sanitized_blocks", of),
             missing_reference(maps, "mention_id", source["mentions"], "sanitization_mappings", {"matter_id": "matter_id"}),
             missing_reference(maps, "entity_id", source["entities"], "sanitization_mappings", {"matter_id": "matter_id"}),
-            missing_reference(here, "sanitized_document_id", documents, "sanitization_mappings", of),
+            foreign_mappings(maps, source["mentions"], documents),
         ]
     )
 
 
+def foreign_mappings(maps: DataFrame, mentions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Mappings whose mention is one of another document than their sanitized document's."""
+    here = maps.join(mentions.select(F.col("id").alias("mention_id"), F.col("document_id").alias("document_id")), "mention_id")
+    return missing_reference(here, "sanitized_document_id", documents, "sanitization_mappings", {"document_id": "document_id"})
+
+
 def commit_violations(old: Callable[[str], DataFrame], new: Callable[[str], DataFrame], added: dict[str, DataFrame], replaced: set[str]) -> DataFrame | None:
     """What a commit would break: (table, id, rule).
 
@@ -243,6 +262,8 @@ def commit_violations(old: Callable[[str], DataFrame], new: Callable[[str], Data
     if "sanitized_documents" in added:
         jobs = new("processing_jobs").filter("job_type = 'SANITIZE'")
         parts.append(missing_reference(added["sanitized_documents"], "job_id", jobs, "sanitized_documents", {"document_id": "document_id"}))
+    if "sanitization_mappings" in added:
+        parts.append(foreign_mappings(added["sanitization_mappings"], new("mentions"), new("sanitized_documents")))
     if "mentions" in replaced:
         was = old("mentions").select("id", F.col("entity_id").alias("_was"))
         moved = new("mentions").join(was, "id").filter("entity_id is not null and not (entity_id <=> _was)")

@@ -7,7 +7,10 @@ or leaves the documents FAILED with the error in their jobs.  A failed document
 taken up again only by the stage that failed.  Each commit writes the touched matters
 only, is checked by the integrity rules, and is refused if another writer was faster.
 
-Texts and values are stored in envelopes.  ``clock`` gives milliseconds and ``new_id`` ids
+Texts and values are stored in envelopes.  Checkpoints, which cut lineage, hold rows as they
+are; columns with texts or values are sealed before one and opened behind it, and a stage
+deletes its checkpoints when it has committed.  A cluster has to encrypt what it shuffles
+and spills (spark.io.encryption.enabled).  ``clock`` gives milliseconds and ``new_id`` ids
 of single rows; ids and tokens of many rows are random and settled before they are used.
 """
 
@@ -17,8 +20,9 @@ import re
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import security as S
@@ -29,9 +33,10 @@ from cloakframe.operators import integrity as I
 from cloakframe.operators import resolve as R
 from cloakframe.operators import review as V
 from cloakframe.operators import sanitize as SZ
+from cloakframe.operators.levels import levels
 from cloakframe.schemas import ALGORITHM_VERSION, TABLES
 from cloakframe.sources import files
-from cloakframe.sources.store import COMMON, Store, settled
+from cloakframe.sources.store import COMMON, Store, passing, settled
 
 # Limits of requests.
 MAX_ID, MAX_NAME, MAX_REASON, MAX_TEXT = 64, 200, 500, 1_000_000
@@ -69,9 +74,23 @@ def _checked(value: str, most: int, what: str) -> str:
     return value
 
 
+def _clearing(request: Callable) -> Callable:
+    """A request whose checkpoints go with its end; it returns no frame that reads them."""
+
+    @wraps(request)
+    def run(self, *args, **more):
+        with passing(self.spark):
+            return request(self, *args, **more)
+
+    return run
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, persistence_key: str, search_key: str, clock: Callable[[], int] | None = None, new_id: Callable[[], str] = S.uuid7) -> None:
         S.check_keys(persistence_key, search_key)
+        sc = spark.sparkContext
+        if not (sc.master == "local" or sc.master.startswith("local[")) and sc.getConf().get("spark.io.encryption.enabled", "false").lower() != "true":
+            raise EngineError("UNSAFE_SESSION", "spark.io.encryption.enabled must be set, as shuffles carry texts")
         self.spark, self.store = spark, Store(spark, root)
         self._persistence, self._search = persistence_key, search_key
         self.clock = clock or (lambda: time.time_ns() // 1_000_000)
@@ -88,6 +107,15 @@ class Engine:
     def _open(self, envelope: Column, row_id: Column, field: str) -> Column:
         return S.opened(envelope, self._key(), S.context(row_id, field)).cast("string")
 
+    def _settled(self, df: DataFrame, *secret: str) -> DataFrame:
+        """``df`` cut by a checkpoint in which the columns ``secret`` are sealed."""
+        kinds = {c: df.schema[c].dataType for c in secret}
+        plain = lambda c: F.col(c) if kinds[c].typeName() == "string" else F.to_json(c)
+        hidden = df.withColumns({c: F.aes_encrypt(plain(c), self._key()) for c in secret})
+        back = {c: F.aes_decrypt(c, self._key()).cast("string") for c in secret}
+        out = settled(hidden)
+        return out.withColumns({c: back[c] if kinds[c].typeName() == "string" else F.from_json(back[c], kinds[c]) for c in secret})
+
     def _row(self, table: str, scope: str, **values) -> DataFrame:
         full = {f.name: values.get(f.name) for f in TABLES[table].fields}
         return self.spark.createDataFrame([tuple(full.values())], TABLES[table]).withColumn("scope", F.lit(scope))
@@ -97,7 +125,7 @@ class Engine:
 
     def _one(self, table: str, row_id: str, what: str):
         """A row of any matter by its id."""
-        row = self.store.read(table).filter(F.col("id") == _checked(row_id, MAX_ID, f"{what} id")).first()
+        row = self.store.find(table, "id", [_checked(row_id, MAX_ID, f"{what} id")]).first()
         if row is None:
             raise EngineError("NOT_FOUND", f"no such {what}")
         return row
@@ -120,12 +148,12 @@ class Engine:
         """Imports files below ``path``; one whose content the matter has already is refused."""
         _checked(matter_id, MAX_ID, "matter id")
         base = self.store.version()
-        if self.store.read("matters").filter(F.col("id") == matter_id).isEmpty():
+        if self.store.find("matters", "id", [matter_id]).isEmpty():
             raise EngineError("NOT_FOUND", "no such matter")
         now = self.clock()
-        found = settled(files.inspect(self.spark, path).dropDuplicates(["file_hash"]).withColumn("id", S.row_id(F.lit(now))))
+        found = self._settled(files.inspect(self.spark, path).dropDuplicates(["file_hash"]).withColumn("id", S.row_id(F.lit(now))), "original_name", "source_path")
         old = self.store.read("documents", [matter_id]).select("file_hash")
-        if not found.join(old, "file_hash", "left_semi").isEmpty():
+        if not found.select("file_hash").join(old, "file_hash", "left_semi").isEmpty():
             raise EngineError("DUPLICATE_DOCUMENT", "the matter has this content already")
         rows = found.select(
             "id",
@@ -160,7 +188,7 @@ class Engine:
         for i in ids:
             _checked(i, MAX_ID, "document id")
         asked = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
-        d = settled(asked.join(self.store.read("documents"), "id", "left"))
+        d = settled(asked.join(self.store.find("documents", "id", ids), "id", "left"))
         scopes = [r.matter_id for r in d.filter("matter_id is not null").select("matter_id").distinct().collect()]
         of = lambda t: self.store.read(t, scopes).join(asked.withColumnRenamed("id", "document_id"), "document_id", "left_semi")
         d = d.join(V.retryable(d, of("processing_jobs")).select("id", F.col("job_type").alias("_failed")), "id", "left")
@@ -198,6 +226,7 @@ class Engine:
         }
         return settled(j.select(*[F.when(mine, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in TABLES["processing_jobs"].names], "scope"))
 
+    @_clearing
     def _stage(self, kind: str, ids: Sequence[str], work: Callable[[DataFrame, list[str], int], tuple], parser: str | None = None) -> dict[str, str]:
         """Run a stage on documents; the codes of those it could not do.
 
@@ -249,7 +278,7 @@ class Engine:
             doc = self.store.read("documents", scopes).filter(F.col("id") == document_id)
             doc = doc.select("file_hash", "matter_id", self._open(F.col("source_path_cipher"), F.col("id"), "document.sourcePath").alias("path")).first()
             unchanged(doc.path, doc.file_hash)
-            raw = settled(source.pages(self.spark, doc.path))
+            raw = self._settled(source.pages(self.spark, doc.path), "path", "items")
             pages = settled(raw.select("page_no", "original_width", "original_height", "rotation", files.page_source_type(F.exists("items", lambda i: (i["kind"] == "text") & (F.trim(i["text"]) != "")), F.exists("items", lambda i: i["kind"] == "image")).alias("source_type")).withColumn("id", S.row_id(F.lit(now))))
             n = pages.count()
             here = [F.lit(document_id).alias("document_id"), F.lit(doc.matter_id).alias("scope"), F.lit(now).alias("created_at")]
@@ -258,7 +287,7 @@ class Engine:
             if n < 1 or not I.page_sequence(counted, rows).isEmpty():
                 raise EngineError("INCOMPLETE_PAGES", "the pages are not complete")
             b = files.page_blocks(raw).filter("reading_order is not null").join(pages.select("page_no", F.col("id").alias("page_id")), "page_no").withColumn("id", S.row_id(F.lit(now)))
-            b = settled(b).select("id", "page_id", F.lit("TEXT").alias("block_type"), self._seal(F.col("text"), F.col("id"), "documentBlock.text").alias("text_cipher"), F.lit("NATIVE").alias("source"), F.lit(None).alias("confidence"), "x", "y", "width", "height", "reading_order", *here)
+            b = self._settled(b, "path", "text").select("id", "page_id", F.lit("TEXT").alias("block_type"), self._seal(F.col("text"), F.col("id"), "documentBlock.text").alias("text_cipher"), F.lit("NATIVE").alias("source"), F.lit(None).alias("confidence"), "x", "y", "width", "height", "reading_order", *here)
             unchanged(doc.path, doc.file_hash)
             return {"document_pages": rows, "document_blocks": settled(b)}, {}, None, {"page_count": counted}
 
@@ -283,7 +312,7 @@ class Engine:
         """DETECT: mentions that the rules, and a detector of one's own, find; done once.  Codes of documents not done."""
 
         def work(batch: DataFrame, scopes: list[str], now: int) -> tuple:
-            blocks = settled(self._blocks(batch, scopes).filter(D.bounded("document_id", "page_id", "block_id")))
+            blocks = self._settled(self._blocks(batch, scopes).filter(D.bounded("document_id", "page_id", "block_id")), "text")
             found = D.detect(blocks, rules).select("block_id", "mention_type", "mention_strength", "start_cp", "end_cp", "detector", "confidence")
             if detector is not None:
                 found = D.detect_with(blocks, detector)
@@ -292,7 +321,7 @@ class Engine:
             found = found.join(blocks, "block_id").join(batch.select(F.col("id").alias("document_id"), "matter_id"), "document_id")
             units = lambda k: D.spans.utf16_length(F.substring("text", F.lit(1), F.col(k)))
             found = found.withColumns({"start_offset": units("start_cp"), "end_offset": units("end_cp"), "value": D.spans.span_text("text", F.col("start_cp"), F.col("end_cp"))})
-            found = settled(found.withColumn("id", S.row_id(F.lit(now))))
+            found = self._settled(found.drop("text").withColumn("id", S.row_id(F.lit(now))), "value")
             m = found.select(
                 "id",
                 "matter_id",
@@ -328,15 +357,15 @@ class Engine:
             read = lambda t: self.store.read(t, scopes)
             values = read("protected_values").withColumn("fingerprint", F.lower(F.hex("fingerprint")))
             links, entities, aliases, constraints = (read(t) for t in ("entity_protected_values", "entities", "entity_aliases", "entity_constraints"))
-            m = settled(R.with_values(self._mentions(batch, scopes).drop("fingerprint"), self._search, day))
-            planned = settled(R.plan_values(m).withColumn("id", S.row_id(F.lit(now))))
+            m = self._settled(R.with_values(self._mentions(batch, scopes).drop("fingerprint"), self._search, day), "value", "normalized")
+            planned = self._settled(R.plan_values(m).withColumn("id", S.row_id(F.lit(now))), "value")
             keys = ["matter_id", "value_type", "fingerprint"]
-            upsert = settled(R.upsert_values(planned, values).join(planned.select(*keys, "value"), keys))
-            m = settled(m.drop("protected_value_id").join(upsert.select(*keys, F.col("id").alias("protected_value_id")), keys, "left"))
+            upsert = self._settled(R.upsert_values(planned, values).join(planned.select(*keys, "value"), keys), "value")
+            m = self._settled(m.drop("protected_value_id").join(upsert.select(*keys, F.col("id").alias("protected_value_id")), keys, "left"), "value", "normalized")
             letter = choose(F.col("value_type"), S.VALUE_LETTERS)
             new_values = upsert.filter("not existed").select("id", "matter_id", "value_type", self._seal(F.col("value"), F.col("id"), "protectedValue.value").alias("value_cipher"), F.unhex("fingerprint").alias("fingerprint"), S.token(letter, S.random_hex()).alias("public_token"), F.lit("ALWAYS_RESTORE").alias("restore_policy"), F.lit(now).alias("created_at"))
             open_, no, yes = m.filter("entity_id is null"), F.lit(False), F.lit(True)
-            ident = R.identifier_candidates(open_, values, links, entities).drop("protected_value_id").withColumns({"shares": yes, "name_exact": no})
+            ident = settled(R.identifier_candidates(open_, values, links, entities).drop("protected_value_id").withColumns({"shares": yes, "name_exact": no}))
             names = settled(R.name_candidates(open_, entities, aliases, values, links).withColumns({"shares": no, "name_exact": yes}))
             hit = R.id_conflicts(names, m, values, links).withColumn("conflicts", yes)
             flagged = R.constraint_flags(ident, constraints).withColumn("conflicts", no)
@@ -366,21 +395,40 @@ class Engine:
         return work
 
     def documents_resolve(self, ids: Sequence[str], as_of: str | None = None) -> dict[str, str]:
-        """RESOLVE in rounds: the oldest document of each matter first, so that each sees what the ones before made.
+        """RESOLVE in rounds, so that each document sees what older ones of its matter made.
 
-        A round is one job over all matters.  Codes of documents not done.
+        Documents that share no fingerprint and no candidate entity see nothing of one another
+        and go in one round, those that do by their levels; a round is one job over all
+        matters.  Codes of documents not done.
         """
         day = F.current_date() if as_of is None else F.lit(as_of).cast("date")
-        asked = self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
-        age = Window.partitionBy("matter_id").orderBy("created_at", "id")
         rounds: dict[int, list[str]] = {}
-        for r in asked.join(self.store.read("documents"), "id", "left").select("id", F.row_number().over(age).alias("k"), "matter_id").collect():  # the ids asked for
-            rounds.setdefault(r.k if r.matter_id else 1, []).append(r.id)
+        for i, level in self._levels(list(dict.fromkeys(ids)), day).items():
+            rounds.setdefault(level, []).append(i)
         out: dict[str, str] = {}
         for k in sorted(rounds):
             out |= self._stage("RESOLVE", rounds[k], self._resolve(day))
         return out
 
+    @_clearing
+    def _levels(self, ids: list[str], day: Column) -> dict[str, int]:
+        """Level of each document asked for; 1 where it is not known."""
+        if len(ids) < 2:
+            return dict.fromkeys(ids, 1)
+        d = settled(self.store.find("documents", "id", ids).select("id", "matter_id", "created_at"))
+        scopes = [r.matter_id for r in d.select("matter_id").distinct().collect()]
+        read = lambda t: self.store.read(t, scopes)
+        m = R.with_values(self._mentions(d, scopes).drop("fingerprint"), self._search, day).filter("entity_id is null or fingerprint is not null")
+        values = read("protected_values").withColumn("fingerprint", F.lower(F.hex("fingerprint")))
+        open_, links, entities = m.filter("entity_id is null"), read("entity_protected_values"), read("entities")
+        met = R.identifier_candidates(open_, values, links, entities).select("matter_id", "document_id", "entity_id")
+        met = met.union(R.name_candidates(open_, entities, read("entity_aliases"), values, links).select("matter_id", "document_id", "entity_id"))
+        keys = m.select("matter_id", "document_id", F.concat_ws(":", "value_type", "fingerprint").alias("key"), "fingerprint").filter("fingerprint is not null").drop("fingerprint")
+        keys = keys.union(met.select("matter_id", "document_id", F.concat(F.lit("entity:"), "entity_id")))
+        keys = settled(keys.distinct())
+        found = levels(keys.join(d.select(F.col("id").alias("document_id"), "created_at"), "document_id"))
+        return dict.fromkeys(ids, 1) | {r.document_id: r.level for r in found.collect()}  # the ids asked for
+
     def document_resolve(self, document_id: str, as_of: str | None = None) -> None:
         for code in self.documents_resolve([document_id], as_of).values():
             if code != "DONE":
@@ -439,11 +487,12 @@ class Engine:
         closed = V.close_candidates(self.store.read("resolution_candidates", scope), done, F.lit(now)).withColumn("scope", here)
         return {"entity_protected_values": settled(links), "resolution_events": event}, {"mentions": settled(mentions), "resolution_candidates": settled(closed)}
 
+    @_clearing
     def review_assign(self, mention_id: str, entity_id: str) -> dict:
         """A user's decision: assigns, records the event, links the value and closes the candidates."""
         base, now = self.store.version(), self.clock()
         mine = self._one("mentions", mention_id, "mention")
-        target = self.store.read("entities").filter(F.col("id") == _checked(entity_id, MAX_ID, "entity id"))
+        target = self.store.find("entities", "id", [_checked(entity_id, MAX_ID, "entity id")])
         append, replace = self._assignment(mine, target, entity_id, now)
         append["resolution_events"] = self._events(append["resolution_events"], "USER", now)
         self._commit(base, append, replace, [mine.matter_id])
@@ -463,6 +512,7 @@ class Engine:
         event = self.spark.createDataFrame([(matter_id, "ENTITY_CREATED", i, None)], "matter_id string, event_type string, entity_id string, mention_id string")
         return i, {"entities": entity, "entity_aliases": name, "resolution_events": event}
 
+    @_clearing
     def create_entity(self, matter_id: str, entity_type: str, alias: str) -> str:
         """An entity with its primary alias and its event."""
         base, now = self.store.version(), self.clock()
@@ -470,6 +520,7 @@ class Engine:
         self._commit(base, rows | {"resolution_events": self._events(rows["resolution_events"], "USER", now)})
         return i
 
+    @_clearing
     def review_create_entity_and_assign(self, mention_id: str, entity_type: str, alias: str) -> dict:
         """Both in one commit: a refused assignment leaves no entity."""
         base, now = self.store.version(), self.clock()
@@ -480,6 +531,7 @@ class Engine:
         self._commit(base, rows | append | {"resolution_events": self._events(events, "USER", now)}, replace, [mine.matter_id])
         return self.review_confirm(mention_id)
 
+    @_clearing
     def merge_entities(self, source_id: str, target_id: str) -> None:
         """The source redirects to the target; both must be active ones of one matter."""
         base, now = self.store.version(), self.clock()
@@ -491,6 +543,7 @@ class Engine:
         event = self.spark.createDataFrame([(source.matter_id, "ENTITY_MERGED", source_id, None)], "matter_id string, event_type string, entity_id string, mention_id string")
         self._commit(base, {"resolution_events": self._events(event, "USER", now)}, {"entities": merged}, [source.matter_id])
 
+    @_clearing
     def review_add_constraint(self, matter_id: str, entity_a: str, entity_b: str, kind: str, reason: str) -> str:
         """A user's constraint on two active entities of a matter, in the order of their ids."""
         _checked(reason, MAX_REASON, "reason")
@@ -537,8 +590,8 @@ class Engine:
         """SANITIZE: all blocks of a document or none; codes of documents that failed or were refused."""
 
         def work(batch: DataFrame, scopes: list[str], now: int) -> tuple:
-            context, blocks = settled(self._context(batch, scopes)), settled(self._blocks(batch, scopes))
-            done = settled(SZ.sanitize_blocks(blocks, context).withColumn("id", S.row_id(F.lit(now))))
+            context, blocks = self._settled(self._context(batch, scopes), "value"), self._settled(self._blocks(batch, scopes), "text")
+            done = self._settled(SZ.sanitize_blocks(blocks, context).withColumn("id", S.row_id(F.lit(now))), "sanitized")
             errors = SZ.document_errors(done).withColumnRenamed("document_id", "id")
             gaps = SZ.coverage_gaps(blocks.select("document_id", "block_id"), done.select("document_id", "block_id"), ["document_id", "block_id"])
             sound = context.join(errors.select(F.col("id").alias("document_id")), "document_id", "left_anti")
@@ -565,7 +618,7 @@ class Engine:
         """``text`` with tokens of the document restored where their policy allows it, and the tokens left."""
         if len(text) > MAX_TEXT:
             raise EngineError("INVALID_REQUEST", "the text is too long")
-        found = self.store.read("sanitized_documents").filter(F.col("id") == _checked(sanitized_document_id, MAX_ID, "id")).first()
+        found = self.store.find("sanitized_documents", "id", [_checked(sanitized_document_id, MAX_ID, "id")]).first()
         scope = [found.matter_id] if found else []
         m = self.store.read("sanitization_mappings", scope).filter(F.col("sanitized_document_id") == sanitized_document_id)
         vault = SZ.mapping_source(m, self.store.read("mentions", scope), self.store.read("protected_values", scope)).withColumn("document_id", F.col("sanitized_document_id"))

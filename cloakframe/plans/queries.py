@@ -545,6 +545,7 @@ def check_violations(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("double")
     frames = {t: view(spark, d, n) for t, n in v.items()}
     frames["mentions"] = frames["mentions"].withColumns({c: none for c in ("x", "y", "width", "height")})
+    frames["documents"] = frames["documents"].withColumn("updated_at", F.col("created_at"))
     return I.union([I.check_rows(f, t) for t, f in frames.items()])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ from cloakframe.operators import integrity as I
 from cloakframe.operators import resolve as RS
 from cloakframe.operators import review as V
 from cloakframe.operators import sanitize as SZ
+from cloakframe.operators.levels import levels
 from cloakframe.plans.derive import view
 from cloakframe.plans.queries import query
-from cloakframe.sources.store import guarded_update, settled
+from cloakframe.schemas import TABLES
+from cloakframe.sources.store import Store, guarded_update, settled, shared_folder
 from cloakframe.streaming import protocol
 
 # -- sanitizing of whole blocks, with several replacements each -----------------
@@ -325,3 +329,31 @@ def worker_events(spark: SparkSession, d: str) -> DataFrame:
     e = protocol.parse(protocol.serve(_requests(spark, d), pages, cancels))
     page = F.coalesce("page.pageNo", F.when(c("type") == "progress", c("pageNo")), "lastCompletedPage", F.when(c("type") == "completed", c("processedPages")))
     return e.select("jobId", "seq", "type", page.cast("int").alias("page"), "code")
+
+
+# -- lookups by key and levels of documents ---------------------------------------
+
+
+@query("SELECT id, matter_id, value_type, fingerprint, public_token FROM v_values WHERE id IN (SELECT protected_value_id FROM v_links) OR fingerprint IN (SELECT fingerprint FROM v_mentions WHERE mention_type = 'PHONE')")
+def keyed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Values that links name, and those with the fingerprint of a phone mention, by the index of a store."""
+    store = Store(spark, f"{shared_folder(spark)}/lookup-{uuid.uuid4().hex}")
+    v = view(spark, d, "v_values").withColumns({"value_cipher": F.unhex("fingerprint"), "fingerprint": F.unhex("fingerprint"), "restore_policy": F.lit("ALWAYS_RESTORE"), "created_at": F.lit(1)})
+    store.commit({"protected_values": v.select(*TABLES["protected_values"].names)})
+    by_id = store.lookup("protected_values", "id", view(spark, d, "v_links").select(F.col("protected_value_id").alias("key")))
+    phones = view(spark, d, "v_mentions").filter("mention_type = 'PHONE'").select(F.col("fingerprint").alias("key"))
+    found = by_id.union(store.lookup("protected_values", "fingerprint", phones)).dropDuplicates(["id"])
+    return found.select("id", "matter_id", "value_type", F.lower(F.hex("fingerprint")).alias("fingerprint"), "public_token")
+
+
+@query(
+    """SELECT matter_id, document_id, CAST(max(l) AS INTEGER) AS level FROM (
+  WITH RECURSIVE k AS (SELECT DISTINCT m.matter_id, m.document_id, d.created_at, concat(m.value_type, ':', m.fingerprint) AS key FROM v_mentions m JOIN v_documents d ON d.id = m.document_id WHERE m.fingerprint IS NOT NULL AND m.mention_type IN ('PHONE', 'EMAIL', 'ID_CARD')),
+  e AS (SELECT DISTINCT a.matter_id, a.document_id AS older, b.document_id AS younger FROM k a JOIN k b ON a.matter_id = b.matter_id AND a.key = b.key AND (a.created_at, a.document_id) < (b.created_at, b.document_id)),
+  r AS (SELECT DISTINCT matter_id, document_id, 1 AS l FROM k UNION SELECT e.matter_id, e.younger, r.l + 1 FROM r JOIN e ON e.older = r.document_id AND e.matter_id = r.matter_id)
+  SELECT * FROM r) q GROUP BY matter_id, document_id"""
+)
+def resolve_levels(spark: SparkSession, d: str) -> DataFrame:
+    docs = view(spark, d, "v_documents").select(F.col("id").alias("document_id"), "created_at")
+    m = view(spark, d, "v_mentions").filter("fingerprint is not null and mention_type in ('PHONE', 'EMAIL', 'ID_CARD')").join(docs.withColumnRenamed("created_at", "_at"), "document_id")
+    return levels(m.select("matter_id", "document_id", F.col("_at").alias("created_at"), F.concat_ws(":", "value_type", "fingerprint").alias("key")))

@@ -1,16 +1,14 @@
 """The worker protocol: JSON lines of requests and events, checked, routed and put together.
 
-All of it works on a batch of lines and on a stream of them alike; ``assemble_stream``
-keeps which pages of a job came until its last event.
+All of it works on a batch of lines and on a stream of them alike; what keeps state over a
+stream is in ``stateful``.
 """
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,11 +202,7 @@ def read_lines(spark: SparkSession, folder: str, stream: bool = True) -> DataFra
     return (spark.readStream if stream else spark.read).text(folder)
 
 
-def _seen(state: str) -> list[list[int]]:
-    return json.loads(state) if state else []
-
-
-def _add(ranges: list[list[int]], page: int) -> bool:
+def add_page(ranges: list[list[int]], page: int) -> bool:
     """Add a page to sorted ranges [first, last]; whether it is new."""
     for k, (lo, hi) in enumerate(ranges):
         if lo <= page <= hi:
@@ -226,41 +220,3 @@ def _add(ranges: list[list[int]], page: int) -> bool:
             return True
     ranges.append([page, page])
     return True
-
-
-def assemble_stream(events: DataFrame, seq: str = "seq") -> DataFrame:
-    """(jobId, kind, page_no, page, outcome, n_pages): each page as it comes, then the job's result.
-
-    State of a job is which pages came, as ranges, and whether one came twice; pages
-    themselves go straight through, and a reader takes those of jobs with a good result.
-    Events of a job in one batch are taken by ``seq`` where there is one.
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    order = F.col(seq).cast("long") if seq in events.columns else F.lit(0).cast("long")
-    slim = events.filter("valid").select("jobId", "type", order.alias("seq"), F.col("page.pageNo").alias("page_no"), F.to_json("page").alias("page"), "pageCount", "processedPages")
-    names = ["jobId", "kind", "page_no", "page", "outcome", "n_pages"]
-
-    def step(key: tuple[str], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        ranges, broken = (_seen(state.get[0]), state.get[1]) if state.exists else ([], False)
-        out, end = [], None
-        # a job's last event ends it after all its pages, however a batch's rows come
-        for r in sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: (r.type in TERMINAL, r.seq)):
-            if end is None and r.type == "page_result":
-                ids = [b["localId"] for b in json.loads(r.page).get("blocks", [])]
-                broken = not _add(ranges, int(r.page_no)) or len(set(ids)) < len(ids) or broken
-                out.append((key[0], "PAGE", int(r.page_no), r.page, None, None))
-            elif end is None and r.type in TERMINAL:
-                end = r
-        if end is None:
-            state.update((json.dumps(ranges), bool(broken)))
-        else:
-            if state.exists:
-                state.remove()
-            n = sum(hi - lo + 1 for lo, hi in ranges)
-            whole = end.type == "completed" and not broken and ranges == ([[1, n]] if n else []) and int(end.pageCount) == int(end.processedPages) == n
-            out.append((key[0], "RESULT", None, None, {"cancelled": "CANCELLED", "error": "FAILED"}.get(end.type, "COMPLETED" if whole else "INCOMPLETE"), n))
-        frame = pd.DataFrame(out, columns=names)
-        yield frame.astype({"page_no": "Int32", "n_pages": "Int32"})
-
-    return slim.groupBy("jobId").applyInPandasWithState(step, "jobId string, kind string, page_no int, page string, outcome string, n_pages int", "ranges string, broken boolean", "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,7 @@
 """A document's way from import to restored text, and what is refused on it."""
 
 import itertools
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,47 @@ def test_many_documents_at_once(engine, tmp_path):
     engine.merge_entities(twin, entity)
     assert engine.store.read("entities").filter(F.col("id") == twin).first().merged_into_entity_id == entity
     assert _code(engine.merge_entities, twin, entity) == "INVALID_REQUEST"
+
+
+def _holding(folder, *planted):
+    """Files below a folder that hold one of the planted texts, as they are or in UTF-16."""
+    marks = [x.encode(e) for x in planted for e in ("utf-8", "utf-16-le", "utf-16-be")]
+    return [f for f in folder.rglob("*") if f.is_file() and any(m in f.read_bytes() for m in marks)]
+
+
+def test_no_text_is_left_on_disk(engine, spark, tmp_path, monkeypatch):
+    from cloakframe.sources import store as stored
+
+    name, mail = "private-name.txt", "very.secret@example.test"
+    text = f"Holder {CARD} of {mail}."
+    folder = pathlib.Path(stored.shared_folder(spark).removeprefix("file:"))
+    kept, remove = [], stored._remove
+    monkeypatch.setattr(stored, "_remove", lambda spark, folders: kept.append(list(folders)))
+
+    def clean():
+        return not _holding(folder, CARD, mail, name) and not _holding(tmp_path / "store", CARD, mail, name)
+
+    m = engine.matter_create("Matter")
+    d = _imported(engine, tmp_path, m, name, "x")
+    assert clean()
+    steps = [lambda: engine.document_process(d, Text(text)), lambda: engine.document_detect(d), lambda: engine.document_resolve(d, "2024-10-27")]
+    for step in steps:
+        step()
+        assert clean()
+    mentions = engine.review_get_document(d)["mentions"].collect()
+    done = engine.review_create_entity_and_assign(mentions[0].id, "PERSON", "Plaintiff A")
+    engine.review_assign(mentions[1].id, done["entity_id"])
+    assert CARD not in engine.preview_generate(d)["blocks"].first().text and clean()
+    # each stage's checkpoints were handed over, and are gone once they are deleted
+    assert len(kept) >= 6
+    for folders in kept:
+        remove(spark, folders)
+    gone = [pathlib.Path(f.removeprefix("file:")) for folders in kept for f in folders]
+    assert len(gone) > 20 and not any(f.exists() for f in gone)
+
+
+def test_a_cluster_without_encryption_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://somewhere"))
+    with pytest.raises(EngineError) as e:
+        Engine(spark, f"file://{tmp_path}/store", "09" * 32, "07" * 32)
+    assert e.value.code == "UNSAFE_SESSION"

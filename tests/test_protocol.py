@@ -63,20 +63,6 @@ def test_results_and_routing(spark):
     assert problems == {("j1", None), ("j2", "WRONG_DOCUMENT"), *((f"j{k}", "UNKNOWN_JOB") for k in (3, 4, 5, 6))}
 
 
-def test_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    lines = _lines()
-    (tmp_path / "in" / "1.jsonl").write_text("\n".join(lines[:3]) + "\n")
-    (tmp_path / "in" / "2.jsonl").write_text("\n".join(lines[3:]) + "\n")
-    out = p.assemble_stream(p.parse(p.read_lines(spark, f"file://{tmp_path}/in")))
-    q = out.writeStream.format("memory").queryName("assembled").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    rows = spark.table("assembled").collect()
-    assert {r.jobId: r.outcome for r in rows if r.kind == "RESULT"} == WANT
-    assert sorted(r.page_no for r in rows if r.kind == "PAGE" and r.jobId == "j1") == [1, 2]
-    assert all(json.loads(r.page)["pageNo"] == r.page_no for r in rows if r.kind == "PAGE")
-
-
 def test_a_mismatch_fails_the_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.jsonl").write_text(_event("started") + "\n" + _event("started", "j9") + "\n")
