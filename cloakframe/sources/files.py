@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
+from typing import Any, BinaryIO, Protocol
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,35 @@ OTHER_TYPE = "application/octet-stream"
 PAGE = "path string, page_no int, original_width double, original_height double, rotation int, items array<struct<kind:string,text:string,x0:double,y0:double,x1:double,y1:double>>"
 
 
+#: Bytes that are read at once for a digest.
+CHUNK = 64 << 10
+#: Schemes whose files tasks can open piece by piece; others come as one value.
+OPENED = ("file", "hdfs", "s3", "s3a", "gs", "abfs", "abfss")
+#: Pages that one task reads.
+PAGES = 32
+
+
+def opened(path: str) -> BinaryIO:
+    """A file for reading at any place, by its path as Spark lists it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe=":/@"))
+    return system.open_input_file(inner)
+
+
+def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for path in b.column(0).to_pylist():
+            h = hashlib.sha256()
+            with opened(path) as f:
+                while piece := f.read(CHUNK):
+                    h.update(piece)
+            out.append(h.hexdigest())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], ["path", "length", "file_hash"])
+
+
 def media_type(path: Column) -> Column:
     ext = F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
     out = F.lit(OTHER_TYPE)
@@ -34,12 +67,22 @@ def media_type(path: Column) -> Column:
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """(source_path, original_name, file_hash, mime_type, byte_size) of files; paths of directories are read recursively."""
+    """(source_path, original_name, file_hash, mime_type, byte_size) of files; paths of directories are read recursively.
+
+    Spark lists the files, empty ones left out; tasks read them in pieces of ``CHUNK`` bytes, so that a file's
+    size is no matter.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select(
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().getScheme()
+    if scheme in OPENED:
+        listed = f.select("path", "length").mapInArrow(_digests, "path string, length long, file_hash string")
+    else:
+        listed = f.select("path", "length", F.sha2("content", 256).alias("file_hash"))
+    return listed.select(
         F.col("path").alias("source_path"),
         F.regexp_extract("path", r"([^/\\]+)$", 1).alias("original_name"),
-        F.sha2("content", 256).alias("file_hash"),
+        "file_hash",
         media_type(F.col("path")).alias("mime_type"),
         F.col("length").alias("byte_size"),
     )
@@ -91,50 +134,95 @@ def _flat(node, container: type, text: type) -> Iterator:
             yield x
 
 
-def layout_pages(layouts: list, first: int, last: int | None, kinds: tuple[type, type, type]) -> Iterator[dict]:
-    """Rows of PAGE without the path, of the pages ``first`` to ``last`` of a file; ``kinds``: container, text, image.
-
-    The range is cut at the last page; one that begins behind it is refused.
-    """
+def layout_page(page: Any, number: int, kinds: tuple[type, type, type]) -> dict:
+    """A row of PAGE without the path; ``kinds``: container, text, image."""
     container, text, image = kinds
-    if layouts and first > len(layouts):
-        raise ValueError("INVALID_REQUEST")
-    for n in range(first, min(last or len(layouts), len(layouts)) + 1):
-        page = layouts[n - 1]
-        items = []
-        for x in _flat(page, container, text):
-            if isinstance(x, (text, image)):
-                said = isinstance(x, text)
-                items.append({"kind": "text" if said else "image", "text": x.get_text() if said else "", "x0": x.x0, "y0": x.y0, "x1": x.x1, "y1": x.y1})
-        yield {"page_no": n, "original_width": page.width, "original_height": page.height, "rotation": page.rotate % 360, "items": items}
+    items = []
+    for x in _flat(page, container, text):
+        if isinstance(x, (text, image)):
+            said = isinstance(x, text)
+            items.append({"kind": "text" if said else "image", "text": x.get_text() if said else "", "x0": x.x0, "y0": x.y0, "x1": x.x1, "y1": x.y1})
+    return {"page_no": number, "original_width": page.width, "original_height": page.height, "rotation": page.rotate % 360, "items": items}
+
+
+class Parser(Protocol):
+    """Reads pages of an open file; it is sent to tasks, so it imports what it needs there."""
+
+    def count(self, file: BinaryIO) -> int: ...
+
+    def layouts(self, file: BinaryIO, numbers: Sequence[int]) -> Iterator[Any]:
+        """Layouts of the pages of these numbers, from 1, ascending; no others are read."""
+
+    def kinds(self) -> tuple[type, type, type]:
+        """Classes of containers, texts and images in layouts."""
 
 
-class PdfSource:
-    """Pages of PDF files.  It needs pdfminer, which is not part of this package."""
+class PdfMiner:
+    """PDF files by pdfminer, which is not part of this package."""
+
+    def count(self, file: BinaryIO) -> int:
+        from pdfminer.pdfpage import PDFPage
+
+        return sum(1 for _ in PDFPage.get_pages(file))
+
+    def layouts(self, file: BinaryIO, numbers: Sequence[int]) -> Iterator[Any]:
+        from pdfminer.high_level import extract_pages
+
+        return extract_pages(file, page_numbers=[n - 1 for n in numbers])
+
+    def kinds(self) -> tuple[type, type, type]:
+        from pdfminer.layout import LTContainer, LTImage, LTTextContainer
+
+        return LTContainer, LTTextContainer, LTImage
+
+
+class PagedSource:
+    """Pages of files, read by ranges: a task opens a file and reads the pages of its range only.
+
+    The range asked for is cut at a file's last page; one that begins behind it is refused.
+    """
 
     parser_type = "NATIVE_PDF"
 
+    def __init__(self, parser: Parser | None = None, pages_a_task: int = PAGES) -> None:
+        if parser is None:
+            try:
+                import pdfminer  # noqa: F401
+            except ImportError as e:
+                raise RuntimeError("reading PDF files needs pdfminer") from e
+            parser = PdfMiner()
+        self.parser, self.pages_a_task = parser, pages_a_task
+
     def pages(self, spark: SparkSession, path: str, first: int = 1, last: int | None = None) -> DataFrame:
         if first < 1 or (last is not None and last < first):
             raise ValueError("INVALID_REQUEST")
+        parser = self.parser
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import io
-
-            from pdfminer.high_level import extract_pages
-            from pdfminer.layout import LTContainer, LTImage, LTTextContainer
-
+        def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for p in f["path"]:
+                    with opened(p) as file:
+                        out.append((p, parser.count(file)))
+                yield pd.DataFrame(out, columns=["path", "n"])
+
+        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kinds = parser.kinds()
             for f in frames:
-                for path_, content in zip(f["path"], f["content"], strict=True):
-                    for row in layout_pages(list(extract_pages(io.BytesIO(content))), first, last, (LTContainer, LTTextContainer, LTImage)):
-                        yield pd.DataFrame([{"path": path_, **row}])
-
-        try:
-            import pdfminer  # noqa: F401
-        except ImportError as e:
-            raise RuntimeError("reading PDF files needs pdfminer") from e
-        files = spark.read.format("binaryFile").load(path).select("path", "content")
-        return files.mapInPandas(run, PAGE)
+                for p, a, b in zip(f["path"], f["a"], f["b"], strict=True):
+                    numbers = range(int(a), int(b) + 1)
+                    with opened(p) as file:
+                        for number, layout in zip(numbers, parser.layouts(file, numbers), strict=True):
+                            yield pd.DataFrame([{"path": p, **layout_page(layout, number, kinds)}])
+
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+        sizes = listed.mapInPandas(counted, "path string, n int")
+        within = F.col("n").isNull() | (F.col("n") == 0) | (F.col("n") >= first)
+        sizes = sizes.filter(F.assert_true(within, F.lit("INVALID_REQUEST")).isNull() & (F.col("n") > 0))
+        to = F.least(F.col("n"), F.lit(last)) if last is not None else F.col("n")
+        ranges = sizes.select("path", to.alias("to"), F.explode(F.sequence(F.lit(first), to, F.lit(self.pages_a_task))).alias("a"))
+        ranges = ranges.select("path", "a", F.least(F.col("a") + self.pages_a_task - 1, "to").alias("b"))
+        return ranges.repartition("path", "a").mapInPandas(read, PAGE)
 
 
 class FixtureSource:

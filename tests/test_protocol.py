@@ -113,29 +113,3 @@ def test_worker(spark):
 def test_polling_ends_with_the_stage():
     seen, slept = iter(["DETECTING", "DETECTING", "DETECTED", "never"]), []
     assert list(p.poll(lambda: next(seen), sleep=slept.append)) == ["DETECTING", "DETECTING", "DETECTED"] and slept == [1.0, 1.0]
-
-
-def test_page_ranges_of_layouts():
-    class Box:
-        def __init__(self, *inner, **more):
-            self.inner, self.x0, self.y0, self.x1, self.y1 = inner, 0, 0, 1, 1
-            self.__dict__.update(more)
-
-        def __iter__(self):
-            return iter(self.inner)
-
-    class Words(Box):
-        def get_text(self):
-            return "t"
-
-    class Image:
-        x0, y0, x1, y1 = 0, 0, 1, 1
-
-    kinds = (Box, Words, Image)
-    pages = [Box(Box(Words()), Image(), width=1, height=2, rotate=r) for r in (0, 450, 90)]
-    rows = list(files.layout_pages(pages, 2, 9, kinds))
-    assert [(r["page_no"], r["rotation"], [i["kind"] for i in r["items"]]) for r in rows] == [(2, 90, ["text", "image"]), (3, 90, ["text", "image"])]
-    with pytest.raises(ValueError):
-        list(files.layout_pages(pages, 4, None, kinds))
-    with pytest.raises(ValueError):
-        files.PdfSource().pages(None, "x", 3, 2)
