@@ -4,8 +4,10 @@ Texts are cut into sentences, and these at commas, colons and semicolons, as a s
 passage seldom begins and ends with whole sentences.  A span is a run of ``SPAN``
 consecutive pieces, lengthened piece by piece until it has ``WORDS`` words.  One begins at
 every piece from which that many words are left; the last of them also comes to the text's
-end, and a text with fewer words is one span.  So every piece of a text is in some span,
-and no span is left out for being short.
+end, and a text with fewer words is one span.  So every piece of a text is in some span.
+A repeated run of pieces with fewer words in all than ``WORDS`` is found only where the
+words around it repeat too: shorter runs recur by chance, and removing these hurts texts
+that share nothing else.  ``words=0`` hashes every run of ``span`` pieces as it is.
 
 Spans are hashed (XXH128 of the pieces with white space made even) and joined globally.
 The first place of a hash, in order of doc_id and position, keeps its pieces; at every
