@@ -233,7 +233,7 @@ _FLAGS = f"""SELECT x.mention_id, x.entity_id, coalesce(max(CASE WHEN c.constrai
 
 @query(_FLAGS)
 def constraint_flags(spark: SparkSession, d: str) -> DataFrame:
-    return RS.constraint_flags(_identifier(spark, d), view(spark, d, "v_constraints")).select("mention_id", "entity_id", "user_cannot", "user_must")
+    return RS.constraint_flags(settled(_identifier(spark, d)), view(spark, d, "v_constraints")).select("mention_id", "entity_id", "user_cannot", "user_must")
 
 
 _CONFLICT = f"""SELECT DISTINCT n.mention_id, n.entity_id FROM ({_NAME}) n JOIN v_links l ON l.entity_id = n.entity_id JOIN v_values v ON v.id = l.protected_value_id AND v.value_type = 'ID_CARD'
@@ -253,7 +253,7 @@ def id_conflicts(spark: SparkSession, d: str) -> DataFrame:
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Identifier and name candidates with flags, scores and evidence."""
     no, yes = F.lit(False), F.lit(True)
-    ident = RS.constraint_flags(_identifier(spark, d), view(spark, d, "v_constraints")).withColumns({"shares": yes, "conflicts": no, "name_exact": no})
+    ident = RS.constraint_flags(settled(_identifier(spark, d)), view(spark, d, "v_constraints")).withColumns({"shares": yes, "conflicts": no, "name_exact": no})
     named = settled(_names(spark, d))  # used three times
     hit = RS.id_conflicts(named, view(spark, d, "v_mentions"), view(spark, d, "v_values"), view(spark, d, "v_links")).withColumn("conflicts", yes)
     names = RS.constraint_flags(named, view(spark, d, "v_constraints")).join(hit, ["mention_id", "entity_id"], "left")
