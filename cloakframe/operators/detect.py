@@ -49,7 +49,8 @@ def detect(blocks: DataFrame, rules: Sequence[Rule] = STANDARD, text: str = "tex
     likely = F.lit(False)
     for r in rules:
         likely = likely | (F.contains(t, F.lit(r.needle)) & t.rlike(r.pattern) if r.needle else t.rlike(r.pattern))
-    hits = blocks.filter(likely).withColumn("_s", F.explode(spans.select_greedy(_found(t, rules))))
+    near = blocks.filter(likely).withColumn("_wide", spans.wide_places(t))
+    hits = near.withColumn("_s", F.explode(spans.select_greedy(_found(t, rules))))
     of_rule = lambda f: F.element_at(F.array(*[F.lit(f(r)) for r in rules]), F.col("_s.rule") + 1)
     return hits.select(
         *[c for c in blocks.columns if c != text],
@@ -57,8 +58,8 @@ def detect(blocks: DataFrame, rules: Sequence[Rule] = STANDARD, text: str = "tex
         of_rule(lambda r: r.strength).alias("mention_strength"),
         F.col("_s.start").alias("start_cp"),
         F.col("_s.end").alias("end_cp"),
-        spans.utf16_length(F.substring(t, F.lit(1), F.col("_s.start"))).alias("start_offset"),
-        spans.utf16_length(F.substring(t, F.lit(1), F.col("_s.end"))).alias("end_offset"),
+        spans.to_units("_wide", F.col("_s.start")).alias("start_offset"),
+        spans.to_units("_wide", F.col("_s.end")).alias("end_offset"),
         F.lit("REGEX").alias("detector"),
         of_rule(lambda r: float(r.confidence)).alias("confidence"),
         F.col("_s.value").alias("value"),

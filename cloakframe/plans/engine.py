@@ -318,10 +318,9 @@ class Engine:
                 found = D.detect_with(blocks, detector)
                 if not D.proposal_errors(found, blocks).isEmpty():
                     raise EngineError("INVALID_PROPOSAL", "the detector's proposals may not be stored")
-            found = found.join(blocks, "block_id").join(batch.select(F.col("id").alias("document_id"), "matter_id"), "document_id")
-            units = lambda k: D.spans.utf16_length(F.substring("text", F.lit(1), F.col(k)))
-            found = found.withColumns({"start_offset": units("start_cp"), "end_offset": units("end_cp"), "value": D.spans.span_text("text", F.col("start_cp"), F.col("end_cp"))})
-            found = self._settled(found.drop("text").withColumn("id", S.row_id(F.lit(now))), "value")
+            found = found.join(blocks.withColumn("_wide", D.spans.wide_places("text")), "block_id").join(batch.select(F.col("id").alias("document_id"), "matter_id"), "document_id")
+            found = found.withColumns({"start_offset": D.spans.to_units("_wide", "start_cp"), "end_offset": D.spans.to_units("_wide", "end_cp"), "value": D.spans.span_text("text", F.col("start_cp"), F.col("end_cp"))})
+            found = self._settled(found.drop("text", "_wide").withColumn("id", S.row_id(F.lit(now))), "value")
             m = found.select(
                 "id",
                 "matter_id",
@@ -567,10 +566,9 @@ class Engine:
 
     def _context(self, batch: DataFrame, scopes: Sequence[str]) -> DataFrame:
         c = SZ.mention_context(self._mentions(batch, scopes), self.store.read("entities", scopes), self.store.read("entity_aliases", scopes), self.store.read("protected_values", scopes))
-        t = self._blocks(batch, scopes).select("block_id", "text")
-        # stored offsets count UTF-16 units; with no character beyond the basic plane before them both are equal
-        units = lambda k: F.length(F.decode(F.substring(F.encode("text", "UTF-16BE"), F.lit(1), F.col(k) * 2), "UTF-16BE"))
-        return c.join(t, "block_id").withColumn("start_cp", units("start_offset")).withColumn("end_cp", units("end_offset")).drop("text")
+        # stored offsets count UTF-16 units
+        t = self._blocks(batch, scopes).select("block_id", D.spans.wide_places("text").alias("_wide"))
+        return c.join(t, "block_id").withColumns({f"{k}_cp": D.spans.from_units("_wide", f"{k}_offset") for k in ("start", "end")}).drop("_wide")
 
     def preview_get(self, document_id: str) -> dict:
         doc = self._one("documents", document_id, "document")

@@ -230,7 +230,7 @@ def test_no_text_is_left_on_disk(engine, spark, tmp_path, monkeypatch):
 
 
 def test_a_cluster_without_encryption_is_refused(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://somewhere"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere")
     with pytest.raises(EngineError) as e:
         Engine(spark, f"file://{tmp_path}/store", "09" * 32, "07" * 32)
     assert e.value.code == "UNSAFE_SESSION"
