@@ -52,10 +52,11 @@ def document_errors(spark: SparkSession, d: str) -> DataFrame:
     return SZ.document_errors(_sanitized(spark, d))
 
 
-@query(f"WITH {_CELL}, t AS (SELECT * FROM s WHERE document_id IN ('d1', 'd2', 'd7', 'd9') AND (document_id = 'd9' OR error IS NULL)) SELECT document_id, block_id, page_no, CAST(reading_order AS BIGINT) AS reading_order, done AS sanitized FROM t WHERE document_id NOT IN (SELECT document_id FROM t WHERE error IS NOT NULL)")
+@query(f"WITH {_CELL}, t AS (SELECT * REPLACE (concat('d', CAST(CAST(substr(block_id, 2) AS BIGINT) // 8 AS VARCHAR)) AS document_id) FROM s) SELECT document_id, block_id, page_no, CAST(reading_order AS BIGINT) AS reading_order, done AS sanitized FROM t WHERE document_id NOT IN (SELECT document_id FROM t WHERE error IS NOT NULL)")
 def complete_documents(spark: SparkSession, d: str) -> DataFrame:
-    s = _sanitized(spark, d).filter(F.col("document_id").isin("d1", "d2", "d7", "d9")).filter("document_id = 'd9' or error is null")
-    return SZ.complete_documents(s)
+    """Of small documents, a few blocks each, those without any error."""
+    number = F.floor(F.substring("block_id", 2, 20).cast("long") / 8)
+    return SZ.complete_documents(_sanitized(spark, d).withColumn("document_id", F.concat(F.lit("d"), number.cast("string"))))
 
 
 @query(
