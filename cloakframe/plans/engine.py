@@ -363,14 +363,9 @@ class Engine:
             m = self._settled(m.drop("protected_value_id").join(upsert.select(*keys, F.col("id").alias("protected_value_id")), keys, "left"), "value", "normalized")
             letter = choose(F.col("value_type"), S.VALUE_LETTERS)
             new_values = upsert.filter("not existed").select("id", "matter_id", "value_type", self._seal(F.col("value"), F.col("id"), "protectedValue.value").alias("value_cipher"), F.unhex("fingerprint").alias("fingerprint"), S.token(letter, S.random_hex()).alias("public_token"), F.lit("ALWAYS_RESTORE").alias("restore_policy"), F.lit(now).alias("created_at"))
-            open_, no, yes = m.filter("entity_id is null"), F.lit(False), F.lit(True)
-            ident = settled(R.identifier_candidates(open_, values, links, entities).drop("protected_value_id").withColumns({"shares": yes, "name_exact": no}))
-            names = settled(R.name_candidates(open_, entities, aliases, values, links).withColumns({"shares": no, "name_exact": yes}))
-            hit = R.id_conflicts(names, m, values, links).withColumn("conflicts", yes)
-            flagged = R.constraint_flags(ident, constraints).withColumn("conflicts", no)
-            named = R.constraint_flags(names, constraints).join(hit, ["mention_id", "entity_id"], "left").withColumns({"user_cannot": no, "conflicts": F.coalesce("conflicts", no)})
-            both = R.eligible(R.score(flagged.unionByName(named)), open_, entities)
-            scored = settled(both.withColumn("position", F.col("created_at")).withColumn("labels", F.transform("evidence", lambda e: e["type"])))
+            open_ = m.filter("entity_id is null")
+            both = R.eligible(R.scored_candidates(open_, m, entities, aliases, values, links, constraints), open_, entities)
+            scored = settled(both.withColumn("position", F.col("created_at")))
             ranked = settled(R.rank(R.merge_candidates(scored)).withColumn("id", S.row_id(F.lit(now))))
             of = m.select(F.col("id").alias("mention_id"), F.col("matter_id").alias("scope"), F.col("mention_type").alias("entity_type"))
             decided = settled(R.decide(open_, ranked))
