@@ -7,6 +7,7 @@ over, and an empty result is the proof.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,10 +174,11 @@ def checks() -> dict[str, dict[str, Column]]:
 
 
 def check_rows(df: DataFrame, table: str) -> DataFrame:
-    """Rows that break rules of single rows, in one scan: each broken rule is a row."""
-    rules = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks()[table].items()])
+    """Rows that break rules of single rows, in one scan: each broken rule is a row, and good rows go before any list is made."""
+    breaks = {name: ~F.coalesce(ok, F.lit(False)) for name, ok in checks()[table].items()}
+    rules = F.array(*[F.when(b, F.lit(name)) for name, b in breaks.items()])
     key = F.col("id") if "id" in df.columns else F.concat_ws("|", *df.columns[:2])
-    broken = df.select(key.cast("string").alias("id"), F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
+    broken = df.filter(reduce(Column.__or__, breaks.values())).select(key.cast("string").alias("id"), F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
     return broken.select(F.lit(table).alias("table"), "id", "rule")
 
 
