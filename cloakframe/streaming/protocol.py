@@ -139,9 +139,16 @@ def serve(requests: DataFrame, pages: DataFrame, cancels: DataFrame | None = Non
     wrong = wrong.when(c("pageStart") > c("_n"), F.struct(F.lit("INVALID_REQUEST").alias("code"), F.lit("the range is outside the document").alias("message")))
     jobs = jobs.withColumn("_wrong", wrong).withColumn("_last", F.least(F.coalesce("pageEnd", "_n"), "_n")).withColumn("_total", c("_last") - c("pageStart") + 1)
     jobs = jobs.withColumn("_done", F.least("_total", F.coalesce("_after", "_total"))).withColumn("_cut", F.coalesce(c("_after") < c("_total"), F.lit(False)))
-    bad = jobs.filter("_wrong is not null").select("jobId", F.when(c("active"), 2).otherwise(c("_asked")).cast("long").alias("seq"), _event("error", code=c("_wrong.code"), message=c("_wrong.message"), retryable=F.lit(False)).alias("value"))
-    began = jobs.filter("active").select("jobId", F.posexplode(F.array(_event("started"), _event("progress", stage=F.lit("INSPECT"), completed=F.lit(0), total=F.lit(1)))).alias("seq", "value"))
-    good = jobs.filter("_wrong is null")
+    # most requests may ask for active jobs, so all events but those of pages come from one pass
+    at = lambda seq, value: F.struct(seq.cast("long").alias("seq"), value.alias("value"))
+    error = at(F.when(c("active"), 2).otherwise(c("_asked")), _event("error", code=c("_wrong.code"), message=c("_wrong.message"), retryable=F.lit(False)))
+    began = [at(F.lit(0), _event("started")), at(F.lit(1), _event("progress", stage=F.lit("INSPECT"), completed=F.lit(0), total=F.lit(1)))]
+    last = 2 + 2 * c("_done")
+    cut = at(last, _event("cancelled", lastCompletedPage=F.when(c("_done") > 0, c("pageStart") + c("_done") - 1).otherwise(0)))
+    ends = [at(last, _event("progress", stage=F.lit("FINALIZE"), completed=F.lit(1), total=F.lit(1))), at(last + 1, _event("completed", pageCount=c("_n"), processedPages=c("_total")))]
+    told = F.when(~c("active"), F.array(error)).when(c("_wrong").isNotNull(), F.array(*began, error)).when(c("_cut"), F.array(*began, cut)).otherwise(F.array(*began, *ends))
+    told = jobs.select("jobId", F.inline(told))
+    good = jobs.filter("active and _wrong is null")
     block = F.struct(
         c("reading_order").alias("readingOrder"),
         F.concat(F.lit("p"), c("page_no"), F.lit("b"), c("reading_order")).alias("localId"),
@@ -157,11 +164,7 @@ def serve(requests: DataFrame, pages: DataFrame, cancels: DataFrame | None = Non
     nth = c("page_no") - c("pageStart")
     each = F.array(_event("page_result", page=model), _event("progress", stage=F.lit("NATIVE_PARSE"), completed=nth + 1, total=F.greatest("_total", F.lit(1)), pageNo=c("page_no")))
     handed = handed.select("jobId", (2 + 2 * nth).alias("_at"), F.posexplode(each).alias("_k", "value")).select("jobId", (c("_at") + c("_k")).alias("seq"), "value")
-    ends = F.when(c("_cut"), F.array(_event("cancelled", lastCompletedPage=F.when(c("_done") > 0, c("pageStart") + c("_done") - 1).otherwise(0)))).otherwise(
-        F.array(_event("progress", stage=F.lit("FINALIZE"), completed=F.lit(1), total=F.lit(1)), _event("completed", pageCount=c("_n"), processedPages=c("_total")))
-    )
-    ended = good.select("jobId", (2 + 2 * c("_done")).alias("_at"), F.posexplode(ends).alias("_k", "value")).select("jobId", (c("_at") + c("_k")).alias("seq"), "value")
-    return bad.union(began.select("jobId", c("seq").cast("long"), "value")).union(handed.select("jobId", c("seq").cast("long"), "value")).union(ended.select("jobId", c("seq").cast("long"), "value"))
+    return told.union(handed.select("jobId", c("seq").cast("long"), "value"))
 
 
 def poll(status: Callable[[], str], in_flight: tuple[str, ...] = ("PARSING", "DETECTING", "RESOLVING", "SANITIZING"), every_ms: int = POLL_MS, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
