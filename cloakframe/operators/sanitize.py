@@ -15,11 +15,18 @@ REASONS = ("UNSUPPORTED_MENTION_TYPE", "UNRESOLVED_MENTION", "INVALID_REPLACEMEN
 
 
 def mention_context(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, values: DataFrame) -> DataFrame:
-    """Mentions with their entity's status, primary alias and their value's token, all by left joins."""
-    e = entities.select(F.col("id").alias("entity_id"), F.col("status").alias("entity_status"))
-    a = primary_aliases(aliases)
-    v = values.select(F.col("id").alias("protected_value_id"), F.col("public_token").alias("value_token"))
-    return mentions.join(e, "entity_id", "left").join(a, "entity_id", "left").join(v, "protected_value_id", "left")
+    """Mentions with their entity's status, primary alias and their value's token, all by left joins.
+
+    Most mentions may have no entity; their own id deals those to all tasks, where a null would bring them to one.
+    """
+    c = F.col
+    spread = lambda k: F.coalesce(c(k), F.concat(F.lit("\0"), c("id")))
+    m = mentions.withColumns({"_e": spread("entity_id"), "_v": spread("protected_value_id")})
+    e = entities.select(c("id").alias("_ee"), c("status").alias("entity_status"))
+    a = primary_aliases(aliases).withColumnRenamed("entity_id", "_ae")
+    v = values.select(c("id").alias("_vv"), c("public_token").alias("value_token"))
+    m = m.join(e, (c("_e") == c("_ee")) & c("entity_id").isNotNull(), "left").join(a, (c("_e") == c("_ae")) & c("entity_id").isNotNull(), "left")
+    return m.join(v, (c("_v") == c("_vv")) & c("protected_value_id").isNotNull(), "left").drop("_e", "_ee", "_ae", "_v", "_vv")
 
 
 def mention_problem() -> Column:
